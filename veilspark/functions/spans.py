@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 _BLOCK = 64
 
 
+def match_context(text: Column, pattern: str, width: int, guard: Column | None = None) -> Column:
+    """array<struct<before:string,after:string>> parallel to `match_spans`: up to `width` characters on either side, between the neighbouring matches."""
+    gaps = F.split(text, pattern, -1)
+    sides = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))),
+        lambda i: F.struct(F.right(F.get(gaps, i - 1), F.lit(width)).alias("before"), F.left(F.coalesce(F.get(gaps, i), F.lit("")), F.lit(width)).alias("after")),
+    )
+    empty = F.expr("cast(array() as array<struct<before:string,after:string>>)")
+    found = F.when(text.isNull() | (F.size(gaps) < 2), empty).otherwise(sides)
+    return F.when(guard, found).otherwise(empty) if guard is not None else found
+
+
 def match_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """array<struct<value:string,start:bigint,end:bigint>> of the leftmost non-overlapping matches of a Java pattern.
 
