@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, neardedup, packing, secret_scan, toxicity, urlfilter
+from . import chat, decontaminate, matroska, neardedup, packing, pii, secret_scan, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,15 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.store_and_read(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.grades(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -50,6 +59,8 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_secret_scan": op6_secret_scan,
+    "op7_pii": op7_pii,
+    "op8_matroska": op8_matroska,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
 }
