@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, matroska, neardedup, packing, pii, secret_scan, toxicity, urlfilter
+from . import chat, decontaminate, matroska, neardedup, packing, pii, quality, secret_scan, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_quality": op5_quality,
     "op6_secret_scan": op6_secret_scan,
     "op7_pii": op7_pii,
     "op8_matroska": op8_matroska,
