@@ -191,7 +191,8 @@ def components(edges: DataFrame) -> DataFrame:
         new = put(new, "label")
         done = new.filter("f <> old").isEmpty()
         drop(label, jumped)
-        label = new
+        label = new.select("id", "f")
+        label._veilspark_path = new._veilspark_path
         if done:
             drop(both)
             return label.select("id", F.col("f").alias("component"))
