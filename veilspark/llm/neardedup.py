@@ -8,10 +8,15 @@
    every band with probability (1 - 0.75**4)**32 = 5e-6.
 3. Star round: in each bucket every class is paired with the bucket's smallest
    class. Linked pairs form components.
-4. Residual round: a bucket whose classes are not yet one component pairs the
-   classes of different components. Pairs within a component could only repeat a
-   known connection, so no link that matters is skipped, and a group of n near
-   copies costs n pairs and not n**2.
+4. Residual round, for buckets that still hold several components. The largest
+   component in a bucket names its anchor, and every class of the bucket is compared
+   with that anchor in full: a = shingles shared with it, X = the others, kept as a
+   512-bit map. Two classes of one bucket share at most min(a, a') shingles of the
+   anchor, and at most (common bits + the fewer of both maps' lost bits) of the
+   others. Pairs of different components are dropped where this exact bound rules a
+   link out. Pairs within a component could only repeat a known connection. So a group
+   of n near copies costs about n pairs, edited copies just below the threshold too, and
+   no link that matters is skipped.
 5. Verification of a pair is sequential. First 128 sketch bits, then signature
    values in batches; after each batch the pair goes if the posterior probability
    (uniform prior) that its similarity reaches the threshold is under
@@ -22,7 +27,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import cache
 
 import numpy as np
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, put
+from .store import drop, join_ids, put
 from .textbytes import LOWER, U64, Words, blocks, buffer_of, mix, shingle_sets
 
 VALUES, ROWS, WIDTH, BATCH = 128, 4, 5, 32
@@ -92,8 +96,8 @@ def _sketch(batches):
         for row, i in enumerate(full):
             binary[i] = sig[row].tobytes()
         yield pa.record_batch(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*key, *bits)), pa.array([x or None for x in binary], pa.binary())],
-            names=["doc_id", "n", "k1", "k2", "b1", "b2", "sig"],
+            [batch.column("id"), pa.array(n), *(pa.array(x.view(np.int64)) for x in (*key, *bits)), pa.array([x or None for x in binary], pa.binary())],
+            names=["id", "n", "k1", "k2", "b1", "b2", "sig"],
         )
 
 
@@ -104,9 +108,8 @@ def _bands(batches):
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES // ROWS, ROWS).astype(U64)
         scale = mix(np.arange(7, 7 + ROWS, dtype=U64)) | U64(1)
         key = mix((sig * scale).sum(axis=2, dtype=U64) + mix(np.arange(VALUES // ROWS, dtype=U64))[None, :])
-        again = pa.array(np.repeat(np.arange(batch.num_rows), VALUES // ROWS))
-        rest = [batch.column(c).take(again) for c in ("id", "n", "b1", "b2")]
-        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), *rest], names=["bucket", "id", "n", "b1", "b2"])
+        ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), VALUES // ROWS)))
+        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), ids], names=["bucket", "id"])
 
 
 def _similar_signatures(batches):
@@ -130,23 +133,49 @@ def _sets(batches):
         yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
 
-def _exact(batches):
+MAP_BITS = 512
+_MAP = [f"x{k}" for k in range(MAP_BITS // 64)]
+
+
+def _compared(batches):
+    """Of each pair the sizes, the shingles in common, and a bit map of a's shingles that b lacks with the bits that it lost."""
     for batch in batches:
-        kept, last = [], (None, None)
-        for i, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)):
+        rows, last = [], (None, None)
+        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
             b = last[1] if last[0] == y else np.frombuffer(y, U64)
             last = (y, b)
             a = np.frombuffer(x, U64)
-            at = np.searchsorted(b, a)
-            common = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(a) and len(b) else 0
-            if common and DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common):
-                kept.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+            both = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+            at = np.unique(a[~both] % U64(MAP_BITS)).astype(np.int64)
+            bits = np.zeros(MAP_BITS, np.uint8)
+            bits[at] = 1
+            common = int(both.sum())
+            rows.append((len(a), len(b), common, len(a) - common - len(at), *np.packbits(bits).view(np.int64).tolist()))
+        columns = list(zip(*rows, strict=True)) or [()] * (4 + len(_MAP))
+        yield pa.record_batch([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], names=["a", "b", "na", "nb", "common", "lost", *_MAP])
+
+
+_LINKED = f"{DENOMINATOR} * common >= {NUMERATOR} * (na + nb - common)"
+
+
+def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Compares the full sets of distinct pairs (a, b)."""
+    ids = put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    sets = put(join_ids(docs, "id", ids, "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct(), "sets")
+    out = (
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+        .select("a", "b", "set_a", "set_b")
+        .mapInArrow(_compared, "a long, b long, na long, nb long, common long, lost long, " + ", ".join(f"{x} long" for x in _MAP))
+    )
+    out = put(out, "compared")
+    drop(ids, sets)
+    return out
 
 
-def _verified(pairs: DataFrame, sigs: DataFrame, sets_of) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct candidate pairs (a, b), those linked on their full sets."""
-    s = sigs.select("id", "sig")
+    s = reps.select("id", "sig")
     likely = (
         pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
@@ -154,20 +183,42 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets_of) -> DataFrame:
         .mapInArrow(_similar_signatures, "a long, b long")
     )
     likely = put(likely, "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = put(sets_of(ids), "sets")
-    linked = (
-        likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_exact, "a long, b long")
-        .distinct()
-    )
-    linked = put(linked, "linked")
-    drop(likely, sets)
+    compared = _compare(likely, docs)
+    linked = put(compared.filter(_LINKED).select("a", "b").distinct(), "linked")
+    drop(likely, compared)
     return linked
 
 
+def _crossing(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links to anchors, candidate pairs) between components that share a bucket. busy: (bucket, id)."""
+    named = busy.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
+    anchors = sizes.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    near = named.join(anchors.select("bucket", (-F.col("top.c")).alias("anchor")), "bucket").select("anchor", "id", "c").distinct()
+    near = put(near, "anchored")
+    told = _compare(near.filter("id <> anchor").select(F.col("id").alias("a"), F.col("anchor").alias("b")), docs)
+    links = put(told.filter(_LINKED).select("a", "b").distinct(), "linked")
+    # an id with several texts has several rows here
+    row = told.select(F.col("a").alias("id"), F.col("b").alias("anchor"), F.col("na").alias("n"), "common", "lost", *_MAP).distinct()
+    row = row.join(near, ["anchor", "id"]).join(reps.select("id", "n", "b1", "b2"), ["id", "n"])
+    row = put(row, "residual")
+    x, y = row.alias("x"), row.alias("y")
+    most = VALUES - least_agreements(VALUES, NUMERATOR / DENOMINATOR, MISS_PROBABILITY, 1)
+    differ = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
+    shared = F.least("x.common", "y.common") + F.least("x.lost", "y.lost")
+    for m in _MAP:
+        shared = shared + F.bit_count(F.col(f"x.{m}").bitwiseAND(F.col(f"y.{m}")))
+    # |A & B| / (|A| + |B| - |A & B|) >= p / q  means  (p + q) |A & B| >= p (|A| + |B|)
+    possible = shared * (NUMERATOR + DENOMINATOR) >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
+    pairs = x.join(
+        y,
+        (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (differ <= most) & possible,
+    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    pairs = put(pairs.distinct(), "crossing")
+    drop(near, told, row)
+    return links, pairs
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in `edges` (a, b): the smallest id reachable.
 
@@ -209,55 +260,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node. A null id takes part as a copy, never names a component and is never
     `kept`. Other columns of `docs` are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = put(docs.mapInArrow(_sketch, "doc_id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     key = ["n", "k1", "k2"]
-    classes = put(base.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("b1").alias("b1"), F.min("b2").alias("b2")), "classes")
-    reps = base.filter("n > 0").select(F.col("doc_id").alias("id"), "n", "k1", "k2", "b1", "b2", "sig").join(classes.select("id", *key), ["id", *key]).dropDuplicates(["id", *key])
-    reps = put(reps, "representatives")
-    banded = put(reps.select("id", "n", "b1", "b2", "sig").mapInArrow(_bands, "bucket long, id long, n long, b1 long, b2 long"), "bands")
-    pivots = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    stars = banded.select("bucket", "id").join(pivots.select("bucket", "pivot"), "bucket").filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(_sets, "id long, shingles binary")
-
-    first = _verified(stars, reps, sets_of)
-    found = components(first)
-
-    named = banded.join(found, "id", "left").select("bucket", "id", "n", "b1", "b2", F.coalesce("component", "id").alias("c"))
-    split = named.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    rest = put(named.join(split, "bucket"), "residual")
+    sketched = put(docs.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
+    base = put(sketched.select("id", *key), "keys")
+    classes = put(base.filter("n > 0").groupBy(*key).agg(F.min("id").alias("id")), "classes")
+    reps = put(sketched.filter("n > 0").join(classes, ["id", *key]).dropDuplicates(["id", *key]), "representatives")
+    drop(sketched)
+    banded = put(reps.select("id", "sig").mapInArrow(_bands, "bucket long, id long").distinct(), "bands")
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    busy = put(banded.join(shared.select("bucket", "pivot"), "bucket"), "busy")
     drop(banded)
-    x, y = rest.alias("x"), rest.alias("y")
-    most = VALUES - least_agreements(VALUES, NUMERATOR / DENOMINATOR, MISS_PROBABILITY, 1)
-    differ = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-    lesser, larger = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-    crossing = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (lesser * DENOMINATOR >= larger * NUMERATOR) & (differ <= most),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    crossing = put(crossing.distinct().join(first, ["a", "b"], "left_anti"), "crossing")
-    second = _verified(crossing, reps, sets_of)
-    if not second.isEmpty():
-        old, found = found, components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second))
+    stars = put(busy.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    first = _verified(stars, reps, docs)
+    found = components(first)
+    links, pairs = _crossing(busy.select("bucket", "id"), reps, found, docs)
+    second = _verified(pairs, reps, docs)
+    more = links.unionAll(second)
+    if not more.isEmpty():
+        old, found = found, components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
         drop(old)
-    drop(rest, crossing, first, second, reps)
+    drop(busy, stars, first, links, pairs, second, reps)
     final = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
     return (
-        base.select("doc_id", *key)
-        .join(final, key, "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+        base.join(final, key, "left")
+        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that name their component, each once; rows with a null id stay. All columns are returned."""
-    groups = near_duplicates(docs)
-    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone.distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    single = out.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    repeated = out.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(repeated)
+    groups = put(near_duplicates(docs), "groups")
+    out = join_ids(docs, "doc_id", groups.filter("not kept and doc_id is not null").select("doc_id").distinct(), "left_anti")
+    again = groups.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    return join_ids(out, "doc_id", again, "left_anti").unionByName(join_ids(out, "doc_id", again, "left_semi").dropDuplicates(["doc_id"]))

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: dict[str, SparkSession] = {}
 
@@ -48,6 +49,18 @@ def _delete(path: str, spark: SparkSession) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Ids that a join may broadcast: 8 MB of longs. More are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def join_ids(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
+    """`rows` whose `key` is in (left_semi) or not in (left_anti) the one-column table `ids`; wide rows are not shuffled while the ids are few."""
+    name = ids.columns[0]
+    ids = ids.select(F.col(name).alias("_id_"))
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return rows.join(ids, F.col(key) == F.col("_id_"), how)
+
+
 @atexit.register
 def _sweep() -> None:
     for path, spark in list(_written.items()):
