@@ -23,33 +23,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import put
-from .textbytes import U64, Words, blocks, buffer_of, mix
+from .textbytes import LOWER, U64, Words, blocks, buffer_of, mix
 
 PIECES_PER_SHARD = 16_384
 
 
-@cache
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: Distinct runs that a worker process remembers between blocks.
+REMEMBERED = 1_500_000
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = True
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
-    return Tokenizer.from_file(path)
+
+class Encoder:
+    """Ids of texts by a vocabulary that drops white space and case and never joins letters to other characters.
+
+    So a text is cut into runs, at ASCII spaces and between ASCII punctuation and a
+    letter or digit, and each distinct run is encoded once. Apostrophes and the characters of special tokens
+    never mark a cut. Runs of Latin letters are one pre-token each: they are encoded together,
+    and their last ids, which end a word, tell them apart.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.hashes, self.begin, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each run), of `words` first."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids if words else [], np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        size = np.diff(np.concatenate(([-1], last)))
+        if len(size) != len(words):
+            raise ValueError("a run of letters is not one word of this vocabulary")
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        return np.concatenate([ids, np.fromiter((i for c in coded for i in c), np.uint32)]), np.concatenate([size, np.array([len(c) for c in coded], np.int64)])
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a buffer."""
+        data = raw.tobytes()
+        if b"<|" not in data:
+            raw = LOWER[raw]
+            data = raw.tobytes()
+        after = np.append(raw[1:], np.uint8(0))
+        latin = (raw == 0xC3) & (after >= 0x80) & (after < 0xC0) & (after != 0x97) & (after != 0xB7)
+        second = np.concatenate(([False], latin[:-1]))
+        letter = _ALNUM[raw] | latin | second
+        mark = _PUNCTUATION[raw]
+        cut = np.zeros(len(raw), bool)
+        cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+        words = Words(raw, offsets, cuts=cut)
+        h = words.hashes()
+        distinct, where, which = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        new = self.hashes[at] != distinct if len(self.hashes) else np.ones(len(distinct), bool)
+        bad = np.concatenate(([0], np.cumsum(~(((raw >= 97) & (raw <= 122)) | latin | second))))
+        a, b = words.starts[where[new]], words.ends[where[new]]
+        plain = bad[a] == bad[b]
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        runs = [data[x:y].decode("utf-8", "replace") for x, y in zip(a[order].tolist(), b[order].tolist(), strict=True)]
+        ids, size = self._encode(runs[: int(plain.sum())], runs[int(plain.sum()) :])
+        flat = np.concatenate([self.flat, ids])
+        begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        size = np.concatenate([self.size, size])
+        place = np.empty(len(distinct), np.int64)
+        place[~new] = at[~new]
+        place[np.flatnonzero(new)[order]] = len(self.hashes) + np.arange(len(order))
+        row = place[which] if len(which) else place[:0]
+        each = size[row]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        out = flat[np.repeat(begin[row] - ends[:-1], each) + np.arange(ends[-1])]
+        if len(begin) <= REMEMBERED and len(order):
+            hashes = np.concatenate([self.hashes, distinct[new][order]])
+            by_hash = np.argsort(hashes)
+            self.hashes, self.begin, self.size, self.flat = hashes[by_hash], begin[by_hash], size[by_hash], flat
+        return np.split(out, ends[words.first[1:-1]])
+
+
+_encoder = cache(Encoder)
 
 
 def token_ids(raw: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
-    """The ids of each text of a buffer. The vocabulary drops white space and never joins across it, so each distinct run between ASCII spaces is encoded once."""
-    words = Words(raw, offsets)
-    _, where, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    data = raw.tobytes()
-    runs = [data[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[where].tolist(), words.ends[where].tolist(), strict=True)]
-    coded = [e.ids for e in _tokenizer(path).encode_batch_fast(runs, add_special_tokens=False)] if runs else []
-    size = np.array([len(c) for c in coded], np.int64)
-    flat = np.fromiter((i for c in coded for i in c), np.uint32, int(size.sum()))
-    begin = np.concatenate(([0], np.cumsum(size)))
-    each = size[which] if len(which) else np.zeros(0, np.int64)
-    ends = np.concatenate(([0], np.cumsum(each)))
-    ids = flat[np.repeat(begin[which] - ends[:-1], each) + np.arange(ends[-1])] if len(which) else flat
-    return np.split(ids, ends[words.first[1:-1]])
+    return _encoder(path).ids(raw, offsets)
 
 
 def _pieces(path: str, capacity: int):

@@ -75,11 +75,14 @@ def blocks(batches, text: str = "text", limit: int = 4 << 20):
 class Words:
     """The words of a block: byte spans, hashes and the document of each."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE, cuts: np.ndarray | None = None):
+        """cuts: bytes at which a word starts even without a separator before it."""
         self.raw, self.offsets, n = raw, offsets, len(raw)
         inside = ~separator[raw]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
+        if cuts is not None:
+            first[:-1] |= cuts
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         after = np.zeros(n, bool)
