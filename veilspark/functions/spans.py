@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Matches that one fold adds up; more are added up block by block, so the cost of n matches stays near n.
 _BLOCK = 64
+_SPANS = "array<struct<value:string,start:bigint,end:bigint>>"
 
 
-def match_context(text: Column, pattern: str, width: int, guard: Column | None = None) -> Column:
-    """array<struct<before:string,after:string>> parallel to `match_spans`: up to `width` characters on either side, between the neighbouring matches."""
-    gaps = F.split(text, pattern, -1)
-    sides = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(1))),
-        lambda i: F.struct(F.right(F.get(gaps, i - 1), F.lit(width)).alias("before"), F.left(F.coalesce(F.get(gaps, i), F.lit("")), F.lit(width)).alias("after")),
-    )
-    empty = F.expr("cast(array() as array<struct<before:string,after:string>>)")
-    found = F.when(text.isNull() | (F.size(gaps) < 2), empty).otherwise(sides)
-    return F.when(guard, found).otherwise(empty) if guard is not None else found
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
+def _empty(kind: str) -> Column:
+    return F.expr(f"cast(array() as {kind})")
+
+
+def _fold(pairs: Column, base: Column) -> Column:
+    """Spans of an array of (value, gap before it) that begins at offset `base`."""
+    zero = F.struct(base.alias("at"), _empty(_SPANS).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
+
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+
+def _by_blocks(pairs: Column) -> Column:
+    cut = F.transform(F.sequence(F.lit(0), ((F.size(pairs) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), _empty("array<bigint>").alias("bases"))
+    length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, m: n + m["gap"] + F.length(m["value"]))
+    step = lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
+    return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, F.aggregate(blocks, zero, step, lambda acc: acc["bases"]), _fold)))
 
 
 def match_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
@@ -27,33 +47,28 @@ def match_spans(text: Column, pattern: str, guard: Column | None = None) -> Colu
     Offsets are code points, end exclusive. Null text gives an empty array. The pattern must
     not match the empty string. `guard` is a cheap condition that every text with a match meets.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    pair = F.arrays_zip(found.alias("value"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))).alias("gap"))
-    small = F.size(found) <= _BLOCK
 
-    empty = F.expr("cast(array() as array<struct<value:string,start:bigint,end:bigint>>)")
+    def placed(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        whole = lambda p: F.when(F.size(p) <= _BLOCK, _fold(p, F.lit(0).cast("long"))).otherwise(_by_blocks(p))
+        return F.when(F.size(found) == 0, _empty(_SPANS)).otherwise(let(pairs, whole))
 
-    def whole(x: Column) -> Column:
-        return _fold(x, F.lit(0).cast("long"))
+    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return F.when(text.isNotNull() if guard is None else guard, spans).otherwise(_empty(_SPANS))
 
-    def by_blocks(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), ((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK)))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("bases"))
-        length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, m: n + m["gap"] + F.length(m["value"]))
-        bases = F.aggregate(blocks, zero, lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases")), lambda acc: acc["bases"])
-        return F.flatten(F.zip_with(blocks, bases, lambda b, base: _fold(b, base)))
 
-    spans = F.when(F.size(found) == 0, empty).when(small, whole(pair)).otherwise(by_blocks(pair))
-    return F.when(text.isNull(), empty).otherwise(F.when(guard, spans).otherwise(empty) if guard is not None else spans)
+def match_context(text: Column, pattern: str, width: int, guard: Column | None = None) -> Column:
+    """array<struct<before:string,after:string>> parallel to `match_spans`: up to `width` characters on either side, between the neighbouring matches."""
+    kind = "array<struct<before:string,after:string>>"
 
+    def sides(gaps: Column) -> Column:
+        side = lambda i: F.struct(F.right(F.get(gaps, i - 1), F.lit(width)).alias("before"), F.left(F.get(gaps, i), F.lit(width)).alias("after"))
+        return F.when(F.size(gaps) < 2, _empty(kind)).otherwise(F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), side))
 
-def _fold(pairs: Column, base: Column) -> Column:
-    zero = F.struct(base.alias("at"), F.expr("cast(array() as array<struct<value:string,start:bigint,end:bigint>>)").alias("out"))
+    return F.when(text.isNotNull() if guard is None else guard, let(F.split(text, pattern, -1), sides)).otherwise(_empty(kind))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+def explode_once(df: DataFrame, array: Column | str, name: str, *keep: Column | str) -> DataFrame:
+    """A row for each element. Unlike a plain explode this gives the optimizer no reason to filter by the array's size first, which would make a computed array several times."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

@@ -4,7 +4,260 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from veilspark.functions import fake as fakes
+from veilspark.functions import text as X
+from veilspark.functions.spans import explode_once
+from veilspark.operators import documents as D
+from veilspark.operators import ocr, report
+from veilspark.operators.detect import DETECTORS, Options, detect_all, from_entities, full_name, valid_ssn
+from veilspark.operators.providers import dedup_by_text
+from veilspark.operators.redact import redact
+from veilspark.operators.resolve import resolve_overlaps
+from veilspark.sources import docx
+
+from . import oracles as O
+from .texts import SOURCES, load, spark_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+OPTIONS = Options(as_of_year=O.AS_OF_YEAR)
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark_sql(spark, sf_dir, SOURCES[name])
+
+
+def _as_rows(found: DataFrame, with_type: bool = False) -> DataFrame:
+    """A row for each match of `found` (id, m)."""
+    kind = [F.col("x.type").alias("type")] if with_type else []
+    return explode_once(found, "m", "x", "id").select("id", *kind, F.col("x.start").alias("match_start"), F.col("x.end").alias("match_end"), F.col("x.value").alias("value"))
+
+
+# Detectors, each over a text source with hits and near misses.
+DETECT_SOURCES = {
+    "email": "documents", "phone": "phones", "ssn": "ssn", "credit_card": "documents", "ipv4": "documents", "ipv6": "ipv6", "dob_numeric": "dates", "dob_mdy": "dates", "dob_dmy": "dates",
+    "org_suffix": "orgs", "address_us": "addresses", "address_in_locality": "addresses", "address_in_house": "addresses", "address_in_pin": "addresses",
+}
+
+
+def _detector_query(name: str, source: str) -> None:
+    oracle = O.with_source(source, f"SELECT id, match_start, match_end, value FROM ({O.spans(name, 'src')})")
+    query(f"detect_{name}", oracle)(lambda spark, sf: _as_rows(texts(spark, sf, source).select("id", DETECTORS[name](F.col("text"), OPTIONS).alias("m"))))
+
+
+for _name, _source in DETECT_SOURCES.items():
+    _detector_query(_name, _source)
+
+
+# Predicates and scalar functions.
+def _scalar(name: str, table: str, key: str, column: Callable[[], Column], out: str, key_sql: str, out_sql: str) -> None:
+    query(name, f"SELECT {key_sql} AS {key}, {out_sql} AS {out} FROM {table}")(lambda spark, sf: load(spark, sf, table).select(F.expr(key_sql).alias(key), column().alias(out)))
+
+
+_ssn_parts = "lpad(CAST(c_custkey * 37 % 1000 AS STRING), 3, '0') || '-' || lpad(CAST(c_custkey % 100 AS STRING), 2, '0') || '-' || lpad(CAST(c_custkey * 7919 % 10000 AS STRING), 4, '0')"
+_card_text = "CAST(4111111111111000 + o_orderkey AS STRING) || CASE WHEN o_orderkey % 50 = 0 THEN 'x' ELSE '' END"
+_scalar("ssn_structural", "customer", "id", lambda: valid_ssn(F.expr(_ssn_parts)), "ok", "c_custkey", f"(SELECT {O.VALID['ssn']} FROM (SELECT {_ssn_parts} AS value))")
+_scalar("luhn", "orders", "id", lambda: X.luhn(F.expr(_card_text)), "ok", "o_orderkey", f"CASE WHEN regexp_full_match({_card_text}, '[0-9]+') THEN {O.luhn(f'({_card_text})')} ELSE false END")
+_scalar("strip_separators", "customer", "id", lambda: X.strip_separators(F.expr("c_name || ' ' || c_mktsegment || '- 12-3'")), "plain", "c_custkey", "replace(replace(c_name || ' ' || c_mktsegment || '- 12-3', ' ', ''), '-', '')")
+_scalar("has_enough_digits", "customer", "id", lambda: X.has_enough_digits(F.expr("CAST(c_custkey * c_custkey * 13 AS STRING) || ' é٣'")), "ok", "c_custkey", "length(regexp_replace(CAST(c_custkey * c_custkey * 13 AS STRING) || ' é٣', '[^0-9]', '', 'g')) >= 7")
+_scalar("year_bounds", "orders", "id", lambda: X.year_bounds(F.expr("CAST(1880 + o_orderkey % 170 AS INT)"), O.AS_OF_YEAR), "ok", "o_orderkey", f"(1880 + o_orderkey % 170) BETWEEN 1900 AND {O.AS_OF_YEAR}")
+_scalar("full_name_filter", "part", "id", lambda: full_name(F.expr("CASE WHEN p_partkey % 3 = 0 THEN '  ' || p_brand || ' ' ELSE p_name || '  ' || p_type END")), "ok", "p_partkey", "len(list_filter(string_split_regex(CASE WHEN p_partkey % 3 = 0 THEN '  ' || p_brand || ' ' ELSE p_name || '  ' || p_type END, '\\s+'), lambda t: t <> '')) >= 2")
+_scalar("seed", "customer", "id", lambda: fakes.seed(F.col("c_name")).cast("string"), "seed", "c_custkey", "CAST(('0x' || substr(sha256(c_name), 1, 16))::UBIGINT AS VARCHAR)")
+_scalar("plain_date", "orders", "id", lambda: X.plain_date(F.expr("' Jan.  ' || CAST(o_orderkey % 28 AS STRING) || ',\t 1990 '")), "plain", "o_orderkey", O.PLAIN_DATE.format("' Jan.  ' || CAST(o_orderkey % 28 AS STRING) || ',\t 1990 '"))
+_raw = "'<' || n_name || '>&\"' || n_regionkey || '''' || chr(9) || chr(10) || chr(13) || '&amp;'"
+_escape_sql = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;'), chr(9), '&#x9;'), chr(10), '&#xA;'), chr(13), '&#xD;')"
+_scalar("xml_escape", "nation", "id", lambda: X.xml_escape(F.expr(_raw)), "escaped", "n_nationkey", _escape_sql.format(_raw))
+_scalar("xml_unescape", "nation", "id", lambda: X.xml_unescape(X.xml_escape(F.expr(_raw))), "plain", "n_nationkey", _raw)
+_scalar("image_cache_key", "part", "id", lambda: X.image_cache_key(F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpeg' END"), F.col("p_name")), "cache_key", "p_partkey", "CASE WHEN p_partkey % 2 = 0 THEN 'png' ELSE 'jpeg' END || ':' || sha256(p_name)")
+_ext = "CASE p_partkey % 6 WHEN 0 THEN 'JPG' WHEN 1 THEN 'png' WHEN 2 THEN 'Tif' WHEN 3 THEN 'emf' WHEN 4 THEN 'webp' ELSE '' END"
+_scalar("pillow_format", "part", "id", lambda: X.pillow_format(F.expr(_ext)), "format", "p_partkey", f"CASE lower({_ext}) WHEN 'jpg' THEN 'JPEG' WHEN 'png' THEN 'PNG' WHEN 'tif' THEN 'TIFF' WHEN 'webp' THEN 'WEBP' ELSE upper({_ext}) END")
+_file = "p_name || CASE p_partkey % 4 WHEN 0 THEN '.docx' WHEN 1 THEN ' (é).DOCX' WHEN 2 THEN '.doc' ELSE 'a.docx.pdf' END"
+_scalar("redacted_filename", "part", "id", lambda: X.redacted_filename(F.expr(_file)), "name", "p_partkey", f"CASE WHEN lower(regexp_replace({_file}, '[^\\w.-]+', '_', 'g')) LIKE '%.docx' THEN regexp_replace(regexp_replace({_file}, '[^\\w.-]+', '_', 'g'), '(?i)\\.docx$', '-redacted.docx') ELSE 'redacted.docx' END")
+_bytes = "CAST(o_orderkey * o_orderkey * 977 AS BIGINT)"
+_scalar("format_bytes", "orders", "id", lambda: X.format_bytes(F.expr(_bytes)), "size", "o_orderkey", f"CASE WHEN {_bytes} >= 1073741824 THEN printf('%.1f', round({_bytes} / 1073741824.0::DOUBLE, 1)) || ' GB' WHEN {_bytes} >= 1048576 THEN printf('%.1f', round({_bytes} / 1048576.0::DOUBLE, 1)) || ' MB' WHEN {_bytes} >= 1024 THEN printf('%.1f', round({_bytes} / 1024.0::DOUBLE, 1)) || ' KB' ELSE CAST({_bytes} AS VARCHAR) || ' B' END")
+
+# Fakes, one query a type over names of customers.
+for _kind, _key in {"EMAIL": "email", "PHONE": "phone", "SSN": "ssn", "CREDIT_CARD": "card", "IP_ADDRESS": "ipv4", "DATE_OF_BIRTH": "dob", "PERSON": "name", "ORG": "company", "ADDRESS": "address"}.items():
+
+    def _fake_query(kind: str = _kind) -> Query:
+        return lambda spark, sf: load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), fakes.fake_of(kind, F.col("c_name")).alias("fake"))
+
+    query(f"fake_{_key}", f"SELECT id, {O.fake(_kind)} AS fake FROM (SELECT c_custkey AS id, c_name AS value FROM customer)")(_fake_query())
+
+_kinds = "CASE c_custkey % 4 WHEN 0 THEN 'EMAIL' WHEN 1 THEN 'ADDRESS' WHEN 2 THEN 'SSN' ELSE 'PASSPORT' END"
+
+
+@query("generator_lookup", f"SELECT id, type, {O.fake_case()} AS fake FROM (SELECT c_custkey AS id, {_kinds} AS type, c_name AS value FROM customer)")
+def generator_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr(_kinds).alias("type"), "c_name")
+    return rows.select("id", "type", fakes.fake(F.col("type"), F.col("c_name")).alias("fake"))
+
+
+# Detection, resolution and redaction together.
+@query("detect_all", O.with_source("mixed", f"SELECT id, type, match_start, match_end, value FROM ({O.all_matches('src')})"))
+def detect_all_query(spark: SparkSession, sf: str) -> DataFrame:
+    return _as_rows(texts(spark, sf, "mixed").select("id", detect_all(F.col("text"), options=OPTIONS).alias("m")), True)
+
+
+@query("resolve_overlaps", O.with_source("mixed", f", found AS ({O.all_matches('src')}) {O.resolved('found')}"))
+def resolve_overlaps_query(spark: SparkSession, sf: str) -> DataFrame:
+    found = texts(spark, sf, "mixed").select("id", detect_all(F.col("text"), options=OPTIONS).alias("found"))
+    return _as_rows(found.select("id", resolve_overlaps(F.col("found")).alias("m")), True)
+
+
+@query("redact_text", O.redacted("documents"))
+def redact_text(spark: SparkSession, sf: str) -> DataFrame:
+    return redact(texts(spark, sf, "documents"), options=OPTIONS).select("id", "n", "redacted")
+
+
+@query("redact_mixed", O.redacted("mixed"))
+def redact_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return redact(texts(spark, sf, "mixed"), options=OPTIONS).select("id", "n", "redacted")
+
+
+@query("redaction_counts", O.with_source("mixed", f", found AS ({O.all_matches('src')}) SELECT type, count(*) AS matches, count(DISTINCT id) AS texts FROM ({O.resolved('found')}) GROUP BY type"))
+def redaction_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return report.counts_by_type(redact(texts(spark, sf, "mixed"), options=OPTIONS), "id")
+
+
+@query(
+    "label_filter",
+    "SELECT c_custkey AS id, 0::BIGINT AS match_start, length(c_name)::BIGINT AS match_end, c_name AS value FROM customer WHERE c_custkey % 3 = 0",
+)
+def label_filter(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'PERSON' ELSE 'ORG' END")
+    entity = F.struct(kind.alias("type"), F.lit(0).alias("start"), F.length("c_name").alias("end"), F.col("c_name").alias("text"), F.lit(0.6).alias("confidence"))
+    return _as_rows(load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), from_entities(F.array(entity), "PERSON").alias("m")))
+
+
+# OCR words, derived from the words of documents.
+def ocr_words(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("i")
+    words = load(spark, sf, "documents").select(F.col("doc_id").alias("img_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
+    whole = lambda e: F.expr(e).cast("int")
+    return words.select(
+        "img_id", "i", "text", F.when(i % 17 == 3, "n/a").otherwise((i * 7 % 100).cast("string")).alias("conf"), whole("i % 8 * 60").alias("left"), whole("i div 8 * 14").alias("top"),
+        (F.length("text") * 6).alias("width"), F.lit(12).alias("height"), whole("i div 320").alias("block_num"), whole("i div 40 % 8").alias("par_num"), whole("i div 8 % 5").alias("line_num"),
+    )
+
+
+IMAGE = ["img_id"]
+
+
+@query("ocr_conf_filter", f"WITH {O.OCR_KEPT} SELECT img_id, i, text, conf FROM kept")
+def ocr_conf_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return ocr.confident_words(ocr_words(spark, sf)).select("img_id", "i", "text", "conf")
+
+
+@query("ocr_lines", f"WITH {O.OCR_KEPT} SELECT img_id, block_num, par_num, line_num, line_text, first_i FROM lines")
+def ocr_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return ocr.lines(ocr.confident_words(ocr_words(spark, sf)), IMAGE)
+
+
+@query("word_spans", f"WITH {O.OCR_KEPT} SELECT img_id, i, word_start, word_start + length(text) AS word_end FROM spans")
+def word_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return ocr.word_spans(ocr.confident_words(ocr_words(spark, sf)), IMAGE).select("img_id", "i", F.col("start").alias("word_start"), F.col("end").cast("long").alias("word_end"))
+
+
+_PAIRS = "spans JOIN ents USING (img_id, block_num, par_num, line_num) WHERE word_start < match_end AND word_start + length(text) > match_start"
+
+
+@query("ocr_word_entity_overlap", f"WITH {O.OCR_KEPT}, {O.OCR_ENTITIES} SELECT img_id, i, type, match_start AS entity_start, match_end AS entity_end, value FROM {_PAIRS}")
+def ocr_word_entity_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    kept = ocr.confident_words(ocr_words(spark, sf))
+    return ocr.overlapping(ocr.word_spans(kept, IMAGE), ocr.entities(ocr.lines(kept, IMAGE), IMAGE), IMAGE).select("img_id", "i", "type", "entity_start", "entity_end", "value")
+
+
+@query(
+    "box_union",
+    f"""WITH {O.OCR_KEPT}, {O.OCR_ENTITIES} SELECT img_id, block_num, par_num, line_num, type, match_start AS entity_start, match_end AS entity_end, min(left_px)::BIGINT AS "left", min(top)::BIGINT AS top,
+      max(left_px + width)::BIGINT AS "right", max(top + height)::BIGINT AS bottom FROM {_PAIRS} GROUP BY ALL""",
+)
+def box_union(spark: SparkSession, sf: str) -> DataFrame:
+    return ocr.redaction_boxes(ocr_words(spark, sf), IMAGE)
+
+
+# Package parts.
+_entry = (
+    "CASE p_partkey % 9 WHEN 0 THEN 'word/document.xml' WHEN 1 THEN 'word/header1.xml' WHEN 2 THEN 'word/footer2.xml' WHEN 3 THEN 'word/sub/header1.xml' WHEN 4 THEN 'word/footnotes.xml'"
+    " WHEN 5 THEN 'word/media/image' || p_size || '.JPG' WHEN 6 THEN 'word/media/pic.v2.png' WHEN 7 THEN 'word/media/raw' ELSE 'word/document.xml.rels' END"
+)
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select(F.expr("p_partkey div 9").alias("doc_id"), F.expr(_entry).alias("name"), F.col("p_name").alias("content"))
+
+
+_PARTS = f"(SELECT p_partkey // 9 AS doc_id, {_entry} AS name, p_name AS content FROM part)"
+
+
+@query("part_filter", f"SELECT doc_id, name FROM {_PARTS} WHERE name = 'word/document.xml' OR (regexp_full_match(name, 'word/[^/]*') AND (name LIKE 'word/header%.xml' OR name LIKE 'word/footer%.xml'))")
+def part_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _parts(spark, sf).filter(X.is_text_part(F.col("name"))).select("doc_id", "name")
+
+
+@query("media_format", f"SELECT doc_id, name, CASE WHEN name NOT LIKE '%.%' THEN '' WHEN lower(split_part(name, '.', -1)) = 'jpg' THEN 'jpeg' ELSE lower(split_part(name, '.', -1)) END AS format FROM {_PARTS} WHERE name LIKE 'word/media/%'")
+def media_format(spark: SparkSession, sf: str) -> DataFrame:
+    return _parts(spark, sf).filter(F.col("name").startswith("word/media/")).select("doc_id", "name", X.media_format(F.col("name")).alias("format"))
+
+
+@query(
+    "part_replacement_join",
+    f"SELECT p.doc_id, p.name, coalesce(r.content, p.content) AS content, r.content IS NOT NULL AS replaced FROM {_PARTS} p LEFT JOIN"
+    f" (SELECT doc_id, name, upper(content) AS content FROM {_PARTS} WHERE doc_id % 2 = 0 AND name LIKE 'word/h%') r ON p.doc_id = r.doc_id AND p.name = r.name",
+)
+def part_replacement_join(spark: SparkSession, sf: str) -> DataFrame:
+    parts = _parts(spark, sf)
+    changed = parts.filter("doc_id % 2 = 0 AND name LIKE 'word/h%'").select("doc_id", "name", F.upper("content").alias("content"))
+    return D.replaced_parts(parts, changed)
+
+
+@query("dedup_join_back", "SELECT doc_id, sha256(text) AS digest, count(*) OVER (PARTITION BY text) AS copies FROM documents WHERE text IS NOT NULL")
+def dedup_join_back(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    counted = dedup_by_text(docs, "text", lambda distinct: distinct.withColumn("digest", F.sha2("text", 256)), count_as="copies")
+    return counted.select("doc_id", "digest", "copies")
+
+
+@query("distinct_calls", "SELECT count(*) AS calls, count(DISTINCT text) AS distinct_texts FROM documents")
+def distinct_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return report.calls(load(spark, sf, "documents"), "text")
+
+
+_truth = f"(SELECT id, (c % 1000 * 37 % 1000 NOT IN (0, 666) AND c % 1000 * 37 % 1000 < 900 AND c % 100 <> 0 AND c * 7919 % 10000 <> 0) AS truth FROM (SELECT c_custkey AS id, c_custkey AS c FROM customer))"
+
+
+@query(
+    "eval_metrics",
+    f"""WITH src AS (SELECT c_custkey AS id, 'on file: ' || {_ssn_parts} AS text FROM customer), said AS (SELECT DISTINCT id FROM ({O.spans('ssn', 'src')})),
+    t AS (SELECT truth, said.id IS NOT NULL AS found FROM {_truth} AS truths LEFT JOIN said USING (id)),
+    c AS (SELECT count(*) FILTER (truth AND found) AS tp, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (truth AND NOT found) AS fn, count(*) FILTER (NOT truth AND NOT found) AS tn FROM t)
+    SELECT *, (tp + tn) / (tp + fp + fn + tn) AS accuracy, tp / nullif(tp + fp, 0) AS "precision", tp / nullif(tp + fn, 0) AS recall FROM c""",
+)
+def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    rows = load(spark, sf, "customer").select(F.expr(f"'on file: ' || {_ssn_parts}").alias("text"), F.col("c_custkey").alias("c"))
+    area = F.col("c") * 37 % 1000
+    truth = ~area.isin(0, 666) & (area < 900) & (F.col("c") % 100 != 0) & (F.col("c") * 7919 % 10000 != 0)
+    return report.evaluate(rows.select(truth.alias("truth"), (F.size(DETECTORS["ssn"](F.col("text"), OPTIONS)) > 0).alias("found")), "truth", "found")
+
+
+@query("docx_round_trip")
+def docx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as packages: built, redacted, written and read back; rows of the text spans after redaction."""
+    packages = docx.build(load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("paragraphs")))
+    done = docx.redact_packages(packages, lambda df: redact(df, options=OPTIONS))
+    return docx.text_spans(done.select("path", "content")).select("path", "part", "span_id", "text")
