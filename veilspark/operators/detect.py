@@ -27,6 +27,8 @@ TYPES = ("EMAIL", "PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH",
 class Options:
     region: str = "US"
     as_of_year: int = 2026
+    #: North American area codes in use; without them the numbering rule alone decides.
+    area_codes: tuple[str, ...] = ()
 
 
 def no_matches() -> Column:
@@ -55,10 +57,12 @@ def valid_ipv6(value: Column) -> Column:
     return value.rlike(P.IPV6_FULL) | (value.rlike(P.IPV6_SHORT) & (groups <= 7))
 
 
-def valid_phone(value: Column, region: str) -> Column:
+def valid_phone(value: Column, region: str, area_codes: tuple[str, ...] = ()) -> Column:
     """At least seven digits, and a number by the numbering rules that `patterns` lists; a subset of what a full metadata library knows."""
     d = digits(value)
-    american = d.rlike(f"^1?{P.NANP}$") & ~F.regexp_replace(F.right(d, F.lit(10)), " ", "").rlike(P.NANP_NOT)
+    american = d.rlike(f"^1?{P.NANP}$") & ~F.right(d, F.lit(10)).rlike(P.NANP_NOT)
+    if area_codes:
+        american = american & F.substring(F.right(d, F.lit(10)), 1, 3).isin(*area_codes)
     abroad = d.rlike(P.international())
     national = american if P.NATIONAL.get(region, "1?") == "1?" else d.rlike(P.NATIONAL[region])
     return (F.length(d) >= 7) & F.when(value.startswith("+"), F.when(d.startswith("1"), american & (F.length(d) == 11)).otherwise(abroad)).otherwise(national)
@@ -120,7 +124,7 @@ def _digit(pattern: str) -> Callable[[Column], Column]:
 
 DETECTORS: dict[str, Detector] = {
     "email": Detector("EMAIL", P.EMAIL, guard=lambda t: t.contains("@")),
-    "phone": Detector("PHONE", P.PHONE, valid=lambda v, o: valid_phone(v, o.region), guard=_digit(r"[0-9][0-9().\-\t\n\f\r ]{6}")),
+    "phone": Detector("PHONE", P.PHONE, valid=lambda v, o: valid_phone(v, o.region, o.area_codes), guard=_digit(r"[0-9][0-9().\-\t\n\f\r ]{6}")),
     "ssn": Detector("SSN", P.SSN, valid=lambda v, o: valid_ssn(v), guard=_digit("[0-9]{3}-[0-9]{2}-[0-9]{4}")),
     "credit_card": Detector("CREDIT_CARD", P.CARD, valid=lambda v, o: valid_card(v), guard=_digit("[0-9](?:[ -]?[0-9]){12}")),
     "ipv4": Detector("IP_ADDRESS", P.IPV4, valid=lambda v, o: v.rlike(P.IPV4_VALID), guard=_digit(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
