@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_arrow
+
 ERROR_RATE = 0.07
 #: Characters of items that one automaton holds; more items go in further blocks, each a pass of its own.
 BLOCK_CHARS = 8_000_000
@@ -134,7 +136,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+        part = map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
         out = part if out is None else out.unionAll(part)
     return out
 
@@ -149,5 +151,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error_rate: float =
             for batch in batches:
                 yield batch.filter(pa.array([not (t and matcher.find(normal(t))) for t in batch.column("text").to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

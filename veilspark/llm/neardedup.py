@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, join_ids, put
-from .textbytes import LOWER, U64, Words, blocks, buffer_of, mix, shingle_sets
+from .store import drop, join_ids, map_arrow, put
+from .textbytes import LOWER, U64, Words, blocks, buffer_of, bytes_of, mix, shingle_sets
 
 VALUES, ROWS, WIDTH, BATCH = 128, 4, 5, 32
 NUMERATOR, DENOMINATOR = 75, 100
@@ -137,14 +137,17 @@ MAP_BITS = 512
 _MAP = [f"x{k}" for k in range(MAP_BITS // 64)]
 
 
+def _hash_arrays(column: pa.Array) -> list[np.ndarray]:
+    """The sets in a binary column, as views of its buffer."""
+    data, at = bytes_of(column)
+    return [data[a:b].view(U64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def _compared(batches):
     """Of each pair the sizes, the shingles in common, and a bit map of a's shingles that b lacks with the bits that it lost."""
     for batch in batches:
-        rows, last = [], (None, None)
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            b = last[1] if last[0] == y else np.frombuffer(y, U64)
-            last = (y, b)
-            a = np.frombuffer(x, U64)
+        rows = []
+        for a, b in zip(_hash_arrays(batch.column("set_a")), _hash_arrays(batch.column("set_b")), strict=True):
             both = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
             at = np.unique(a[~both] % U64(MAP_BITS)).astype(np.int64)
             bits = np.zeros(MAP_BITS, np.uint8)
@@ -161,14 +164,13 @@ _LINKED = f"{DENOMINATOR} * common >= {NUMERATOR} * (na + nb - common)"
 def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Compares the full sets of distinct pairs (a, b)."""
     ids = put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = put(join_ids(docs, "id", ids, "left_semi").mapInArrow(_sets, "id long, shingles binary").distinct(), "sets")
-    out = (
+    sets = put(map_arrow(join_ids(docs, "id", ids, "left_semi"), _sets, "id long, shingles binary").distinct(), "sets")
+    both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
         .select("a", "b", "set_a", "set_b")
-        .mapInArrow(_compared, "a long, b long, na long, nb long, common long, lost long, " + ", ".join(f"{x} long" for x in _MAP))
     )
-    out = put(out, "compared")
+    out = put(map_arrow(both, _compared, "a long, b long, na long, nb long, common long, lost long, " + ", ".join(f"{x} long" for x in _MAP)), "compared")
     drop(ids, sets)
     return out
 
@@ -176,13 +178,12 @@ def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct candidate pairs (a, b), those linked on their full sets."""
     s = reps.select("id", "sig")
-    likely = (
+    both = (
         pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
         .select("a", "b", "sig_a", "sig_b")
-        .mapInArrow(_similar_signatures, "a long, b long")
     )
-    likely = put(likely, "likely")
+    likely = put(map_arrow(both, _similar_signatures, "a long, b long"), "likely")
     compared = _compare(likely, docs)
     linked = put(compared.filter(_LINKED).select("a", "b").distinct(), "linked")
     drop(likely, compared)
@@ -262,12 +263,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     key = ["n", "k1", "k2"]
-    sketched = put(docs.mapInArrow(_sketch, "id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
+    sketched = put(map_arrow(docs, _sketch, "id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
     base = put(sketched.select("id", *key), "keys")
     classes = put(base.filter("n > 0").groupBy(*key).agg(F.min("id").alias("id")), "classes")
     reps = put(sketched.filter("n > 0").join(classes, ["id", *key]).dropDuplicates(["id", *key]), "representatives")
     drop(sketched)
-    banded = put(reps.select("id", "sig").mapInArrow(_bands, "bucket long, id long").distinct(), "bands")
+    banded = put(map_arrow(reps.select("id", "sig"), _bands, "bucket long, id long"), "bands")
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     busy = put(banded.join(shared.select("bucket", "pivot"), "bucket"), "busy")
     drop(banded)
@@ -277,6 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, pairs = _crossing(busy.select("bucket", "id"), reps, found, docs)
     second = _verified(pairs, reps, docs)
     more = links.unionAll(second)
+    repeated = base.filter("n > 0 and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
+    if not repeated.isEmpty():  # the classes of one id are linked
+        named = join_ids(base.filter("n > 0"), "id", repeated, "left_semi").join(classes.withColumnRenamed("id", "rep"), key).groupBy("id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
+        more = more.unionAll(named.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).filter("a <> b"))
     if not more.isEmpty():
         old, found = found, components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
         drop(old)

@@ -15,21 +15,20 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import put
+from .store import map_arrow, put
 from .textbytes import LOWER, U64, Words, blocks, buffer_of, mix
 
 PIECES_PER_SHARD = 16_384
 
 
-#: Distinct runs that a worker process remembers between blocks.
-REMEMBERED = 1_500_000
+#: Distinct runs that a task remembers between blocks.
+REMEMBERED = 1_000_000
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = True
 _ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
@@ -105,20 +104,14 @@ class Encoder:
         return np.split(out, ends[words.first[1:-1]])
 
 
-_encoder = cache(Encoder)
-
-
-def token_ids(raw: np.ndarray, offsets: np.ndarray, path: str) -> list[np.ndarray]:
-    return _encoder(path).ids(raw, offsets)
-
-
 def _pieces(path: str, capacity: int):
     def run(batches):
+        encoder = Encoder(path)  # of this task, so that an idle worker process holds no cache
         seen = 0
         for batch in blocks(batches):
             rows = []
             docs = batch.column("doc_id").to_pylist()
-            for doc, ids in zip(docs, token_ids(*buffer_of(batch.column("text")), path), strict=True):
+            for doc, ids in zip(docs, encoder.ids(*buffer_of(batch.column("text"))), strict=True):
                 ids = np.append(ids, np.uint32(0)).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
@@ -171,12 +164,11 @@ def best_fit(lengths: np.ndarray, capacities: np.ndarray, weights: np.ndarray, r
 
 
 def _pack(capacities: tuple[int, int, int], weights: tuple[float, float, float], rule: str):
-    def run(pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "salt"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets = best_fit(pdf["length"].to_numpy(), np.array(capacities), np.array(weights), rule)
-        pdf["sequence_id"] = pdf["shard"].to_numpy() * 2**32 + bins
-        pdf["offset"] = offsets
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    def run(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("salt", "ascending")])
+        bins, offsets = best_fit(shard["length"].to_numpy(), np.array(capacities), np.array(weights), rule)
+        out = shard.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        return out.append_column("sequence_id", pa.array(shard["shard"].to_numpy() * 2**32 + bins)).append_column("offset", pa.array(offsets))
 
     return run
 
@@ -195,10 +187,10 @@ def pack(
     """
     limits = (capacity, max_documents or capacity, max_attention or capacity**2)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = put(docs.mapInArrow(_pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"), "pieces")
+    pieces = put(map_arrow(docs, _pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"), "pieces")
     shards = max(1, -(-pieces.count() // PIECES_PER_SHARD))
     return (
         pieces.withColumn("shard", F.col("salt") % F.lit(shards))
         .groupBy("shard")
-        .applyInPandas(_pack(limits, weights, rule), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        .applyInArrow(_pack(limits, weights, rule), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )

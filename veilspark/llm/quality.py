@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import BROADCAST_IDS, drop, put
+from .store import BROADCAST_IDS, drop, map_arrow, put
 from .textbytes import blocks
 
 ORDER, BITS = 5, 12
@@ -161,7 +161,7 @@ def _text_grams(batches):
 
 def perplexities(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """(doc_id, lang, role, n, total) of docs (doc_id, lang, text, role): the number of predicted characters and their summed log probability."""
-    counted = docs.mapInArrow(_count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    counted = map_arrow(docs, _count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
     counts = put(counted, "grams")
     table = log_probabilities(counts)
     drop(counts)
@@ -170,12 +170,12 @@ def perplexities(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFra
         rows = table.select("g", F.col("logp").cast("float")).toArrow()
         keys, logp = rows["g"].to_numpy(), rows["logp"].to_numpy()
         order = np.argsort(keys)
-        return docs.mapInArrow(_scored_here(docs.sparkSession.sparkContext.broadcast((keys[order], logp[order]))), kinds)
+        return map_arrow(docs, _scored_here(docs.sparkSession.sparkContext.broadcast((keys[order], logp[order]))), kinds)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumn("key", F.sha2(text, 256))
     texts = keyed.groupBy("key").agg(F.any_value(text).alias("text"))
     sums = (
-        texts.mapInArrow(_text_grams, "key string, g long, times long").join(table, "g").groupBy("key")
+        map_arrow(texts, _text_grams, "key string, g long, times long").join(table, "g").groupBy("key")
         .agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("logp")).alias("total"))
     )
     return keyed.select("doc_id", "lang", "role", "key").join(sums, "key").select("doc_id", "lang", "role", "n", "total")

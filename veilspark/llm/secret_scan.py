@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_arrow
+
 # The kinds in the order in which they are listed at one start.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -131,7 +133,7 @@ def scan(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
             found = [[{"kind": k, "start": s, "end": e, "bits": b} for s, k, e, b in find(t, least_bits)] for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(found, item)], names=["doc_id", "secrets"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, secrets array<struct<kind:string,start:bigint,end:bigint,bits:double>>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, secrets array<struct<kind:string,start:bigint,end:bigint,bits:double>>")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", least_bits: float = LEAST_BITS) -> DataFrame:
@@ -155,7 +157,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", least_bits: float = LEAST_BI
                 columns["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(out, columns["n_chars"].to_pylist(), strict=True)], batch.schema.field("n_chars").type)
             yield pa.record_batch(list(columns.values()), schema=batch.schema)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -25,6 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker; rows may be long texts, and both sides hold a batch or two.
+BATCH_BYTES = 8 << 20
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """`df.mapInArrow` with batches bounded in bytes; a session that bounds them itself, and lower, keeps its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key, None)
+    digits = (now or "").rstrip("bB")
+    if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def put(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` as a table of this run and returns it as read back."""
     spark = df.sparkSession
@@ -55,10 +69,10 @@ BROADCAST_IDS = 1_000_000
 
 def join_ids(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     """`rows` whose `key` is in (left_semi) or not in (left_anti) the one-column table `ids`; wide rows are not shuffled while the ids are few."""
-    name = ids.columns[0]
-    ids = ids.select(F.col(name).alias("_id_"))
+    own = f"_id_{uuid.uuid4().hex[:12]}"  # no column of `rows` has it
+    ids = ids.select(F.col(ids.columns[0]).alias(own))
     ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
-    return rows.join(ids, F.col(key) == F.col("_id_"), how)
+    return rows.join(ids, F.col(key) == F.col(own), how)
 
 
 @atexit.register

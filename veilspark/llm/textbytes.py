@@ -49,16 +49,20 @@ def buffer_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    return bytes_of(pc.fill_null(column.cast(pa.large_string()), ""))
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string or binary column without nulls."""
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)
     return raw, at - at[0]
 
 
-def blocks(batches, text: str = "text", limit: int = 4 << 20):
+def blocks(batches, text: str = "text", limit: int = 1 << 20):
     """Splits record batches at row bounds into blocks of about `limit` bytes of text; a longer text is a block of its own."""
     for batch in batches:
         if not batch.num_rows:

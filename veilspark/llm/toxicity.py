@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import drop, put
+from .store import drop, map_arrow, put
 from .textbytes import LOWER, NOT_WORD, U64, Words, blocks, buffer_of
 
 GRADES = 4
@@ -51,7 +51,7 @@ def _hits(batch: pa.RecordBatch, words: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counts(batches):
-    for batch in blocks(batches, limit=8 << 20):
+    for batch in blocks(batches, limit=4 << 20):
         h, doc = _vocabulary(*buffer_of(batch.column("text")))
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         order = np.lexsort((h, doc))
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_feat
     rate = bad / total
     z = (a - n * rate) / F.sqrt(n * rate * (1 - rate))
     chosen = (
-        known.mapInArrow(_counts, "word long, toxic long, docs long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("docs").alias("n"))
+        map_arrow(known, _counts, "word long, toxic long, docs long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("docs").alias("n"))
         .filter(n >= least_docs).withColumn("z", z).filter(F.abs("z") >= least_z).orderBy(F.abs("z").desc(), "word").limit(max_features).collect()
     )
     if not chosen:
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_feat
     words = np.array([r["word"] for r in chosen], np.int64).view(U64)
     order = np.argsort(words)
     words, typical = words[order], np.array([r["z"] > 0 for r in chosen])[order]
-    rows = [(r["toxic"], np.frombuffer(r["features"], "<i4")) for r in known.mapInArrow(_examples(words), "toxic int, features binary").collect()]
+    rows = [(r["toxic"], np.frombuffer(r["features"], "<i4")) for r in map_arrow(known, _examples(words), "toxic int, features binary").collect()]
     drop(known)
     return Model(words, *train(rows, typical))
 
@@ -161,7 +161,7 @@ def grades(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "p_toxic", "severity", "grade", "toxic"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, p_toxic double, severity double, grade int, toxic boolean")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, p_toxic double, severity double, grade int, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -177,4 +177,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
                 keep = (1 - _sigmoid(model.thresholds - s[:, None])).sum(axis=1) < model.reject_from
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
