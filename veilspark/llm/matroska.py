@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import map_arrow
+
 # Element ids of the format.
 EBML, DOC_TYPE = 0x1A45DFA3, 0x4282
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
@@ -91,11 +93,15 @@ def elements(data, at: int, end: int, parent: int = 0):
 
 
 def _uint(data, a: int, b: int) -> int:
+    if b - a > 8:
+        raise Damaged(f"a number of {b - a} bytes at {a}")
     return int.from_bytes(data[a:b], "big")
 
 
 def _float(data, a: int, b: int) -> float:
-    return float(np.frombuffer(bytes(data[a:b]), {4: ">f4", 8: ">f8"}[b - a])[0]) if b > a else 0.0
+    if b - a not in (0, 4, 8):
+        raise Damaged(f"a float of {b - a} bytes at {a}")
+    return float(np.frombuffer(bytes(data[a:b]), f">f{b - a}")[0]) if b > a else 0.0
 
 
 def lace_sizes(data, at: int, end: int, lacing: int) -> tuple[list[int], int]:
@@ -143,7 +149,10 @@ def _block(data, a: int, b: int, cluster_time: int, media: Media, key: bool | No
     sizes, at = lace_sizes(data, at + 3, b, flags >> 1 & 3)
     step = media.tracks.get(track, {}).get("frame_ns", 0)
     for k, size in enumerate(sizes):
-        media.packets.append(Packet(track, ticks * media.scale + k * step, at, size, bool(flags & 0x80) if key is None else key))
+        when = ticks * media.scale + k * step
+        if when.bit_length() > 63:
+            raise Damaged(f"timestamp {when} is out of range")
+        media.packets.append(Packet(track, when, at, size, bool(flags & 0x80) if key is None else key))
         at += size
 
 
@@ -168,7 +177,7 @@ def parse(data) -> Media:
                     if k == TRACK:
                         track = {x: (y, z) for x, y, z in elements(view, e, f)}
                         number = _uint(view, *track[TRACK_NUMBER]) if TRACK_NUMBER in track else 0
-                        told = {"codec": bytes(view[slice(*track[CODEC])]).decode() if CODEC in track else "", "frame_ns": _uint(view, *track[DEFAULT_DURATION]) if DEFAULT_DURATION in track else 0}
+                        told = {"codec": bytes(view[slice(*track[CODEC])]).decode("ascii", "replace") if CODEC in track else "", "frame_ns": _uint(view, *track[DEFAULT_DURATION]) if DEFAULT_DURATION in track else 0}
                         if AUDIO in track:
                             audio = {x: (y, z) for x, y, z in elements(view, *track[AUDIO])}
                             told |= {"rate": _float(view, *audio[RATE]) if RATE in audio else 8000.0, "bits": _uint(view, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0}
@@ -282,7 +291,7 @@ def packet_table(files: DataFrame, content: str = "content") -> DataFrame:
             kind = pa.list_(pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("key", pa.bool_())]))
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(packets, kind), pa.array(cues, pa.int64()), pa.array(errors, pa.string())], names=[*keep, "packets", "n_cues", "error"])
 
-    return files.select(*keep, content).mapInArrow(run, out.schema)
+    return map_arrow(files.select(*keep, content), run, out.schema)
 
 
 def padded(text: str | None) -> bytes:
@@ -326,7 +335,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)
 
 
 def files(docs: DataFrame) -> DataFrame:
@@ -336,4 +345,4 @@ def files(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("doc_id"), pa.array([write(padded(t)) for t in batch.column("text").to_pylist()], pa.binary())], names=["doc_id", "content"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content binary")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, content binary")

@@ -55,7 +55,11 @@ class Encoder:
 
     def _encode(self, words: list[str], others: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each run), of `words` first."""
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids if words else [], np.uint32)
+        parts = [np.zeros(0, np.uint32)]
+        for i in range(0, len(words), 10_000):  # the library's own result for a run is far larger than its ids
+            (coded,) = self.tokenizer.encode_batch_fast([" ".join(words[i : i + 10_000])], add_special_tokens=False)
+            parts.append(np.array(coded.ids, np.uint32))
+        ids = np.concatenate(parts)
         last = np.flatnonzero(self.ends[ids])
         size = np.diff(np.concatenate(([-1], last)))
         if len(size) != len(words):

@@ -4,7 +4,8 @@ Fixed patterns with checks give the base spans. Beside them, generators of high
 recall propose overlapping spans (loose addresses, any longer run of digits). Each
 candidate becomes a vector of format and context bits; gradient-boosted trees of
 depth two, fitted on a bounded sample of documents, score it; candidates from a
-generator's calibrated threshold on become `boost` spans unless base spans cover them.
+generator's calibrated threshold on become `boost` spans unless base spans cover them. Bit vectors that
+the sample does not hold have no evidence and are never selected.
 
 What reaches the driver for fitting is one count for each distinct bit vector, so its size
 is bounded by the number of bits. Labels are weak: a candidate that a checked base
@@ -96,11 +97,12 @@ def candidates(text: Column) -> dict[str, Column]:
 
 @dataclass
 class Model:
-    """trees: (bit, bit if unset, bit if set, four leaf values); thresholds by generator, null where no score is good enough."""
+    """trees: (bit, bit if unset, bit if set, four leaf values); thresholds by generator, null where no score is good enough; seen: the bit vectors of the sample, beyond which no score counts."""
 
     bias: float = 0.0
     trees: list[tuple[int, int, int, tuple[float, float, float, float]]] = field(default_factory=list)
     thresholds: dict[str, float | None] = field(default_factory=lambda: dict.fromkeys(LOOSE))
+    seen: set[int] = field(default_factory=set)
 
     def score(self, bits: int) -> float:
         total = self.bias
@@ -187,6 +189,7 @@ def fit(docs: DataFrame, max_documents: int = 20_000, precision: float = 0.98) -
             pair[0] += r["good"]
             pair[1] += r["bad"]
     model = boost([(b, *v) for b, v in sorted(by_bits.items())])
+    model.seen = {r["bits"] for r in counts}
     for name in LOOSE:
         held = sorted(((model.score(r["bits"]), r["good"], r["bad"]) for r in counts if not r["fitting"] and r["generator"] == name), reverse=True)
         good = bad = 0
@@ -215,7 +218,7 @@ def _with_spans(base: DataFrame, model: Model) -> DataFrame:
     spans, proposed = base_spans(text), candidates(text)
     active = [n for n in LOOSE if model.thresholds.get(n) is not None]
     listed = base.select("doc_id", "text", *(c.alias(n) for n, c in spans.items()), *(proposed[n].alias(f"c_{n}") for n in active))
-    likely = lambda name: F.filter(f"c_{name}", lambda x: model.expression(x["bits"]) >= model.thresholds[name])
+    likely = lambda name: F.filter(f"c_{name}", lambda x: x["bits"].isin(sorted(model.seen)) & (model.expression(x["bits"]) >= model.thresholds[name]))
     covered = lambda x: F.exists(F.concat(*KINDS), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     boosted = F.expr("cast(array() as array<struct<value:string,start:bigint,end:bigint>>)")
     if active:

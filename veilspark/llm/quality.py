@@ -76,7 +76,7 @@ def _count(batches):
         trusted = batch.column("role").to_numpy(zero_copy_only=False) == TRAINS
         texts = batch.column("text").to_pylist()
         for flag in (True, False):
-            part = [t for t, y in zip(texts, trusted, strict=True) if y == flag and t]
+            part = [t or "" for t, y in zip(texts, trusted, strict=True) if y == flag]
             if part:
                 keys, counts = np.unique(grams(part)[0], return_counts=True)
                 held.append((keys, counts * flag))

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of an Arrow batch that goes to a Python worker; rows may be long texts, and both sides hold a batch or two.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:

@@ -112,7 +112,7 @@ def shingle_sets(words: Words, width: int = 5) -> list[np.ndarray]:
     scale = mix(np.arange(1, width + 1, dtype=U64)) | U64(1)
     n = len(w)
     runs = np.zeros(max(0, n - width + 1), U64)
-    for k in range(width):
+    for k in range(width if len(runs) else 0):
         runs += w[k : n - width + 1 + k] * scale[k]
     runs = mix(runs)
     out = []
