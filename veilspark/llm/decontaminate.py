@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .store import map_arrow
 
-ERROR_RATE = 0.07
+ERROR_RATE = 0.08
 #: Characters of items that one automaton holds; more items go in further blocks, each a pass of its own.
 BLOCK_CHARS = 8_000_000
 
