@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.spans import match_spans
 from veilspark.functions.text import luhn
-from veilspark.operators.detect import DETECTORS, Options, detect_all, from_entities, full_names
+from veilspark.operators.detect import DETECTORS, Options, confidences, detect_all, from_entities, full_names
 
 CASES = [
     ("email", "Contact rashi.patil@gmail.com or support+billing@example.co.uk for help.", ["rashi.patil@gmail.com", "support+billing@example.co.uk"]),
@@ -98,3 +98,18 @@ def test_entities_keep_their_label(spark):
     rows = spark.createDataFrame([([("PERSON", 0, 11, "Rashi Patil", 0.8), ("ORG", 20, 26, "Acme B", 0.6), ("PERSON", 30, 35, "Suite", 0.8)],), (None,)], schema)
     got = rows.select(from_entities(full_names(F.col("e")), "PERSON").alias("m")).collect()
     assert [[m["value"] for m in r["m"]] for r in got] == [["Rashi Patil"], []]
+
+
+def test_options_from_the_session(spark):
+    spark.conf.set("veilspark.region", "IN")
+    spark.conf.set("veilspark.areaCodes", "415, 212")
+    try:
+        assert Options.from_conf(spark) == Options("IN", 2026, ("415", "212"))
+    finally:
+        spark.conf.unset("veilspark.region")
+        spark.conf.unset("veilspark.areaCodes")
+
+
+def test_scores(spark):
+    row = spark.range(1).select(confidences().alias("c")).first()["c"]
+    assert row["email"] == 1.0 and row["org_suffix"] == 0.85 and row["address_in_house"] == 0.6

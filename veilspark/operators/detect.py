@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
@@ -30,6 +30,13 @@ class Options:
     #: North American area codes in use; without them the numbering rule alone decides.
     area_codes: tuple[str, ...] = ()
 
+    @classmethod
+    def from_conf(cls, spark: SparkSession) -> Options:
+        """From the session's veilspark.region, veilspark.asOfYear and veilspark.areaCodes (comma-separated), with the defaults above."""
+        get = lambda key, default: spark.conf.get(f"veilspark.{key}", default)
+        codes = get("areaCodes", "")
+        return cls(get("region", cls.region), int(get("asOfYear", str(cls.as_of_year))), tuple(c.strip() for c in codes.split(",") if c.strip()))
+
 
 def no_matches() -> Column:
     return F.expr(f"cast(array() as array<{MATCH}>)")
@@ -110,6 +117,8 @@ class Detector:
     unicode: bool = False
     valid: Callable[[Column, Options], Column] | None = None
     guard: Callable[[Column], Column] | None = None
+    #: How sure a match is; checked types are certain. It is reported, never used to filter.
+    score: float = 1.0
 
     def __call__(self, text: Column, options: Options = Options()) -> Column:
         spans = match_spans(text, P.java(self.pattern, self.unicode), self.guard(text) if self.guard else None)
@@ -132,11 +141,11 @@ DETECTORS: dict[str, Detector] = {
     "dob_numeric": Detector("DATE_OF_BIRTH", P.DATE, valid=lambda v, o: valid_numeric_date(v, o.as_of_year), guard=_digit("[0-9][/-][0-9]{1,2}[/-][0-9]")),
     "dob_mdy": Detector("DATE_OF_BIRTH", P.MDY, valid=lambda v, o: valid_named_date(v, o.as_of_year, False), guard=_digit(rf"(?i)(?:{P.MONTHS})\.?[\t\n\f\r ]+[0-9]")),
     "dob_dmy": Detector("DATE_OF_BIRTH", P.DMY, valid=lambda v, o: valid_named_date(v, o.as_of_year, True), guard=_digit(rf"(?i)[0-9][\t\n\f\r ]+(?:{P.MONTHS})")),
-    "org_suffix": Detector("ORG", P.ORG, unicode=True, guard=_digit(rf"(?U)\s(?:{P.SUFFIX})\b")),
-    "address_us": Detector("ADDRESS", P.ADDRESS_US, unicode=True, guard=_digit(r"(?U)\d\s+[A-Z]")),
-    "address_in_locality": Detector("ADDRESS", P.ADDRESS_IN_LOCALITY, unicode=True, guard=_digit(rf"(?:{P.LOCALITY})")),
-    "address_in_house": Detector("ADDRESS", P.ADDRESS_IN_HOUSE, unicode=True, guard=_digit(r"(?i)(?:s|y|plot|flat|gat)\.?\s*no")),
-    "address_in_pin": Detector("ADDRESS", P.ADDRESS_IN_PIN, unicode=True, guard=_digit(r"(?U)\d{3}\s?\d{3}")),
+    "org_suffix": Detector("ORG", P.ORG, unicode=True, guard=_digit(rf"(?U)\s(?:{P.SUFFIX})\b"), score=P.SCORES["org_suffix"]),
+    "address_us": Detector("ADDRESS", P.ADDRESS_US, unicode=True, guard=_digit(r"(?U)\d\s+[A-Z]"), score=P.SCORES["address_us"]),
+    "address_in_locality": Detector("ADDRESS", P.ADDRESS_IN_LOCALITY, unicode=True, guard=_digit(rf"(?:{P.LOCALITY})"), score=P.SCORES["address_in_locality"]),
+    "address_in_house": Detector("ADDRESS", P.ADDRESS_IN_HOUSE, unicode=True, guard=_digit(r"(?i)(?:s|y|plot|flat|gat)\.?\s*no"), score=P.SCORES["address_in_house"]),
+    "address_in_pin": Detector("ADDRESS", P.ADDRESS_IN_PIN, unicode=True, guard=_digit(r"(?U)\d{3}\s?\d{3}"), score=P.SCORES["address_in_pin"]),
 }
 
 
@@ -155,6 +164,11 @@ def full_name(value: Column) -> Column:
     return F.size(F.filter(F.split(value, r"\s+"), lambda t: t != "")) >= 2
 
 
+def confidences() -> Column:
+    """A map literal from detector name to score."""
+    return F.create_map(*[F.lit(x) for name, d in DETECTORS.items() for x in (name, d.score)])
+
+
 def detect_all(text: Column, names: tuple[str, ...] | None = None, options: Options = Options(), extra: tuple[Column, ...] = ()) -> Column:
     """The matches of all detectors (or those named), duplicates kept, and those of `extra` match arrays."""
     return F.concat(*(DETECTORS[n](text, options) for n in names or DETECTORS), *extra)

@@ -19,6 +19,11 @@ def totals(redacted: DataFrame, *by: str) -> DataFrame:
     return redacted.groupBy(*by).agg(F.sum("n").alias("matches"), F.sum((F.col("n") > 0).cast("long")).alias("texts"))
 
 
+def totals_rollup(redacted: DataFrame, *by: str) -> DataFrame:
+    """`totals` with subtotals; a null key stands for all."""
+    return redacted.rollup(*by).agg(F.sum("n").alias("matches"), F.sum((F.col("n") > 0).cast("long")).alias("texts"))
+
+
 def calls(texts: DataFrame, column: str) -> DataFrame:
     """Rows, and the distinct texts that a deduplicated analysis looks at."""
     return texts.agg(F.count(F.lit(1)).alias("calls"), F.count_distinct(column).alias("distinct_texts"))

@@ -134,6 +134,15 @@ def redaction_counts(spark: SparkSession, sf: str) -> DataFrame:
     return report.counts_by_type(redact(texts(spark, sf, "mixed"), options=OPTIONS), "id")
 
 
+@query(
+    "redaction_totals",
+    f"SELECT source, sum(n)::BIGINT AS matches, count(*) FILTER (n > 0) AS texts FROM ({O.redacted('documents')}) JOIN documents ON id = doc_id GROUP BY ROLLUP (source)",
+)
+def redaction_totals(spark: SparkSession, sf: str) -> DataFrame:
+    rows = redact(load(spark, sf, "documents").select("source", "text"), options=OPTIONS)
+    return report.totals_rollup(rows, "source")
+
+
 @query(
     "label_filter",
     "SELECT c_custkey AS id, 0::BIGINT AS match_start, length(c_name)::BIGINT AS match_end, c_name AS value FROM customer WHERE c_custkey % 3 = 0",
