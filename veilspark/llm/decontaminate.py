@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .store import map_arrow
 
 ERROR_RATE = 0.08
-#: Characters of items that one automaton holds; more items go in further blocks, each a pass of its own.
-BLOCK_CHARS = 8_000_000
+#: Characters of items that one automaton holds, some 100 bytes of a worker's memory each; more items go in further blocks, each a pass of its own.
+BLOCK_CHARS = 1_000_000
 
 
 def normal(text: str | None) -> str:

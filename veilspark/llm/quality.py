@@ -166,7 +166,7 @@ def perplexities(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFra
     table = log_probabilities(counts)
     drop(counts)
     kinds = "doc_id long, lang string, role int, n long, total double"
-    if table.limit(max_broadcast + 1).count() <= max_broadcast:
+    if table.count() <= max_broadcast:
         rows = table.select("g", F.col("logp").cast("float")).toArrow()
         keys, logp = rows["g"].to_numpy(), rows["logp"].to_numpy()
         order = np.argsort(keys)
@@ -229,6 +229,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max
 def _marked(rows: DataFrame, good: DataFrame) -> DataFrame:
     """`rows` with `role`; wide rows are shuffled only if the trusted ids are too many to broadcast."""
     ids = good.select(F.col("doc_id").alias("_id_"))
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     role = F.when(F.col("_id_").isNull(), OTHER).when(F.pmod(F.xxhash64("_id_"), F.lit(HELD_OUT_SHARE)) == 0, HELD_OUT).otherwise(TRAINS)
     return rows.join(ids, F.col("doc_id") == F.col("_id_"), "left").select("doc_id", "lang", "text", role.alias("role"))

@@ -71,7 +71,7 @@ def join_ids(rows: DataFrame, key: str, ids: DataFrame, how: str) -> DataFrame:
     """`rows` whose `key` is in (left_semi) or not in (left_anti) the one-column table `ids`; wide rows are not shuffled while the ids are few."""
     own = f"_id_{uuid.uuid4().hex[:12]}"  # no column of `rows` has it
     ids = ids.select(F.col(ids.columns[0]).alias(own))
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     return rows.join(ids, F.col(key) == F.col(own), how)
 
 
