@@ -127,25 +127,25 @@ class Detector:
         return F.transform(spans, lambda s: as_match(self.type, s))
 
 
-def _digit(pattern: str) -> Callable[[Column], Column]:
+def _trace(pattern: str) -> Callable[[Column], Column]:
     return lambda text: text.rlike(pattern)
 
 
 DETECTORS: dict[str, Detector] = {
     "email": Detector("EMAIL", P.EMAIL, guard=lambda t: t.contains("@")),
-    "phone": Detector("PHONE", P.PHONE, valid=lambda v, o: valid_phone(v, o.region, o.area_codes), guard=_digit(r"[0-9][0-9().\-\t\n\f\r ]{6}")),
-    "ssn": Detector("SSN", P.SSN, valid=lambda v, o: valid_ssn(v), guard=_digit("[0-9]{3}-[0-9]{2}-[0-9]{4}")),
-    "credit_card": Detector("CREDIT_CARD", P.CARD, valid=lambda v, o: valid_card(v), guard=_digit("[0-9](?:[ -]?[0-9]){12}")),
-    "ipv4": Detector("IP_ADDRESS", P.IPV4, valid=lambda v, o: v.rlike(P.IPV4_VALID), guard=_digit(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
-    "ipv6": Detector("IP_ADDRESS", P.IPV6, valid=lambda v, o: v.contains(":") & valid_ipv6(v), guard=lambda t: t.contains("::") | t.rlike("(?:[0-9A-Fa-f]{1,4}:){7}")),
-    "dob_numeric": Detector("DATE_OF_BIRTH", P.DATE, valid=lambda v, o: valid_numeric_date(v, o.as_of_year), guard=_digit("[0-9][/-][0-9]{1,2}[/-][0-9]")),
-    "dob_mdy": Detector("DATE_OF_BIRTH", P.MDY, valid=lambda v, o: valid_named_date(v, o.as_of_year, False), guard=_digit(rf"(?i)(?:{P.MONTHS})\.?[\t\n\f\r ]+[0-9]")),
-    "dob_dmy": Detector("DATE_OF_BIRTH", P.DMY, valid=lambda v, o: valid_named_date(v, o.as_of_year, True), guard=_digit(rf"(?i)[0-9][\t\n\f\r ]+(?:{P.MONTHS})")),
-    "org_suffix": Detector("ORG", P.ORG, unicode=True, guard=_digit(rf"(?U)\s(?:{P.SUFFIX})\b"), score=P.SCORES["org_suffix"]),
-    "address_us": Detector("ADDRESS", P.ADDRESS_US, unicode=True, guard=_digit(r"(?U)\d\s+[A-Z]"), score=P.SCORES["address_us"]),
-    "address_in_locality": Detector("ADDRESS", P.ADDRESS_IN_LOCALITY, unicode=True, guard=_digit(rf"(?:{P.LOCALITY})"), score=P.SCORES["address_in_locality"]),
-    "address_in_house": Detector("ADDRESS", P.ADDRESS_IN_HOUSE, unicode=True, guard=_digit(r"(?i)(?:s|y|plot|flat|gat)\.?\s*no"), score=P.SCORES["address_in_house"]),
-    "address_in_pin": Detector("ADDRESS", P.ADDRESS_IN_PIN, unicode=True, guard=_digit(r"(?U)\d{3}\s?\d{3}"), score=P.SCORES["address_in_pin"]),
+    "phone": Detector("PHONE", P.PHONE, valid=lambda v, o: valid_phone(v, o.region, o.area_codes), guard=_trace(r"[0-9][0-9().\-\t\n\f\r ]{6}")),
+    "ssn": Detector("SSN", P.SSN, valid=lambda v, o: valid_ssn(v), guard=_trace("[0-9]{3}-[0-9]{2}-[0-9]{4}")),
+    "credit_card": Detector("CREDIT_CARD", P.CARD, valid=lambda v, o: valid_card(v), guard=_trace("[0-9](?:[ -]?[0-9]){12}")),
+    "ipv4": Detector("IP_ADDRESS", P.IPV4, valid=lambda v, o: v.rlike(P.IPV4_VALID), guard=_trace(r"[0-9]\.[0-9]{1,3}\.[0-9]")),
+    "ipv6": Detector("IP_ADDRESS", P.IPV6, valid=lambda v, o: v.contains(":") & valid_ipv6(v), guard=lambda t: t.contains("::") | t.rlike(":[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:")),
+    "dob_numeric": Detector("DATE_OF_BIRTH", P.DATE, valid=lambda v, o: valid_numeric_date(v, o.as_of_year), guard=_trace("[0-9][/-][0-9]{1,2}[/-][0-9]")),
+    "dob_mdy": Detector("DATE_OF_BIRTH", P.MDY, valid=lambda v, o: valid_named_date(v, o.as_of_year, False), guard=_trace(r"[0-9],?[\t\n\f\r ]+[0-9]{4}")),
+    "dob_dmy": Detector("DATE_OF_BIRTH", P.DMY, valid=lambda v, o: valid_named_date(v, o.as_of_year, True), guard=_trace(rf"(?i)[0-9][\t\n\f\r ]+(?:{P.MONTHS})")),
+    "org_suffix": Detector("ORG", P.ORG, unicode=True, guard=_trace(rf"(?U)\s(?:{P.SUFFIX})\b"), score=P.SCORES["org_suffix"]),
+    "address_us": Detector("ADDRESS", P.ADDRESS_US, unicode=True, guard=_trace(r"(?U)\d\s+[A-Z]"), score=P.SCORES["address_us"]),
+    "address_in_locality": Detector("ADDRESS", P.ADDRESS_IN_LOCALITY, unicode=True, guard=_trace(rf"(?=[A-Z])(?:{P.LOCALITY})"), score=P.SCORES["address_in_locality"]),
+    "address_in_house": Detector("ADDRESS", P.ADDRESS_IN_HOUSE, unicode=True, guard=_trace(r"(?U)[tTyYsSſ]\.?\s*[nN][oO]"), score=P.SCORES["address_in_house"]),
+    "address_in_pin": Detector("ADDRESS", P.ADDRESS_IN_PIN, unicode=True, guard=_trace(r"(?U)\d{3}\s?\d{3}"), score=P.SCORES["address_in_pin"]),
 }
 
 
