@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.ship import ship
+
 ENTITIES = "array<struct<type:string,start:bigint,end:bigint,text:string,confidence:double>>"
 
 
@@ -69,7 +71,7 @@ def entities(rows: DataFrame, column: str, provider: TextProvider) -> DataFrame:
 
     def work(distinct: DataFrame) -> DataFrame:
         kinds = ", ".join(f"`{n}` {t}" for n, t in distinct.dtypes)
-        return distinct.mapInPandas(run, f"{kinds}, entities {ENTITIES}, provider_error string")
+        return ship(distinct).mapInPandas(run, f"{kinds}, entities {ENTITIES}, provider_error string")
 
     return dedup_by_text(rows, column, work)
 
@@ -89,4 +91,4 @@ def redact_images(media: DataFrame, provider: ImageProvider) -> DataFrame:
 
     keyed = media.withColumn("_key", F.concat_ws(":", "format", F.sha2("data", 256)))
     distinct = keyed.groupBy("_key").agg(F.any_value("format").alias("format"), F.any_value("data").alias("data"))
-    return keyed.join(distinct.mapInPandas(run, "_key string, redacted binary, regions long, image_error string"), "_key", "left").drop("_key")
+    return keyed.join(ship(distinct).mapInPandas(run, "_key string, redacted binary, regions long, image_error string"), "_key", "left").drop("_key")

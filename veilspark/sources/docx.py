@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.ship import ship
+
 # The namespace and the folder of images.
 NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 MEDIA = "word/media/"
@@ -108,7 +110,7 @@ def parts(packages: DataFrame) -> DataFrame:
                     rows.append((path, None, None, None, str(error)))
             yield _batch(rows, [("path", pa.string()), ("name", pa.string()), ("ord", pa.int32()), ("content", pa.binary()), ("error", pa.string())])
 
-    return packages.select("path", "content").mapInArrow(run, "path string, name string, ord int, content binary, error string")
+    return ship(packages).select("path", "content").mapInArrow(run, "path string, name string, ord int, content binary, error string")
 
 
 def _batch(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -135,7 +137,7 @@ def text_spans(packages: DataFrame) -> DataFrame:
                     rows += [(path, name, k, a, b, text) for k, (a, b, text) in enumerate(spans)]
             yield _batch(rows, [("path", pa.string()), ("part", pa.string()), ("span_id", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())])
 
-    return packages.select("path", "content").mapInArrow(run, "path string, part string, span_id int, start long, stop long, text string")
+    return ship(packages).select("path", "content").mapInArrow(run, "path string, part string, span_id int, start long, stop long, text string")
 
 
 def _text_parts(content: bytes | None):
@@ -177,7 +179,7 @@ def redact_packages(packages: DataFrame, redact: Callable[[DataFrame], DataFrame
                     rows.append((path, content, 0, 0, f"{type(error).__name__}: {error}"))
             yield _batch(rows, [("path", pa.string()), ("content", pa.binary()), ("redactions", pa.int64()), ("regions", pa.int64()), ("error", pa.string())])
 
-    return packages.select("path", "content").join(gathered, "path", "left").mapInArrow(run, "path string, content binary, redactions long, regions long, error string")
+    return ship(packages).select("path", "content").join(gathered, "path", "left").mapInArrow(run, "path string, content binary, redactions long, regions long, error string")
 
 
 def _changed(content: bytes, changes: list[dict]) -> tuple[bytes, int, int]:
@@ -229,7 +231,7 @@ def build(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.record_batch([batch.column("path"), pa.array([package(p or []) for p in batch.column("paragraphs").to_pylist()], pa.binary())], names=["path", "content"])
 
-    return rows.select("path", "paragraphs").mapInArrow(run, "path string, content binary")
+    return ship(rows).select("path", "paragraphs").mapInArrow(run, "path string, content binary")
 
 
 def write(packages: DataFrame, folder: str, name=None) -> None:
