@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.ship import ship
+
 from .store import map_arrow, put
 from .textbytes import LOWER, U64, Words, blocks, buffer_of, mix
 
@@ -194,7 +196,7 @@ def pack(
     pieces = put(map_arrow(docs, _pieces(tokenizer_path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"), "pieces")
     shards = max(1, -(-pieces.count() // PIECES_PER_SHARD))
     return (
-        pieces.withColumn("shard", F.col("salt") % F.lit(shards))
+        ship(pieces).withColumn("shard", F.col("salt") % F.lit(shards))
         .groupBy("shard")
         .applyInArrow(_pack(limits, weights, rule), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )

@@ -165,11 +165,11 @@ def boost(rows: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.4,
 
 
 def fit(docs: DataFrame, max_documents: int = 20_000, precision: float = 0.98) -> Model:
-    """A model from about `max_documents` documents (by hashed text), whatever the size of `docs`; an empty table gives a model that proposes nothing."""
+    """A model from about `max_documents` documents (by hashed id and text), whatever the size of `docs`; an empty table gives a model that proposes nothing."""
     parts = max(1, -(-docs.count() // max_documents))
     text = F.coalesce("text", F.lit(""))
     # texts that hold neither a digit nor an address have no candidates
-    sample = docs.select(text.alias("text"), F.xxhash64("text").alias("h")).filter((F.pmod("h", F.lit(parts)) == 0) & F.col("text").rlike("[0-9@]|[(\\[](?:at|AT)"))
+    sample = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h")).filter((F.pmod("h", F.lit(parts)) == 0) & F.col("text").rlike("[0-9@]|[(\\[](?:at|AT)"))
     spans, proposed = base_spans(F.col("text")), candidates(F.col("text"))
     # a separate projection, so that the lists are made once
     listed = sample.select("h", F.concat(*spans.values()).alias("base"), *(c.alias(n) for n, c in proposed.items()))

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspark.functions.ship import ship
+
 _written: dict[str, SparkSession] = {}
 
 
@@ -36,7 +38,7 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     digits = (now or "").rstrip("bB")
     if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return df.mapInArrow(function, schema)
+    return ship(df).mapInArrow(function, schema)
 
 
 def put(df: DataFrame, name: str) -> DataFrame:
