@@ -15,7 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
-from veilspark.functions.spans import match_spans
+from veilspark.functions.spans import let, match_spans
 from veilspark.functions.text import digits, luhn, plain_date, strip_separators, year_bounds
 
 MATCH = "struct<start:bigint,neg_length:bigint,priority:int,type:string,end:bigint,value:string>"
@@ -120,8 +120,16 @@ class Detector:
     #: How sure a match is; checked types are certain. It is reported, never used to filter.
     score: float = 1.0
 
-    def __call__(self, text: Column, options: Options = Options()) -> Column:
-        spans = match_spans(text, P.java(self.pattern, self.unicode), self.guard(text) if self.guard else None)
+    @property
+    def needs_digit(self) -> bool:
+        return self.pattern in (P.PHONE, P.SSN, P.CARD, P.IPV4, P.DATE, P.MDY, P.DMY, P.ADDRESS_US, P.ADDRESS_IN_PIN)
+
+    def __call__(self, text: Column, options: Options = Options(), has_digit: Column | None = None) -> Column:
+        """`has_digit` spares texts without digits the guards of detectors that need one."""
+        guard = self.guard(text) if self.guard else text.isNotNull()
+        if has_digit is not None and self.needs_digit:
+            guard = has_digit & guard
+        spans = match_spans(text, P.java(self.pattern, self.unicode), guard)
         if self.valid:
             spans = F.filter(spans, lambda s: self.valid(s["value"], options))
         return F.transform(spans, lambda s: as_match(self.type, s))
@@ -171,4 +179,5 @@ def confidences() -> Column:
 
 def detect_all(text: Column, names: tuple[str, ...] | None = None, options: Options = Options(), extra: tuple[Column, ...] = ()) -> Column:
     """The matches of all detectors (or those named), duplicates kept, and those of `extra` match arrays."""
-    return F.concat(*(DETECTORS[n](text, options) for n in names or DETECTORS), *extra)
+    chosen = [DETECTORS[n] for n in names or DETECTORS]
+    return let(F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False)), lambda digit: F.concat(*(d(text, options, digit) for d in chosen), *extra))
