@@ -209,6 +209,19 @@ def test_perplexity_equals_the_plain_model(spark):
             assert got[i][0] == len(t) + 1 and got[i][1] == pytest.approx(total(t), rel=1e-4)
 
 
+def test_stretches_have_the_same_ngrams():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcé") for _ in range(rng.randrange(0, 40))) for _ in range(50)] + [""]
+    whole, begin = Q.grams(texts)
+    for size in (1, 3, 7, 40):
+        by = defaultdict(list)
+        for rows, contexts, parts, ends in Q.stretches(texts, size):
+            keys, at = Q.grams(parts, contexts, ends)
+            for row, a, b in zip(rows, at[:-1], at[1:], strict=True):
+                by[row] += keys[a:b].tolist()
+        assert [by[i] for i in range(len(texts))] == [whole[a:b].tolist() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
 def test_probabilities_sum_to_one():
     total = plain_model(["abracadabra", "abba"])
     assert total("abra") < 0 and math.exp(total("abracadabra")) < 1

@@ -39,6 +39,7 @@ def test_blocks_and_words_across_texts():
     w = Words(LOWER[raw], at)
     assert np.diff(w.first).tolist() == [2, 0, 0, 1, 1]
     assert [len(s) for s in shingle_sets(w, 2)] == [1, 0, 0, 1, 1]
+    assert (w.hashes(stretch=3) == w.hashes()).all()
     assert buffer_of(batch.column(0).slice(3))[1].tolist() == [0, 50, 53]
 
 

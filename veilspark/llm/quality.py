@@ -40,24 +40,48 @@ BIN = 0.001  # of log-perplexity
 _HELD = 3_000_000  # distinct n-grams that a counting task holds before it passes them on
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+#: Characters of a text that are looked at together; longer texts go in stretches that know the characters before them.
+STRETCH = 1 << 18
+
+
+def stretches(texts: list[str], size: int | None = None):
+    """(rows, contexts, parts, ends) of lists of stretches: the text of each, the characters before it, and whether the text ends with it."""
+    size = size or STRETCH
+    rows, contexts, parts, ends, held = [], [], [], [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), size):
+            part = text[at : at + size]
+            rows.append(row), contexts.append(text[max(0, at - ORDER + 1) : at]), parts.append(part), ends.append(at + size >= len(text))
+            held += len(part)
+            if held >= 4 * size:
+                yield rows, contexts, parts, ends
+                rows, contexts, parts, ends, held = [], [], [], [], 0
+    if rows:
+        yield rows, contexts, parts, ends
+
+
+def grams(texts: list[str], contexts: list[str] | None = None, ends: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, first key of each text and one more): a key for each character and for each text's end, with the four codes before it."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    contexts = contexts or [""] * len(texts)
+    lead = np.array([len(c) for c in contexts], np.int64)
+    last = np.ones(len(texts), np.int64) if ends is None else np.array(ends, np.int64)
+    codes = np.frombuffer("".join(c + t for c, t in zip(contexts, texts, strict=True)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     codes = np.where(codes < OWN_CODES, codes + 2, OWN_CODES + codes % (SHARED_CODES - 2) + 2)
-    size = np.array([len(t) for t in texts], np.int64)
-    begin = np.concatenate(([0], np.cumsum(size + 1)))
+    size = np.array([len(t) for t in texts], np.int64) + lead + last
+    begin = np.concatenate(([0], np.cumsum(size)))
     flow = np.full(begin[-1], END, np.int64)
     inside = np.ones(begin[-1], bool)
-    inside[begin[1:] - 1] = False
+    inside[begin[1:][last == 1] - 1] = False
     flow[inside] = codes
     keys = flow.copy()
-    place = np.arange(begin[-1]) - np.repeat(begin[:-1], size + 1)
+    place = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
     for k in range(1, ORDER):
         before = np.zeros(begin[-1], np.int64)
         before[k:] = flow[:-k]
         before[place < k] = START
         keys |= before << (BITS * k)
-    return keys, begin
+    keys = keys[place >= np.repeat(lead, size)]
+    return keys, np.concatenate(([0], np.cumsum(size - lead)))
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +101,8 @@ def _count(batches):
         texts = batch.column("text").to_pylist()
         for flag in (True, False):
             part = [t or "" for t, y in zip(texts, trusted, strict=True) if y == flag]
-            if part:
-                keys, counts = np.unique(grams(part)[0], return_counts=True)
+            for _, contexts, parts, ends in stretches(part):
+                keys, counts = np.unique(grams(parts, contexts, ends)[0], return_counts=True)
                 held.append((keys, counts * flag))
                 total += len(keys)
         if total > 2 * _HELD:
@@ -136,27 +160,29 @@ def _scored_here(table):
     def run(batches):
         keys, logp = table.value
         for batch in blocks(batches, limit=1 << 20):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            flow, begin = grams(texts)
-            distinct, which = np.unique(flow, return_inverse=True)
-            at = np.searchsorted(keys, distinct)
-            value = logp[np.minimum(at, len(keys) - 1)].astype(np.float64) if len(keys) else np.full(len(distinct), np.log(2.0**-BITS))
-            total = np.add.reduceat(value[which], begin[:-1])
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for rows, contexts, parts, ends in stretches([t or "" for t in batch.column("text").to_pylist()]):
+                flow, begin = grams(parts, contexts, ends)
+                distinct, which = np.unique(flow, return_inverse=True)
+                value = logp[np.searchsorted(keys, distinct)].astype(np.float64)  # the table holds every n-gram of every text
+                np.add.at(total, rows, np.add.reduceat(value[which], begin[:-1]))
+                np.add.at(n, rows, np.diff(begin))
             rest = [batch.column(c) for c in ("doc_id", "lang", "role")]
-            yield pa.record_batch([*rest, pa.array(np.diff(begin)), pa.array(total)], names=["doc_id", "lang", "role", "n", "total"])
+            yield pa.record_batch([*rest, pa.array(n), pa.array(total)], names=["doc_id", "lang", "role", "n", "total"])
 
     return run
 
 
 def _text_grams(batches):
     for batch in blocks(batches, limit=1 << 20):
-        flow, begin = grams([t or "" for t in batch.column("text").to_pylist()])
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(begin))
-        order = np.lexsort((flow, doc))
-        flow, doc = flow[order], doc[order]
-        first = np.flatnonzero(np.concatenate(([True], (flow[1:] != flow[:-1]) | (doc[1:] != doc[:-1]))))
-        times = np.diff(np.append(first, len(flow)))
-        yield pa.record_batch([batch.column("key").take(pa.array(doc[first])), pa.array(flow[first]), pa.array(times)], names=["key", "g", "times"])
+        for rows, contexts, parts, ends in stretches([t or "" for t in batch.column("text").to_pylist()]):
+            flow, begin = grams(parts, contexts, ends)
+            doc = np.repeat(np.array(rows), np.diff(begin))
+            order = np.lexsort((flow, doc))
+            flow, doc = flow[order], doc[order]
+            first = np.flatnonzero(np.concatenate(([True], (flow[1:] != flow[:-1]) | (doc[1:] != doc[:-1]))))
+            times = np.diff(np.append(first, len(flow)))
+            yield pa.record_batch([batch.column("key").take(pa.array(doc[first])), pa.array(flow[first]), pa.array(times)], names=["key", "g", "times"])
 
 
 def perplexities(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:

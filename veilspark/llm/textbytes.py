@@ -81,7 +81,7 @@ class Words:
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SPACE, cuts: np.ndarray | None = None):
         """cuts: bytes at which a word starts even without a separator before it."""
-        self.raw, self.offsets, n = raw, offsets, len(raw)
+        self.raw, n = raw, len(raw)
         inside = ~separator[raw]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
@@ -95,15 +95,22 @@ class Words:
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
         #: Of each document, its first word; one more at the end.
         self.first = np.searchsorted(self.starts, offsets)
-        up, self.down = _power_tables(n)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(_CODES[raw] * up[:n], out=self.sums[1:])
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
-
-    def hashes(self) -> np.ndarray:
-        return self.span_hashes(self.starts, self.ends)
+    def hashes(self, stretch: int = 1 << 20) -> np.ndarray:
+        """A hash of each word's bytes. The sums cover about `stretch` bytes at a time, so a very long text needs no more memory for them."""
+        out = np.empty(len(self.starts), U64)
+        a = 0
+        while a < len(out):
+            low = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(self.ends, low + stretch, "right")))
+            starts, ends = self.starts[a:b] - low, self.ends[a:b] - low
+            n = int(ends[-1])
+            up, down = _power_tables(n)
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(_CODES[self.raw[low : low + n]] * up[:n], out=sums[1:])
+            out[a:b] = mix((sums[ends] - sums[starts]) * down[starts])
+            a = b
+        return out
 
 
 def shingle_sets(words: Words, width: int = 5) -> list[np.ndarray]:

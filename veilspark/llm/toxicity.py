@@ -132,7 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_feat
     words = np.array([r["word"] for r in chosen], np.int64).view(U64)
     order = np.argsort(words)
     words, typical = words[order], np.array([r["z"] > 0 for r in chosen])[order]
-    rows = [(r["toxic"], np.frombuffer(r["features"], "<i4")) for r in map_arrow(known, _examples(words), "toxic int, features binary").collect()]
+    found = sorted((r["toxic"], bytes(r["features"])) for r in map_arrow(known, _examples(words), "toxic int, features binary").collect())  # one order, so one model
+    rows = [(toxic, np.frombuffer(features, "<i4")) for toxic, features in found]
     drop(known)
     return Model(words, *train(rows, typical))
 
