@@ -91,7 +91,7 @@ def names():
         def analyze(self, texts):
             if "BOOM" in texts[0]:
                 raise RuntimeError("no model")
-            return [[("PERSON", t.index("Rashi Patil"), t.index("Rashi Patil") + 11, "Rashi Patil", 0.8)] if "Rashi Patil" in t else [] for t in texts]
+            return [[("PERSON", t.index("Nora Fields"), t.index("Nora Fields") + 11, "Nora Fields", 0.8)] if "Nora Fields" in t else [] for t in texts]
 
         def redact_image(self, data, fmt):
             if data == b"bad":
@@ -102,7 +102,7 @@ def names():
 
 
 def test_provider_entities_once_per_text_and_errors_visible(spark):
-    rows = spark.createDataFrame([(1, "é Rashi Patil"), (2, "é Rashi Patil"), (3, "BOOM"), (4, None), (5, "")], "i int, text string")
+    rows = spark.createDataFrame([(1, "é Nora Fields"), (2, "é Nora Fields"), (3, "BOOM"), (4, None), (5, "")], "i int, text string")
     got = {r["i"]: r for r in providers.entities(rows, "text", names()).collect()}
     assert got[1]["entities"] == got[2]["entities"] and got[1]["entities"][0]["start"] == 2
     assert got[3]["entities"] == [] and "no model" in got[3]["provider_error"] and got[4]["entities"] is None and got[5]["entities"] == []

@@ -7,7 +7,7 @@ that is gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark.functions.spans import explode_once

@@ -41,7 +41,7 @@ SOURCES = {
         "'The meeting is 12-25 at gate 42, ' || " + _text("2000000000 + c_custkey * 104729"), "'call 415-555-0132 2024 now'", "'(415) 555-0132\n(415) 555-0148'",
     ]) + " AS text FROM {customer}",
     "orgs": "SELECT p_partkey AS id, " + _case("p_partkey", [
-        "'The contract was signed with Global Dynamics LLC yesterday.'", "'Rashi works at ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' Corp on weekdays.'", "'Étoile Noire Ltd. and acme corp'",
+        "'The contract was signed with Global Dynamics LLC yesterday.'", "'Nora works at ' || upper(substr(p_name, 1, 1)) || substr(p_name, 2) || ' Corp on weekdays.'", "'Étoile Noire Ltd. and acme corp'",
         "'Acme L.L.C. did'", "'Smith & Sons Holdings, O''Neil-Berg, Inc. of ' || p_brand || ' Group'",
     ]) + " AS text FROM {part}",
     "addresses": "SELECT c_custkey AS id, " + _case("c_custkey", [
