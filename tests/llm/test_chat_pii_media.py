@@ -131,6 +131,38 @@ def test_clean_text_has_no_boosted_spans(spark, model):
     assert all(r["spans"] == "" for r in P.digest(P.find(clean, model)).collect())
 
 
+# what base misses, and what is no personal data
+PLANTED = ("(310) 555-01{k:02}", "310-555-01{k:02}", "tel 55501{k:02}", "4111.1111.1111.1111", "4111/1111/1111/1111", "ann{k} [at] mail.example.com", "bob{k}(at)example.org", "eve{k} [at] mail [dot] example [dot] com", "030 12345{k:02}")
+OTHERS = ("2024-01-{k:02}", "part 12345{k:02}", "1999-2004", "4111.1111.1111.11{k:02}", "{k}00.000.000.000")
+
+
+def planted_documents(each):
+    rng = random.Random(5)
+    forms = [("+1 310 555 01{k:02}", None), ("a{k}@example.com", None), *((f, True) for f in PLANTED), *((f, False) for f in OTHERS)]
+    out = []
+    for form, kind in forms:
+        for _ in range(each):
+            value = form.format(k=rng.randrange(10, 29))
+            if kind is False and passes(re.sub("[^0-9]", "", value)):
+                continue
+            out.append((len(out), f"the rest of it {value}, as said", value, kind))
+    return out
+
+
+def found_boosts(spark, fitted, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    by = {r["doc_id"]: [(s["start"], s["end"]) for s in r["boost"]] for r in P.find(docs, fitted).collect()}
+    return {i: [text[a:b] for a, b in by[i]] for i, text, _, _ in rows}
+
+
+def test_boosted_spans_are_what_base_misses(spark):
+    rows = planted_documents(40)
+    fitted = P.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"))
+    got = found_boosts(spark, fitted, rows)
+    for i, _, value, kind in rows:
+        assert got[i] == ([value.removeprefix("tel ")] if kind else []), value
+
+
 def test_redacted_text(spark, model):
     docs = spark.createDataFrame([(1, "é mail a@b.com or +1 310 555 0199."), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in P.redact(docs, model).collect()} == {1: "é mail [EMAIL] or [PHONE].", 2: ""}

@@ -8,8 +8,10 @@ generator's calibrated threshold on become `boost` spans unless base spans cover
 the sample does not hold have no evidence and are never selected.
 
 What reaches the driver for fitting is one count for each distinct bit vector, so its size
-is bounded by the number of bits. Labels are weak: a candidate that a checked base
-span covers is positive. Half of the sample fits the trees, the other half calibrates.
+is bounded by the number of bits. Labels are weak: a candidate is positive that a checked
+base span covers, or that has evidence of its own which the base patterns do not look for
+(see `evidence`). Half of the sample fits the trees, the other half calibrates; a threshold
+must hold for all candidates and for those that no base span touches, which are what it adds.
 """
 
 from __future__ import annotations
@@ -31,10 +33,19 @@ KINDS = ("email", "ip", "card", "phone")
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 # Generators of candidates: loose addresses and runs of digits.
 LOOSE = {
-    "address": r"(?:\G|(?<![^\s<>()\[\],;:\"']))[^\s@<>()\[\],;:\"']++(?:@|\s?[\[(](?:at|AT)[\])]\s?)[^\s@<>()\[\],;:\"']++",
+    "address": r"(?:\G|(?<![^\s<>()\[\],;:\"']))[^\s@<>()\[\],;:\"']++(?:@|\s?[\[(](?:at|AT)[\])]\s?)(?:[^\s@<>()\[\],;:\"'.!?]|[.!?](?=[^\s@<>()\[\],;:\"'.!?])|\s?[\[(](?:dot|DOT)[\])]\s?)++",
     "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ()./-]{0,3}[0-9]){6,}+",
 }
 CONTEXT = 24
+# Words before a candidate, in the languages of the corpus; marks that hide an address; forms of numbers.
+FILL = r"(?:[^\p{L}]+(?:number|no|nr|is|are|me|us|at|on|under))*[^\p{L}]{0,8}$"
+PHONE_WORDS = r"(?<!\p{L})(?:(?:tele)?phone|tel|call|mobile|cell|fax|telefon|rufnummer|handy|mobil|t[eé]l[eé]phone|t[eé]l|tel[eé]fono|m[oó]vil)" + FILL
+OTHER_WORDS = r"(?<!\p{L})(?:e-?mail|mail|contact|write to|reach|card|visa|mastercard|account|address|host|server|ip)" + FILL
+AT, DOT = r"\s?[\[(](?:at|AT)[\])]\s?", r"\s?[\[(](?:dot|DOT)[\])]\s?"
+NATIONAL = r"^(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"
+NATIONAL_RANGE = r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$"
+TRUNK = r"^\(?0[1-9][0-9]{0,4}(?:\) ?|[ ./-])[0-9](?:[ ./-]?[0-9])*$"
+DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]|[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ /-]{1,3}(?:19|20)[0-9]{2})(?![0-9])"
 
 
 def _digits(value: Column) -> Column:
@@ -64,19 +75,44 @@ def _bits(x: Column) -> list[Column]:
     """Format and context features of a candidate (value, before, after)."""
     value, before, after = x["value"], F.lower(x["before"]), x["after"]
     n = F.length(_digits(value))
+    plain = _plain(value)
     return [
         value.startswith("+"), value.contains("("), value.rlike(r"[0-9][ -][0-9]"), value.rlike(r"[0-9]\.[0-9]"), n >= 8, n >= 11, n.between(16, 19),
         F.length(F.regexp_replace(value, r"[^.]", "")) == 3, value.rlike(rf"^(?:{PART}\.){{3}}{PART}$"), F.coalesce((n >= 2) & F.call_function("luhn_check", F.when(n >= 2, _digits(value)).otherwise("1")), F.lit(False)),
-        value.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), value.contains("@"),
-        before.rlike(r"(?:phone|tel|call|mobile|fax|mail|contact|card|visa|account|address|host|server|\bip)\b[^a-z]*$"), after.rlike("^[A-Za-z0-9_]"),
+        plain.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), value.contains("@"),
+        before.rlike(PHONE_WORDS), after.rlike("^[A-Za-z0-9_]"),
+        value.rlike(NATIONAL), value.rlike(DATE), value.rlike(TRUNK), before.rlike(OTHER_WORDS), value.rlike(AT),
     ]
 
 
-N_BITS = 14
+N_BITS = 19
+
+
+def _plain(value: Column) -> Column:
+    """An address with hidden marks undone."""
+    return F.regexp_replace(F.regexp_replace(value, AT, "@"), DOT, ".")
+
+
+def evidence(name: str, x: Column) -> Column:
+    """Whether a candidate (value, before, after) is personal data by evidence that the base patterns do not look for.
+
+    Addresses: a whole address once hidden marks are undone, or one without a top domain
+    after a word for mail. Numbers, but dates and beginnings of words: a national format
+    within its ranges, a checked card in any separators, 7 to 15 digits after a word for phones.
+    """
+    value, before = x["value"], F.lower(x["before"])
+    if name == "address":
+        plain = _plain(value)
+        return plain.rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$") | (plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+$") & before.rlike(OTHER_WORDS))
+    digits = _digits(value)
+    n = F.length(digits)
+    card = _card(value) & digits.rlike("^[3-6]")
+    phone = value.rlike(NATIONAL_RANGE) | (value.rlike(TRUNK) & n.between(9, 12)) | (before.rlike(PHONE_WORDS) & n.between(7, 15))
+    return (card | phone) & ~value.rlike(DATE) & ~x["after"].rlike("^[A-Za-z0-9_]")
 
 
 def candidates(text: Column) -> dict[str, Column]:
-    """By generator: array<struct<start, end, bits>>."""
+    """By generator: array<struct<start, end, bits, likely>>; likely is `evidence`."""
     out = {}
     for name, pattern in LOOSE.items():
         guard = text.rlike(r"@|[\[(](?:at|AT)[\])]") if name == "address" else text.rlike(r"[0-9](?:[ ()./-]{0,3}[0-9]){6}")
@@ -89,7 +125,7 @@ def candidates(text: Column) -> dict[str, Column]:
             bits = F.lit(0)
             for k, b in enumerate(_bits(x)):
                 bits = bits + F.when(b, F.lit(1 << k)).otherwise(0)
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"))
+            return F.struct(x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), evidence(name, x).alias("likely"))  # noqa: B023
 
         out[name] = F.transform(both, coded)
     return out
@@ -175,12 +211,14 @@ def fit(docs: DataFrame, max_documents: int = 20_000, precision: float = 0.98) -
     listed = sample.select("h", F.concat(*spans.values()).alias("base"), *(c.alias(n) for n, c in proposed.items()))
     def labelled(name: str) -> Column:
         covers = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"] + 1) & (b["end"] >= x["end"] - 1))
-        return F.transform(name, lambda x: F.struct(F.lit(name).alias("generator"), x["bits"].alias("bits"), covers(x).alias("good")))
+        touches = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+        return F.transform(name, lambda x: F.struct(F.lit(name).alias("generator"), x["bits"].alias("bits"), (covers(x) | x["likely"]).alias("good"), (~touches(x)).alias("new")))
 
     half = (F.pmod(F.shiftright("h", 20), F.lit(2)) == 0).alias("fitting")
+    good, new = F.col("x.good"), F.col("x.new")
     counts = (
         listed.select(half, F.explode(F.concat(*map(labelled, LOOSE))).alias("x")).groupBy("fitting", "x.generator", "x.bits")
-        .agg(F.sum(F.col("x.good").cast("int")).alias("good"), F.sum((~F.col("x.good")).cast("int")).alias("bad")).collect()
+        .agg(*(F.sum(c.cast("int")).alias(n) for n, c in (("good", good), ("bad", ~good), ("new_good", good & new), ("new_bad", ~good & new)))).collect()
     )
     by_bits: dict[int, list[int]] = {}
     for r in sorted(counts):
@@ -191,12 +229,13 @@ def fit(docs: DataFrame, max_documents: int = 20_000, precision: float = 0.98) -
     model = boost([(b, *v) for b, v in sorted(by_bits.items())])
     model.seen = {r["bits"] for r in counts}
     for name in LOOSE:
-        held = sorted(((model.score(r["bits"]), r["good"], r["bad"]) for r in counts if not r["fitting"] and r["generator"] == name), reverse=True)
-        good = bad = 0
-        for i, (score, a, b) in enumerate(held):
-            good, bad = good + a, bad + b
+        held = sorted(((model.score(r["bits"]), r["good"], r["bad"], r["new_good"], r["new_bad"]) for r in counts if not r["fitting"] and r["generator"] == name), reverse=True)
+        all_good = all_bad = new_good = new_bad = 0
+        for i, (score, a, b, c, d) in enumerate(held):
+            all_good, all_bad, new_good, new_bad = all_good + a, all_bad + b, new_good + c, new_bad + d
             last = i + 1 == len(held) or held[i + 1][0] < score
-            if last and score >= 0 and good + bad >= 20 and good >= precision * (good + bad):
+            precise = all_good >= precision * (all_good + all_bad) and new_good >= precision * (new_good + new_bad)
+            if last and score >= 0 and all_good + all_bad >= 20 and precise:
                 model.thresholds[name] = score
     return model
 
