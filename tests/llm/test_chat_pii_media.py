@@ -163,6 +163,16 @@ def test_boosted_spans_are_what_base_misses(spark):
         assert got[i] == ([value.removeprefix("tel ")] if kind else []), value
 
 
+def test_a_rare_format_counts_in_many_documents(spark):
+    rows = planted_documents(12)
+    plain = [(10_000 + i, f"we sold {i} of them") for i in range(60_000)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + plain, "doc_id long, text string").repartition(8)
+    few, many = P.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")), P.fit(docs)
+    assert (many.seen, many.thresholds, many.trees) == (few.seen, few.thresholds, few.trees)
+    got = found_boosts(spark, many, rows)
+    assert all(got[i] == [value.removeprefix("tel ")] for i, _, value, kind in rows if kind)
+
+
 def test_redacted_text(spark, model):
     docs = spark.createDataFrame([(1, "é mail a@b.com or +1 310 555 0199."), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in P.redact(docs, model).collect()} == {1: "é mail [EMAIL] or [PHONE].", 2: ""}

@@ -3,14 +3,14 @@
 Fixed patterns with checks give the base spans. Beside them, generators of high
 recall propose overlapping spans (loose addresses, any longer run of digits). Each
 candidate becomes a vector of format and context bits; gradient-boosted trees of
-depth two, fitted on a bounded sample of documents, score it; candidates from a
+depth two score it; candidates from a
 generator's calibrated threshold on become `boost` spans unless base spans cover them. Bit vectors that
-the sample does not hold have no evidence and are never selected.
+the documents of the fit do not hold have no evidence and are never selected.
 
-What reaches the driver for fitting is one count for each distinct bit vector, so its size
-is bounded by the number of bits. Labels are weak: a candidate is positive that a checked
+Every document counts. What reaches the driver is one row of counts for each distinct bit
+vector, so its size is bounded by the number of bits. Labels are weak: a candidate is positive that a checked
 base span covers, or that has evidence of its own which the base patterns do not look for
-(see `evidence`). Half of the sample fits the trees, the other half calibrates; a threshold
+(see `evidence`). Half of the documents fits the trees, the other half calibrates; a threshold
 must hold for all candidates and for those that no base span touches, which are what it adds.
 """
 
@@ -133,7 +133,7 @@ def candidates(text: Column) -> dict[str, Column]:
 
 @dataclass
 class Model:
-    """trees: (bit, bit if unset, bit if set, four leaf values); thresholds by generator, null where no score is good enough; seen: the bit vectors of the sample, beyond which no score counts."""
+    """trees: (bit, bit if unset, bit if set, four leaf values); thresholds by generator, null where no score is good enough; seen: the bit vectors of the documents, beyond which no score counts."""
 
     bias: float = 0.0
     trees: list[tuple[int, int, int, tuple[float, float, float, float]]] = field(default_factory=list)
@@ -200,15 +200,14 @@ def boost(rows: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.4,
     return model
 
 
-def fit(docs: DataFrame, max_documents: int = 20_000, precision: float = 0.98) -> Model:
-    """A model from about `max_documents` documents (by hashed id and text), whatever the size of `docs`; an empty table gives a model that proposes nothing."""
-    parts = max(1, -(-docs.count() // max_documents))
+def fit(docs: DataFrame, precision: float = 0.98) -> Model:
+    """A model from all documents; an empty table gives a model that proposes nothing."""
     text = F.coalesce("text", F.lit(""))
     # texts that hold neither a digit nor an address have no candidates
-    sample = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h")).filter((F.pmod("h", F.lit(parts)) == 0) & F.col("text").rlike("[0-9@]|[(\\[](?:at|AT)"))
+    texts = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h")).filter(F.col("text").rlike("[0-9@]|[(\\[](?:at|AT)"))
     spans, proposed = base_spans(F.col("text")), candidates(F.col("text"))
     # a separate projection, so that the lists are made once
-    listed = sample.select("h", F.concat(*spans.values()).alias("base"), *(c.alias(n) for n, c in proposed.items()))
+    listed = texts.select("h", F.concat(*spans.values()).alias("base"), *(c.alias(n) for n, c in proposed.items()))
     def labelled(name: str) -> Column:
         covers = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"] + 1) & (b["end"] >= x["end"] - 1))
         touches = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
