@@ -2,7 +2,7 @@
 
 A value that follows a credential word is judged by the cheapest way to guess it:
 dynamic programming over its characters finds the segmentation of least cost into
-common words, dates, repeats, keyboard walks and brute-force spans, in bits. Values
+common words, letters as in words, dates, repeats, keyboard walks and brute-force spans, in bits. Values
 from `least_bits` on are reported as `context` spans beside the fixed patterns.
 """
 
@@ -22,12 +22,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "context")
-# Words after which a value may be a credential, and what may stand between.
+# Words after which a value may be a credential, with words joined to them, and what may stand between.
+EDGE = r"(?:(?<![A-Za-z0-9])|(?<=(?-i:[a-z0-9]))(?=(?-i:[A-Z])))"
+WORDS = rf"(?:pass(?:word|wd|wort|phrase|code)|pwd|kennwort|contrase[nñ]a|mot\ de\ passe|api[ _-]?key|{EDGE}(?:secret|token|access[ _-]?key|private[ _-]?key|credential|bearer|auth(?:ori[sz]ation)?|mdp))"
+JOINED = r"(?:s(?![A-Za-z]))?(?:key(?![a-z]))?+(?:[_.-][A-Za-z0-9]++|(?<=(?-i:[a-z0-9]))(?-i:[A-Z])[A-Za-z0-9]*+|[0-9]++)*+(?:[ \t]++(?:key|value|code|string|hash|field|header|id)(?![A-Za-z]))?(?:[ \t]++(?:for|of)[ \t]++[\w@.-]{1,64}+(?<!\.))?"
+GAP = r"[ \t\xa0]*+(?:\r?\n[ \t\xa0]*+)?"
+SOME = r"(?:[ \t\xa0]++(?:\r?\n[ \t\xa0]*+)?|\r?\n[ \t\xa0]*+)"
+# An unquoted value ends before the next assignment, a tag, or a quote that closes something else.
+STOP = r"""[,;&]["']?[A-Za-z_][\w.-]*+["']?[:=]|</[A-Za-z][^<>\s]*+>|<(?:br|p|td|tr|li|div|span)\b|["'`](?:[\s,;:)\]}>]|$)"""
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|bearer|auth(?:orization)?)"""
-    r"""["']?(?:\x20{0,8}(?::=|=>|[:=])\x20{0,8}|\x20is:?\x20)["']?([^\s"'<>,;]+)""",
+    rf"""(?:{WORDS}{JOINED}["'`]?(?:{GAP}(?::=|=>|->|={{1,3}}|:){GAP}|(?P<prose>[ \t\xa0]++(?:is|was):?{SOME}))|(?P<scheme>{EDGE}(?:bearer|basic){SOME}))"""
+    rf"""(?P<quote>["'`])?(?:(?:bearer|basic|digest|token){SOME})?(?P<value>(?(quote)(?:(?!(?P=quote))\S)++|(?:(?!{STOP})\S)++))""",
     re.I | re.A,
 )
+# One of these is in every text with a context.
+STEMS = ("passw", "passp", "passc", "passe", "pwd", "secret", "token", "key", "credential", "bearer", "basic", "auth", "kennwort", "contrase", "mdp")
 LEAST_BITS = 40.0
 
 # Common password words, most common first.
@@ -44,6 +53,13 @@ LONGEST = max(map(len, COMMON))
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "abcdefghijklmnopqrstuvwxyz", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik9ol0p")
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 NEXT |= {x[::-1] for x in NEXT}
+# The letters that follow a letter in English, German, French and Spanish words, most common first.
+FOLLOW = dict(
+    a="nrtlsucidmbgpvfkyh", b="eialroust", c="oheatirklusc", d="eiaorusdnl", e="rnsdltcmaivxpufgbyeqhwz", f="oiertaulf", g="eraionulhtsg", h="eaiortnuylm", i="noestclramdgvbfzpeh", j="eaou", k="eoianstlr",
+    l="eialdtosuylfk", m="eaiopbmusn", n="tdgesiacokunfvyzlhp", o="nrumslfptcdwvkbgioe", p="eraoliuptsh", q="u", r="eaitosdnumckylgrvbfhwzp", s="teiascohupmkqlnwyv", t="heioarsutlwyzcmp", u="nrstelcimapdbgfvz", v="eioaru",
+    w="aiehornsu", x="pticaeu", y="esotnaipml", z="eutiaowz",
+)
+SPOKEN = {a + b: math.log2(rank + 2) + 1 for a, row in FOLLOW.items() for rank, b in enumerate(row)}
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
 DATE_BITS = {8: math.log2(365 * 200), 4: math.log2(200)}
@@ -78,6 +94,15 @@ def segments(value: str) -> list[tuple[int, int, float, str]]:
             turns = sum(low[k : k + 2] != low[k + 1 : k + 3][::-1] for k in range(i, j - 2)) and 1
             out.append((i, j, math.log2(47) + math.log2(j - i) + turns, "walk"))
         i = max(j - 1, i + 1)
+    i = 0
+    while i < n:  # maximal runs of letters that follow each other in words
+        j = i + 1
+        while j < n and low[j - 1 : j + 1] in SPOKEN:
+            j += 1
+        if j - i >= 4:
+            case = 0.0 if value[i:j].islower() else 1.0 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else float(j - i)
+            out.append((i, j, math.log2(26) + sum(SPOKEN[low[k - 1 : k + 1]] for k in range(i + 1, j)) + case, "spoken"))
+        i = j
     bits = character_bits(value)
     for unit in range(1, 9):  # maximal repeats of a unit
         i = 0
@@ -106,17 +131,40 @@ def guess_bits(value: str) -> float:
     return cost[-1]
 
 
+def worded(value: str) -> bool:
+    """Whether a value holds no digit and all its letters follow each other as in words."""
+    low = value.lower()
+    return not any(c.isdigit() for c in value) and all(not (a.isascii() and b.isascii() and a.isalpha() and b.isalpha()) or a + b in SPOKEN for a, b in zip(low, low[1:], strict=False))
+
+
+def contexts(text: str, least_bits: float) -> list[tuple[int, int, float]]:
+    """(start, end, bits) of the values in credential contexts.
+
+    The guess cost alone decides, but for words: after "is" or a scheme, as in prose, and for
+    names of code, which are words joined by dots or underscores.
+    """
+    low = text.lower()
+    if not any(w in low for w in STEMS):
+        return []
+    out, at = [], 0
+    while m := CONTEXT.search(text, at):
+        value = m["value"].rstrip(".:!?)]},;>") if m["quote"] is None else m["value"]
+        named = m["prose"] is not None or m["scheme"] is not None or re.fullmatch(r"[A-Za-z]+(?:[_.]+[A-Za-z]+)+(?:\(.*)?", value)
+        at = m.end()
+        if value and not (named and worded(value)) and (bits := guess_bits(value)) >= least_bits:
+            out.append((m.start("value"), m.start("value") + len(value), bits))
+        elif len(value) <= 64:  # it may itself begin a context
+            at = m.start("value")
+    return out
+
+
 def find(text: str | None, least_bits: float = LEAST_BITS) -> list[tuple[int, str, int, float | None]]:
     """(start, kind, end, bits) sorted by start and kind. assign and context spans have their value's bits."""
     text = text or ""
     out = [(m.start(), 0, m.end(), guess_bits(m[2])) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [(m.start(), 1, m.end(), None) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [(m.start(), 2, m.end(), None) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?)]}")
-        mixed = (re.search("[a-z]", value, re.I) is not None) + (re.search(r"\d", value) is not None) + (re.search(r"[^\w.]", value) is not None)
-        if len(value) >= 8 and mixed >= 2 and (bits := guess_bits(value)) >= least_bits:
-            out.append((m.start(1), 3, m.start(1) + len(value), bits))
+    out += [(a, 3, b, bits) for a, b, bits in contexts(text, least_bits)]
     return [(s, KINDS[k], e, b) for s, k, e, b in sorted(out, key=lambda x: x[:3])]
 
 
