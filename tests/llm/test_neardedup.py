@@ -90,6 +90,16 @@ def test_edges(spark):
     assert run(spark, []) == []
 
 
+def test_near_copies_without_an_id_link_others(spark):
+    rng = random.Random(9)
+    words = [rng.choice(WORDS) for _ in range(100)]
+    text = lambda a: " ".join(words[a : a + 60])
+    alone = [rng.choice(WORDS) for _ in range(80)]
+    rows = [(1, text(0)), (None, text(6)), (2, text(12)), (None, " ".join(alone)), (None, " ".join(alone[1:])), (2**62 + 5, text(30)), (None, text(32)), (7, "x y"), (None, "x y"), (None, None)]
+    got = run(spark, rows)
+    assert got == brute(rows) and (2, 56, 1) in got
+
+
 def test_drop_keeps_one_of_each_group_with_all_columns(spark):
     rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other words here are these", "z"), (3, "other words here are these", "z"), (None, "a b c d e f", "n"), (4, None, "e"), (4, None, "e"), (5, "", "f")]
     got = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, _id_ string"))

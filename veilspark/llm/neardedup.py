@@ -258,10 +258,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     five words are one shingle. Texts linked at 75 % or more of their shingles, and
     chains of them, form a component named by its smallest id. Repeated rows are
     linked like any copies. Rows that repeat an id with different texts form one
-    node. A null id takes part as a copy, never names a component and is never
+    node. A null id takes part like any other, never names a component and is never
     `kept`. Other columns of `docs` are not read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if docs.filter("id is null").isEmpty():
+        return _groups(docs)
+    salt = 0
+    while True:  # ids for the rows without one, which no row has
+        own = F.shiftrightunsigned(F.xxhash64("text", F.lit(salt)), 2) + F.lit(1 << 62)
+        added = put(docs.filter("id is null").select(own.alias("id")).distinct(), "added")
+        if join_ids(docs.filter("id is not null"), "id", added, "left_semi").isEmpty():
+            break
+        drop(added)
+        salt += 1
+    found = put(_groups(docs.select(F.coalesce("id", own).alias("id"), "text")).drop("kept"), "found")
+    known = put(join_ids(found, "doc_id", added, "left_anti"), "known")
+    unknown = put(join_ids(found, "doc_id", added, "left_semi"), "unknown")
+    # only components that an added id names need another name
+    renamed = join_ids(known, "component_id", added, "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("name"))
+    both = known.unionAll(unknown.withColumn("doc_id", F.lit(None).cast("long")))
+    named = both.join(renamed, "component_id", "left").join(added.select(F.col("id").alias("component_id"), F.lit(True).alias("added")), "component_id", "left")
+    drop(found)
+    return named.select("doc_id", "n_shingles", F.when(F.col("added"), F.col("name")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """`near_duplicates` of (id, text) without null ids."""
     key = ["n", "k1", "k2"]
     sketched = put(map_arrow(docs, _sketch, "id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
     base = put(sketched.select("id", *key), "keys")
