@@ -1,6 +1,6 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: 5-grams, exact 60-bit keys of five 12-bit codes
+The model is over characters: 5-grams, 60-bit keys of five 12-bit codes, exact for what has its own code
 (characters up to U+0BFF have their own code, the others share 1024). One pass counts the
 n-grams of the trusted documents and lists those of all documents, aggregated in
 each task before they move. Probabilities come from count joins sharded by n-gram:
