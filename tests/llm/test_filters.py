@@ -261,6 +261,14 @@ def test_quality_labels_and_edges(spark):
     assert Q.classify(odd.limit(0), labels).count() == 0
 
 
+def test_quantile_catches_held_out_low_quality(spark):
+    docs, labels = load(spark, "documents", "/root/testdata/sf0.1"), load(spark, "labels", "/root/testdata/sf0.1")
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
+    rows = Q.classify(docs, labels.filter(~held)).join(labels.filter(held), "doc_id").collect()
+    good, bad = ([r["keep"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.15
+
+
 # URLs
 def plain_parts(url):
     if not url or "://" not in url:

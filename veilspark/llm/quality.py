@@ -32,7 +32,7 @@ from .textbytes import blocks
 ORDER, BITS = 5, 12
 START, END = 0, 1
 OWN_CODES, SHARED_CODES = 0xC00, 1024
-QUANTILE = 0.998
+QUANTILE = 0.99
 OTHER, TRAINS, HELD_OUT = 0, 1, 2
 HELD_OUT_SHARE = 5  # one in so many
 MAX_BROADCAST = 2_000_000
