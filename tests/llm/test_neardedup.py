@@ -83,7 +83,7 @@ def test_edges(spark):
     long = " ".join(random.Random(5).choice(WORDS) for _ in range(60_000))
     rows = [
         (1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "ONE\x0btwo"), (6, "one two three"), (7, "a b c d e"), (8, "a b c d e a b c d e"), (9, "a b c d e"),
-        (None, "a b c d e"), (None, None), (None, "only me"), (10, long), (11, long + " more"), (4, "one two"), (12, "é É"), (13, "é é"), (6, "a b c d e"), (2**61, "one two"), (-3, "one two"),
+        (None, "a b c d e"), (None, None), (None, "only me"), (10, long), (11, long + " more"), (4, "one two"), (12, "é É"), (13, "é é"), (6, "a b c d e"), (20, ""), (20, "p q"), (20, "r s"), (20, "t u"), (21, "t u"), (22, "r s"), (2**61, "one two"), (-3, "one two"),
     ]
     schema = "doc_id long, text string, n int, bucket string, component_id string, id long"
     assert run(spark, [(*r, 1, "x", "y", 3) for r in rows], schema) == brute(rows)

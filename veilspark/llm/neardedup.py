@@ -6,23 +6,31 @@
    from here on, so exact copies cost nothing later.
 2. Signatures are cut into 32 bands of 4 values. A pair at similarity 0.75 misses
    every band with probability (1 - 0.75**4)**32 = 5e-6.
-3. Star round: in each bucket every class is paired with the bucket's smallest
-   class. Linked pairs form components.
-4. Residual round, for buckets that still hold several components. The largest
-   component in a bucket names its anchor, and every class of the bucket is compared
-   with that anchor in full: a = shingles shared with it, X = the others, kept as a
-   512-bit map. Two classes of one bucket share at most min(a, a') shingles of the
-   anchor, and at most (common bits + the fewer of both maps' lost bits) of the
-   others. Pairs of different components are dropped where this exact bound rules a
-   link out. Pairs within a component could only repeat a known connection. So a group
-   of n near copies costs about n pairs, edited copies just below the threshold too, and
-   no link that matters is skipped.
-5. Verification of a pair is sequential. First 128 sketch bits, then signature
-   values in batches; after each batch the pair goes if the posterior probability
-   (uniform prior) that its similarity reaches the threshold is under
-   `miss_probability`. Survivors are compared on their full sets.
+3. Star round: in each bucket every class is paired with the bucket's smallest id.
+   Linked pairs form components. While the classes outside their bucket's largest component
+   could still make many pairs, further rounds pair them with another member of that component.
+4. Index round, for buckets that still hold several components. A bucket's anchor A is
+   its class of fewest shingles; every class x of the bucket is compared with it in full,
+   giving the a(x) shingles shared with A and the others X. Of two linked classes x and y
+   of a bucket that are not both linked to A, at least
+   need(x, y) = ceil(3 (|x| + |y|) / 7) - min(a(x), a(y)) >= 1
+   shingles outside A are common, since |A| is the least. So x and y share one of the
+   rarest |X| - k + 1 of their others, k the least need of x: these are joined by equality,
+   and the order of rarity and the sketch rule pairs out. In each list of the index, classes
+   outside the list's largest component ask all its other components, never their own, so a
+   group of n near copies with m strays costs about n * m at the very most, and texts that
+   only share a passage meet in no list. Lists are split by salt.
+5. Verification of a pair is sequential: signature values in batches of 32; after each
+   the pair goes if the posterior probability (uniform prior) that its similarity
+   reaches the threshold is under `miss_probability`. Survivors are compared on their full
+   sets. The set of a pair's second class moves once for up to 1,024 shares of its
+   partners, not once a pair.
 6. Components come from min-label hooking and pointer jumping over tables in the
-   shared folder.
+   shared folder; labels are two numbers a row, and adaptive execution splits a frequent one.
+
+A set is of 64-bit hashes of the shingles: two different ones among 1,000,000 agree with
+probability 3e-8. Classes of equal sets are told by their size and 128 bits: two different
+ones among 10**12 agree with probability 1e-15; these are not compared again.
 """
 
 from __future__ import annotations
@@ -31,10 +39,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import drop, join_ids, map_arrow, put
+from .store import BROADCAST_IDS, drop, join_ids, map_arrow, put
 from .textbytes import LOWER, U64, Words, blocks, buffer_of, bytes_of, mix, shingle_sets
 
 VALUES, ROWS, WIDTH, BATCH = 128, 4, 5, 32
@@ -108,22 +116,46 @@ def _bands(batches):
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, VALUES // ROWS, ROWS).astype(U64)
         scale = mix(np.arange(7, 7 + ROWS, dtype=U64)) | U64(1)
         key = mix((sig * scale).sum(axis=2, dtype=U64) + mix(np.arange(VALUES // ROWS, dtype=U64))[None, :])
-        ids = batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), VALUES // ROWS)))
-        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), ids], names=["bucket", "id"])
+        row = pa.array(np.repeat(np.arange(batch.num_rows), VALUES // ROWS))
+        yield pa.record_batch([pa.array(key.ravel().view(np.int64)), batch.column("id").take(row), batch.column("n").take(row)], names=["bucket", "id", "n"])
+
+
+SALTS = 1024
+
+
+def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows (b, salt, kind, a, c, value): the value of b (kind 0), then those of its partners a (kind 1), in one task and in this order. pairs: distinct (a, b, c), where c is carried along; table: (id, value)."""
+    table = table.toDF("id", "value")
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    partners = salted.join(table.withColumnRenamed("id", "a"), "a").select("b", "salt", F.lit(1).alias("kind"), "a", "c", "value")
+    none = F.lit(None).cast("long")
+    heads = salted.select("b", "salt").distinct().join(table.withColumnRenamed("id", "b"), "b").select("b", "salt", F.lit(0).alias("kind"), none.alias("a"), none.alias("c"), "value")
+    return heads.unionAll(partners).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+
+
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of partners, of each the number of heads up to it, rows of heads) of a batch of `_beside`."""
+    head = batch.column("kind").to_numpy() == 0
+    rows = np.flatnonzero(~head)
+    return rows, np.cumsum(head)[rows], np.flatnonzero(head)
 
 
 def _similar_signatures(batches):
     """Keeps the pairs that pass every batch of signature values."""
     need = [(n, least_agreements(n, NUMERATOR / DENOMINATOR, MISS_PROBABILITY)) for n in range(BATCH, VALUES + 1, BATCH)]
+    last = np.zeros((1, VALUES), np.uint32)
     for batch in batches:
         if not batch.num_rows:
             continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, VALUES) for c in ("sig_a", "sig_b"))
-        alive, agreed = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+        sig = bytes_of(batch.column("value"))[0].view(np.uint32).reshape(-1, VALUES)
+        rows, of, heads = _places(batch)
+        leads = np.concatenate([last, sig[heads]])
+        last = leads[-1:].copy()
+        alive, agreed = np.arange(len(rows)), np.zeros(len(rows), np.int64)
         for n, least in need:
-            agreed[alive] += (a[alive, n - BATCH : n] == b[alive, n - BATCH : n]).sum(axis=1)
+            agreed[alive] += (sig[rows[alive], n - BATCH : n] == leads[of[alive], n - BATCH : n]).sum(axis=1)
             alive = alive[agreed[alive] >= least]
-        yield batch.select(["a", "b"]).take(pa.array(alive))
+        yield batch.select(["a", "b", "c"]).take(pa.array(rows[alive]))
 
 
 def _sets(batches):
@@ -133,90 +165,138 @@ def _sets(batches):
         yield pa.record_batch([batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "shingles"])
 
 
-MAP_BITS = 512
-_MAP = [f"x{k}" for k in range(MAP_BITS // 64)]
-
+def _compared(keep_others: bool):
+    """Of each pair the sizes, the shingles in common and, if asked for, those of a that b lacks."""
 
-def _hash_arrays(column: pa.Array) -> list[np.ndarray]:
-    """The sets in a binary column, as views of its buffer."""
-    data, at = bytes_of(column)
-    return [data[a:b].view(U64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    def run(batches):
+        last = np.zeros(0, U64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data, at = bytes_of(batch.column("value"))
+            rows, of, heads = _places(batch)
+            leads = [last, *(data[at[i] : at[i + 1]].view(U64) for i in heads.tolist())]
+            last = leads[-1].copy()
+            na, nb, common, others = [], [], [], []
+            for i, k in zip(rows.tolist(), of.tolist(), strict=True):
+                a, b = data[at[i] : at[i + 1]].view(U64), leads[k]
+                both = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+                na.append(len(a)), nb.append(len(b)), common.append(int(both.sum()))
+                others.append(a[~both].tobytes() if keep_others else None)
+            kept = batch.select(["a", "b", "c"]).take(pa.array(rows))
+            yield pa.record_batch([*kept.columns, *(pa.array(x, pa.int64()) for x in (na, nb, common)), pa.array(others, pa.binary())], names=["a", "b", "c", "na", "nb", "common", "others"])
 
-
-def _compared(batches):
-    """Of each pair the sizes, the shingles in common, and a bit map of a's shingles that b lacks with the bits that it lost."""
-    for batch in batches:
-        rows = []
-        for a, b in zip(_hash_arrays(batch.column("set_a")), _hash_arrays(batch.column("set_b")), strict=True):
-            both = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
-            at = np.unique(a[~both] % U64(MAP_BITS)).astype(np.int64)
-            bits = np.zeros(MAP_BITS, np.uint8)
-            bits[at] = 1
-            common = int(both.sum())
-            rows.append((len(a), len(b), common, len(a) - common - len(at), *np.packbits(bits).view(np.int64).tolist()))
-        columns = list(zip(*rows, strict=True)) or [()] * (4 + len(_MAP))
-        yield pa.record_batch([batch.column("a"), batch.column("b"), *(pa.array(c, pa.int64()) for c in columns)], names=["a", "b", "na", "nb", "common", "lost", *_MAP])
+    return run
 
 
 _LINKED = f"{DENOMINATOR} * common >= {NUMERATOR} * (na + nb - common)"
 
 
-def _compare(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Compares the full sets of distinct pairs (a, b)."""
+def _compare(pairs: DataFrame, docs: DataFrame, keep_others: bool = False) -> DataFrame:
+    """Compares the full sets of distinct pairs (a, b, c)."""
     ids = put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = put(map_arrow(join_ids(docs, "id", ids, "left_semi"), _sets, "id long, shingles binary").distinct(), "sets")
-    both = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
-    )
-    out = put(map_arrow(both, _compared, "a long, b long, na long, nb long, common long, lost long, " + ", ".join(f"{x} long" for x in _MAP)), "compared")
+    sets = put(map_arrow(join_ids(docs, "id", ids, "left_semi"), _sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+    out = put(map_arrow(_beside(pairs, sets), _compared(keep_others), "a long, b long, c long, na long, nb long, common long, others binary"), "compared")
     drop(ids, sets)
     return out
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct candidate pairs (a, b), those linked on their full sets."""
-    s = reps.select("id", "sig")
-    both = (
-        pairs.join(s.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a")
-        .join(s.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-        .select("a", "b", "sig_a", "sig_b")
-    )
-    likely = put(map_arrow(both, _similar_signatures, "a long, b long"), "likely")
+    pairs = put(pairs.select("a", "b", F.lit(None).cast("long").alias("c")), "pairs")
+    likely = put(map_arrow(_beside(pairs, reps.select("id", "sig")), _similar_signatures, "a long, b long, c long"), "likely")
     compared = _compare(likely, docs)
-    linked = put(compared.filter(_LINKED).select("a", "b").distinct(), "linked")
-    drop(likely, compared)
+    linked = put(compared.filter(_LINKED).select("a", "b"), "linked")
+    drop(pairs, likely, compared)
     return linked
 
 
-def _crossing(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links to anchors, candidate pairs) between components that share a bucket. busy: (bucket, id)."""
-    named = busy.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+#: Pairs that the members of a bucket's smaller components may make, for each row in a bucket, before another star round.
+MOST_PAIRS = 32
+#: Members of a list of the index that one task pairs with those that ask.
+LIST_SHARE = 4096
+
+
+def _tops(named: DataFrame) -> DataFrame:
+    """(bucket, top, most, size, kinds) of the buckets in (bucket, id, n, c): the largest component, its members, all members, components."""
     sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("size"))
-    anchors = sizes.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("c")).alias("c"))).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    near = named.join(anchors.select("bucket", (-F.col("top.c")).alias("anchor")), "bucket").select("anchor", "id", "c").distinct()
-    near = put(near, "anchored")
-    told = _compare(near.filter("id <> anchor").select(F.col("id").alias("a"), F.col("anchor").alias("b")), docs)
-    links = put(told.filter(_LINKED).select("a", "b").distinct(), "linked")
-    # an id with several texts has several rows here
-    row = told.select(F.col("a").alias("id"), F.col("b").alias("anchor"), F.col("na").alias("n"), "common", "lost", *_MAP).distinct()
-    row = row.join(near, ["anchor", "id"]).join(reps.select("id", "n", "b1", "b2"), ["id", "n"])
-    row = put(row, "residual")
-    x, y = row.alias("x"), row.alias("y")
+    tops = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c")).alias("t"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("kinds"))
+    return tops.select("bucket", F.col("t.c").alias("top"), F.col("t.size").alias("most"), "size", "kinds")
+
+
+def _named(busy: DataFrame, found: DataFrame) -> DataFrame:
+    return busy.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+
+
+def _more_stars(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """`found` after star rounds with other members of the largest components, as long as much is left to pair and a round links a tenth of it."""
+    before = None
+    for k in range(1, VALUES // ROWS + 1):
+        named = put(_named(busy, found), "named")
+        tops = put(_tops(named).filter("kinds > 1"), "tops")
+        strays, work = tops.agg(F.coalesce(F.sum(F.col("size") - F.col("most")), F.lit(0)), F.coalesce(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size")), F.lit(0.0))).first()
+        if work <= MOST_PAIRS * busy.count() or (before is not None and strays > 0.9 * before):
+            drop(named, tops)
+            return found
+        before = strays
+        own = named.join(tops.select("bucket", "top"), "bucket")
+        centre = own.filter("c = top").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias("m")).select("bucket", F.col("m.id").alias("b"))
+        pairs = put(own.filter("c <> top").join(centre, "bucket").select(F.col("id").alias("a"), "b").distinct(), "stars")
+        linked = _verified(pairs, reps, docs)
+        old, found = found, components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(linked))
+        drop(named, tops, pairs, linked, old)
+    return found
+
+
+def _tokens(batches):
+    """A row for each shingle that a class has beside its anchor's: the index key, and what bounds need. Both sizes and the shingles in common are the class's."""
+    for batch in batches:
+        data, at = bytes_of(batch.column("others"))
+        size = np.diff(at) // 8
+        anchor = mix(batch.column("b").to_numpy().view(U64) + U64(1))
+        na, nb, common = (batch.column(x).to_numpy() for x in ("na", "nb", "common"))
+        p, q = NUMERATOR, DENOMINATOR
+        least = np.maximum(1, np.maximum(-(-p * na // q), -(-p * (na + nb) // (p + q))) - common)
+        shingles = data.view(U64)
+        for a in range(0, len(shingles), 1 << 17):  # whole texts may be long
+            part = shingles[a : a + (1 << 17)]
+            row = np.searchsorted(at[1:] // 8, np.arange(a, a + len(part)), "right")
+            columns = [batch.column("b").take(pa.array(row)), batch.column("a").take(pa.array(row)), batch.column("c").take(pa.array(row)), pa.array(least[row]), pa.array(na[row]), pa.array(common[row])]
+            yield pa.record_batch([pa.array(mix(part ^ anchor[row]).view(np.int64)), *columns], names=["key", "anchor", "id", "c", "k", "n", "common"])
+
+
+def _crossing(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links to anchors, candidate pairs) between components that share a bucket. busy: (bucket, id, n)."""
+    named = put(_named(busy, found), "named")
+    open_ = _tops(named).filter("kinds > 1").select("bucket")
+    named_open = put(named.join(open_, "bucket"), "open")
+    anchors = named_open.groupBy("bucket").agg(F.min(F.struct("n", "id")).alias("m")).select("bucket", F.col("m.id").alias("b"))
+    near = put(named_open.join(anchors, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b", "c").distinct(), "near")
+    told = _compare(near, docs, keep_others=True)
+    links = put(told.filter(_LINKED).select("a", "b"), "linked")
+    tokens = put(map_arrow(told, _tokens, "key long, anchor long, id long, c long, k long, n long, common long"), "tokens")
+    drop(named, named_open, near, told)
+    # a shingle that only one component has cannot be common to two
+    shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key", "often")
+    kept = put(tokens.join(shared, "key"), "shared")
+    each = Window.partitionBy("anchor", "id")
+    placed = kept.withColumns({"rest": F.count(F.lit(1)).over(each) - F.row_number().over(each.orderBy("often", "key")), "all": F.count(F.lit(1)).over(each)})
+    prefix = placed.filter(F.col("all") - F.col("rest") <= F.col("all") - F.col("k") + 1).join(reps.select("id", "b1", "b2"), "id")
+    prefix = put(prefix.select("key", "id", "c", "n", "common", "rest", "b1", "b2"), "prefix")
+    drop(tokens, kept)
+    lists = _tops(prefix.withColumnRenamed("key", "bucket")).filter("kinds > 1").select(F.col("bucket").alias("key"), "top", F.ceil(F.col("size") / LIST_SHARE).cast("int").alias("shares"))
+    own = prefix.join(lists, "key")
+    asks = own.filter("c <> top").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    told_ = own.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    x, y = asks.alias("x"), told_.alias("y")
     most = VALUES - least_agreements(VALUES, NUMERATOR / DENOMINATOR, MISS_PROBABILITY, 1)
     differ = F.bit_count(F.col("x.b1").bitwiseXOR(F.col("y.b1"))) + F.bit_count(F.col("x.b2").bitwiseXOR(F.col("y.b2")))
-    shared = F.least("x.common", "y.common") + F.least("x.lost", "y.lost")
-    for m in _MAP:
-        shared = shared + F.bit_count(F.col(f"x.{m}").bitwiseAND(F.col(f"y.{m}")))
-    # |A & B| / (|A| + |B| - |A & B|) >= p / q  means  (p + q) |A & B| >= p (|A| + |B|)
-    possible = shared * (NUMERATOR + DENOMINATOR) >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
-    pairs = x.join(
-        y,
-        (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (differ <= most) & possible,
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    pairs = put(pairs.distinct(), "crossing")
-    drop(near, told, row)
+    # |x & y| / (|x| + |y| - |x & y|) >= p / q  means  (p + q) |x & y| >= p (|x| + |y|); at the first shingle in common no more than it and the rest of either are
+    possible = (F.least("x.common", "y.common") + 1 + F.least("x.rest", "y.rest")) * (NUMERATOR + DENOMINATOR) >= (F.col("x.n") + F.col("y.n")) * NUMERATOR
+    once = (F.col("y.c") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.share") == F.col("y.share")) & (F.col("x.c") != F.col("y.c")) & once & (differ <= most) & possible)
+    pairs = put(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "crossing")
+    drop(prefix)
     return links, pairs
 
 
@@ -261,60 +341,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node. A null id takes part like any other, never names a component and is never
     `kept`. Other columns of `docs` are not read; an empty table gives no rows.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    if docs.filter("id is null").isEmpty():
-        return _groups(docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    repeated = put(rows.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id"), "repeated")
+    if repeated.isEmpty() and rows.filter("id is null").isEmpty():
+        found = _groups(rows).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    else:
+        found = _with_odd_ids(rows, repeated)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def _with_odd_ids(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) where rows without an id, or with one that other rows have too, are nodes by their text."""
+    mark = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    marked = rows.join(mark.withColumn("odd", F.lit(True)), "id", "left").withColumn("odd", F.col("odd").isNotNull() | F.col("id").isNull())
     salt = 0
-    while True:  # ids for the rows without one, which no row has
-        own = F.shiftrightunsigned(F.xxhash64("text", F.lit(salt)), 2) + F.lit(1 << 62)
-        added = put(docs.filter("id is null").select(own.alias("id")).distinct(), "added")
-        if join_ids(docs.filter("id is not null"), "id", added, "left_semi").isEmpty():
+    while True:  # nodes that are no row's id
+        node = F.when(F.col("odd"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(salt)), 2) + F.lit(1 << 62)).otherwise(F.col("id"))
+        nodes = put(marked.select("id", node.alias("node"), "odd"), "nodes")
+        odd = nodes.filter("odd").select("node").distinct()
+        texts = marked.filter("odd").select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct()
+        if odd.count() == texts.count() and join_ids(rows.filter("id is not null"), "id", odd, "left_semi").isEmpty():
             break
-        drop(added)
+        drop(nodes)
         salt += 1
-    found = put(_groups(docs.select(F.coalesce("id", own).alias("id"), "text")).drop("kept"), "found")
-    known = put(join_ids(found, "doc_id", added, "left_anti"), "known")
-    unknown = put(join_ids(found, "doc_id", added, "left_semi"), "unknown")
-    # only components that an added id names need another name
-    renamed = join_ids(known, "component_id", added, "left_semi").groupBy("component_id").agg(F.min("doc_id").alias("name"))
-    both = known.unionAll(unknown.withColumn("doc_id", F.lit(None).cast("long")))
-    named = both.join(renamed, "component_id", "left").join(added.select(F.col("id").alias("component_id"), F.lit(True).alias("added")), "component_id", "left")
-    drop(found)
-    return named.select("doc_id", "n_shingles", F.when(F.col("added"), F.col("name")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-
-
-def _groups(docs: DataFrame) -> DataFrame:
-    """`near_duplicates` of (id, text) without null ids."""
+    same = nodes.filter("odd and id is not null").select("id", "node").distinct()
+    found = put(_groups(marked.select(node.alias("id"), "text"), same).dropDuplicates(["id"]).withColumnRenamed("id", "node"), "found")
+    both = put(nodes.join(found, "node"), "placed")
+    names = both.filter("n > 0 and id is not null").groupBy("component").agg(F.min("id").alias("name"))
+    named = both.join(names, "component", "left")
+    drop(nodes, found)
+    return named.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id"))
+
+
+def _groups(docs: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """(id, n, component) for each row of (id, text), where an id has one text. same: (id, node) rows, where the nodes of one id are linked unless their texts are empty."""
     key = ["n", "k1", "k2"]
     sketched = put(map_arrow(docs, _sketch, "id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
     base = put(sketched.select("id", *key), "keys")
     classes = put(base.filter("n > 0").groupBy(*key).agg(F.min("id").alias("id")), "classes")
-    reps = put(sketched.filter("n > 0").join(classes, ["id", *key]).dropDuplicates(["id", *key]), "representatives")
+    reps = put(sketched.filter("n > 0").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "representatives")
     drop(sketched)
-    banded = put(map_arrow(reps.select("id", "sig"), _bands, "bucket long, id long"), "bands")
+    banded = put(map_arrow(reps.select("id", "n", "sig"), _bands, "bucket long, id long, n long"), "bands")
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    busy = put(banded.join(shared.select("bucket", "pivot"), "bucket"), "busy")
+    pivoted = put(banded.join(shared.select("bucket", "pivot"), "bucket"), "busy")
     drop(banded)
-    stars = put(busy.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
+    busy = pivoted.select("bucket", "id", "n")
+    stars = put(pivoted.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     first = _verified(stars, reps, docs)
-    found = components(first)
-    links, pairs = _crossing(busy.select("bucket", "id"), reps, found, docs)
+    found = _more_stars(busy, reps, components(first), docs)
+    links, pairs = _crossing(busy, reps, found, docs)
     second = _verified(pairs, reps, docs)
     more = links.unionAll(second)
-    repeated = base.filter("n > 0 and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("id")
-    if not repeated.isEmpty():  # the classes of one id are linked
-        named = join_ids(base.filter("n > 0"), "id", repeated, "left_semi").join(classes.withColumnRenamed("id", "rep"), key).groupBy("id").agg(F.collect_set("rep").alias("reps")).filter("size(reps) > 1")
-        more = more.unionAll(named.select(F.explode("reps").alias("a"), F.array_min("reps").alias("b")).filter("a <> b"))
+    if same is not None:  # the links of nodes, between their classes
+        rep = base.filter("n > 0").join(classes.withColumnRenamed("id", "b"), key).select(F.col("id").alias("node"), "b").distinct()
+        ends = put(same.join(rep, "node").select("id", "b").distinct(), "ends")
+        more = more.unionAll(ends.join(ends.groupBy("id").agg(F.min("b").alias("a")), "id").filter("a <> b").select("a", "b"))
     if not more.isEmpty():
         old, found = found, components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
         drop(old)
-    drop(busy, stars, first, links, pairs, second, reps)
+    drop(pivoted, stars, first, links, pairs, second, reps)
     final = classes.join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
-    return (
-        base.join(final, key, "left")
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    )
+    return base.join(final, key, "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
