@@ -1,22 +1,23 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters: 5-grams, 60-bit keys of five 12-bit codes, exact for what has its own code
-(characters up to U+0BFF have their own code, the others share 1024). One pass counts the
-n-grams of the trusted documents and lists those of all documents, aggregated in
-each task before they move. Probabilities come from count joins sharded by n-gram:
-each order joins its counts with its context's totals and with the order below. All
-trusted documents count; nothing is sampled.
-
-A document's perplexity needs its n-grams' probabilities. The table of distinct n-grams
-goes to every executor while it has at most `max_broadcast` rows (12 bytes
-each, checked); a larger one is joined with each distinct text's n-gram counts by a shuffle. Both
-ways give the same perplexity up to rounding.
+The model is over characters: 5-grams, kept exactly as two numbers (`hi`, `lo`) of two and
+three 21-bit codes, so every character has its own. Only trusted text is counted. Each order joins
+its counts with its context's totals and with the order below; all trusted documents
+count, nothing is sampled.
+
+An n-gram's log probability is a sum over the orders. A suffix of an n-gram that the model knows is
+known too, so with p0 the uniform base
+    log p = log p0 + sum over k of (log p_k - log p_k-1 if the order-k suffix is known, else the back-off weight of its context),
+and each term is one entry of a table whose size is that of the trusted text's n-grams, not of the corpus.
+Entries are whole numbers of millionths, so sums are exact in any order. The
+table is joined in shards of at most `max_entries` rows by (order, context), each broadcast to one pass over
+the texts whose partial sums add up: how many shards there are changes no value.
 
 One trusted document in five, by hashed id, is held out of the counts and sets the
-bounds. A language's bound is the larger of two figures from the histogram of its held-out
-log-perplexities: the quantile `quantile`, and the upper quartile plus three times
-the distance between the quartiles, which stays sound for few documents. A language
-without held-out text takes the bound of all.
+bounds: a language's bound is the quantile `quantile` of its held-out log-perplexities, from their
+histogram. The mean over a few characters says little, so what is compared is the log-perplexity after
+`prior` further characters at the mean of the language's held-out text. A language with fewer
+than `least_held_out` held-out documents takes mean and quantile of all languages.
 """
 
 from __future__ import annotations
@@ -27,17 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import BROADCAST_IDS, drop, map_arrow, put
-from .textbytes import blocks
+from .textbytes import U64, blocks, mix
 
-ORDER, BITS = 5, 12
+ORDER, BITS = 5, 21
 START, END = 0, 1
-OWN_CODES, SHARED_CODES = 0xC00, 1024
-QUANTILE = 0.99
+BASE_BITS = 12  # the uniform base of a character
+UNIT = 1e-6  # of a log probability
+QUANTILE, LEAST_HELD_OUT, PRIOR = 0.99, 30, 64
 OTHER, TRAINS, HELD_OUT = 0, 1, 2
 HELD_OUT_SHARE = 5  # one in so many
-MAX_BROADCAST = 2_000_000
+MAX_ENTRIES = 2_000_000  # of the table in one broadcast, 28 bytes each
 BIN = 0.001  # of log-perplexity
-_HELD = 3_000_000  # distinct n-grams that a counting task holds before it passes them on
+_ONE = (1 << BITS) - 1
 
 
 #: Characters of a text that are looked at together; longer texts go in stretches that know the characters before them.
@@ -60,59 +62,67 @@ def stretches(texts: list[str], size: int | None = None):
         yield rows, contexts, parts, ends
 
 
-def grams(texts: list[str], contexts: list[str] | None = None, ends: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, first key of each text and one more): a key for each character and for each text's end, with the four codes before it."""
+def grams(texts: list[str], contexts: list[str] | None = None, ends: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hi, lo, which, begin): the distinct 5-grams, of each predicted character and text end its 5-gram, and the first of each text, with one more."""
     contexts = contexts or [""] * len(texts)
     lead = np.array([len(c) for c in contexts], np.int64)
     last = np.ones(len(texts), np.int64) if ends is None else np.array(ends, np.int64)
     codes = np.frombuffer("".join(c + t for c, t in zip(contexts, texts, strict=True)).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    codes = np.where(codes < OWN_CODES, codes + 2, OWN_CODES + codes % (SHARED_CODES - 2) + 2)
     size = np.array([len(t) for t in texts], np.int64) + lead + last
     begin = np.concatenate(([0], np.cumsum(size)))
     flow = np.full(begin[-1], END, np.int64)
     inside = np.ones(begin[-1], bool)
     inside[begin[1:][last == 1] - 1] = False
-    flow[inside] = codes
-    keys = flow.copy()
+    flow[inside] = codes + 2
     place = np.arange(begin[-1]) - np.repeat(begin[:-1], size)
-    for k in range(1, ORDER):
-        before = np.zeros(begin[-1], np.int64)
-        before[k:] = flow[:-k]
-        before[place < k] = START
-        keys |= before << (BITS * k)
-    keys = keys[place >= np.repeat(lead, size)]
-    return keys, np.concatenate(([0], np.cumsum(size - lead)))
-
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
+    kept = place >= np.repeat(lead, size)
+    seen = np.zeros(1 << BITS, bool)
+    seen[flow], seen[START] = True, True
+    own = np.flatnonzero(seen)  # the characters at hand; the places in this list make short keys
+    places = np.zeros(1 << BITS, np.int64)
+    places[own] = np.arange(len(own))
+
+    def before(k: int) -> np.ndarray:
+        out = np.full(begin[-1], START, np.int64)
+        out[k:] = flow[: len(flow) - k]
+        out[place < k] = START
+        return out[kept]
+
+    columns = [before(k) for k in range(ORDER)]  # the predicted character first
+    width = max(1, int(len(own) - 1).bit_length())
+    if width * ORDER < 64:
+        key = np.zeros(len(columns[0]), np.int64)
+        for k, c in enumerate(columns):
+            key |= places[c] << (width * k)
+        distinct, which = np.unique(key, return_inverse=True)
+        columns = [own[distinct >> (width * k) & ((1 << width) - 1)] for k in range(ORDER)]
+        hi, lo = _packed(columns)
+    else:
+        hi, lo = _packed(columns)
+        hi, lo, which = _distinct(hi, lo)
+    return hi, lo, which, np.concatenate(([0], np.cumsum(size - lead)))
+
+
+def _packed(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return columns[3] | columns[4] << BITS, columns[0] | columns[1] << BITS | columns[2] << 2 * BITS
+
+
+def _distinct(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    first = np.ones(len(hi), bool)
+    first[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    which = np.empty(len(hi), np.int64)
+    which[order] = np.cumsum(first) - 1
+    return hi[first], lo[first], which
 
 
 def _count(batches):
-    """(gram, count in trusted text) of every n-gram; 0 for those in other text only."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    total = 0
-    for batch in blocks(batches, limit=1 << 20):
-        trusted = batch.column("role").to_numpy(zero_copy_only=False) == TRAINS
-        texts = batch.column("text").to_pylist()
-        for flag in (True, False):
-            part = [t or "" for t, y in zip(texts, trusted, strict=True) if y == flag]
-            for _, contexts, parts, ends in stretches(part):
-                keys, counts = np.unique(grams(parts, contexts, ends)[0], return_counts=True)
-                held.append((keys, counts * flag))
-                total += len(keys)
-        if total > 2 * _HELD:
-            held = [_merged(held)]
-            total = len(held[0][0])
-            if total > _HELD:
-                yield pa.record_batch([pa.array(x) for x in held[0]], names=["g", "c"])
-                held, total = [], 0
-    if held:
-        yield pa.record_batch([pa.array(x) for x in _merged(held)], names=["g", "c"])
+    """(hi, lo, c) of the 5-grams of each block of texts."""
+    for batch in blocks(batches, limit=4 << 20):
+        for _, contexts, parts, ends in stretches([t or "" for t in batch.column("text").to_pylist()]):
+            hi, lo, which, _ = grams(parts, contexts, ends)
+            yield pa.record_batch([pa.array(hi), pa.array(lo), pa.array(np.bincount(which, minlength=len(hi)))], names=["hi", "lo", "c"])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -125,85 +135,148 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return out[0], out[1], out[2]
 
 
-def log_probabilities(counts: DataFrame) -> DataFrame:
-    """(g, logp) of every 5-gram in `counts` (g, c), where c may be 0, by interpolated modified Kneser-Ney over the orders 5 to 1 and a uniform base."""
+def _suffix(k: int) -> list:
+    """hi and lo of the last k codes."""
+    mask = lambda n: F.lit((1 << BITS * max(0, n)) - 1)
+    return [F.col("hi").bitwiseAND(mask(k - 3)).alias("hi"), F.col("lo").bitwiseAND(mask(min(k, 3))).alias("lo")]
+
+
+def _context() -> list:
+    """hi and lo without the last code."""
+    moved = F.shiftleft(F.col("hi").bitwiseAND(F.lit(_ONE)), 2 * BITS)
+    return [F.shiftright("hi", BITS).alias("hi"), F.shiftright("lo", BITS).bitwiseOR(moved).alias("lo")]
+
+
+def entries(counts: DataFrame) -> DataFrame:
+    """(kind, hi, lo, value) from the counts (hi, lo, c > 0) of 5-grams: of kind k an n-gram of k codes, of kind k + 8 its context; value in millionths."""
     levels = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):  # continuation counts
-        mask = (1 << BITS * k) - 1
-        levels[k] = levels[k + 1].groupBy(F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.sum((F.col("c") > 0).cast("long")).alias("c"))
-    below = None
-    made = []
+        levels[k] = levels[k + 1].groupBy(*_suffix(k)).agg(F.count(F.lit(1)).alias("c"))
+    below, made, out = None, [], None
+    whole = lambda p: F.round(F.log(p) / UNIT).cast("long")
     for k in range(1, ORDER + 1):
         level = put(levels[k], f"order{k}") if k < ORDER else counts
         made.append(level)
         n = level.agg(*(F.sum((F.col("c") == i).cast("long")) for i in range(1, 5))).first()
         d = discounts(*(x or 0 for x in n))
-        off = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        level = level.withColumns({"h": F.shiftright("g", BITS), "off": off})
-        context = level.groupBy("h").agg(F.sum("c").alias("total"), F.sum("off").alias("freed"))
+        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        level = level.select("hi", "lo", "c", off.alias("off"), F.struct(*_context()).alias("h"), F.struct(*_suffix(k - 1)).alias("s"))
+        context = put(level.groupBy("h").agg(F.sum("c").alias("total"), F.sum("off").alias("freed")), f"context{k}")
+        made.append(context)
         level = level.join(context, "h")
-        if below is None:
-            level = level.withColumn("q", F.lit(2.0**-BITS))
-        else:
-            level = level.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(below, "s")
-        p = F.when(F.col("total") == 0, F.col("q")).otherwise((F.col("c") - F.col("off") + F.col("freed") * F.col("q")) / F.col("total"))
-        done = put(level.select(F.col("g").alias("s"), p.alias("q")), f"probability{k}")
-        made.append(done)
-        below = done
-    drop(*(t for t in made if t is not below and t is not counts))
-    return below.select(F.col("s").alias("g"), F.log("q").alias("logp"))
+        level = level.withColumn("q", F.lit(2.0**-BASE_BITS)) if below is None else level.join(below.select(F.struct("hi", "lo").alias("s"), F.col("p").alias("q")), "s")
+        p = (F.col("c") - F.col("off") + F.col("freed") * F.col("q")) / F.col("total")
+        below = put(level.select("hi", "lo", p.alias("p"), "q"), f"probability{k}")
+        made.append(below)
+        both = below.select(F.lit(k).alias("kind"), "hi", "lo", (whole(F.col("p")) - whole(F.col("q"))).alias("value"))
+        both = both.unionAll(context.select(F.lit(k + 8).alias("kind"), "h.hi", "h.lo", whole(F.col("freed") / F.col("total")).alias("value")))
+        out = both if out is None else out.unionAll(both)
+    table = put(out, "entries")
+    drop(*made)
+    return table
+
+
+def _hash(kind: int | np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix(mix(hi.view(U64) + U64(1) * np.asarray(kind, U64)) ^ lo.view(U64))
 
 
-def _scored_here(table):
-    """Scores texts with the broadcast table."""
+def _shard(kind: int, hi: np.ndarray, lo: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of contexts of `kind` + 8 codes (hi, lo), and of the n-grams that continue them."""
+    return (_hash(kind + 16, hi, lo) % U64(shards)).astype(np.int64)
 
+
+def _shortened(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return hi >> BITS, lo >> BITS | (hi & _ONE) << 2 * BITS
+
+
+def _sharded(shards: int):
     def run(batches):
-        keys, logp = table.value
+        for batch in batches:
+            kind, hi, lo = (batch.column(c).to_numpy() for c in ("kind", "hi", "lo"))
+            part = np.zeros(len(kind), np.int64)
+            for k in range(1, ORDER + 1):
+                own = kind == k
+                part[own] = _shard(k, *_shortened(hi[own], lo[own]), shards)
+                own = kind == k + 8
+                part[own] = _shard(k, hi[own], lo[own], shards)
+            yield pa.record_batch([*batch.columns, pa.array(part)], names=[*batch.schema.names, "shard"])
+
+    return run
+
+
+class Table:
+    """Entries sorted by hash; a hit is compared in full."""
+
+    def __init__(self, kind: np.ndarray, hi: np.ndarray, lo: np.ndarray, value: np.ndarray):
+        h = _hash(kind, hi, lo)
+        order = np.argsort(h, kind="stable")
+        self.h, self.kind, self.hi, self.lo, self.value = h[order], kind[order].astype(np.int8), hi[order], lo[order], value[order].astype(np.int64)
+        self.most = int(np.unique(self.h, return_counts=True)[1].max()) if len(h) else 0  # of one hash
+
+    def find(self, kind: int, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether there is an entry, its value or 0)."""
+        found, value = np.zeros(len(hi), bool), np.zeros(len(hi), np.int64)
+        at = np.searchsorted(self.h, _hash(kind, hi, lo))
+        for k in range(self.most):
+            i = np.minimum(at + k, len(self.h) - 1)
+            same = (self.kind[i] == kind) & (self.hi[i] == hi) & (self.lo[i] == lo)
+            found |= same
+            value[same] = self.value[i[same]]
+        return found, value
+
+
+def _scored(table, shard: int, shards: int):
+    """Of each text its key, its predicted characters and the sum of the terms that this shard holds."""
+
+    def run(batches):
+        t = Table(*table.value)
+        base = round(float(np.log(2.0**-BASE_BITS)) / UNIT)
         for batch in blocks(batches, limit=1 << 20):
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for rows, contexts, parts, ends in stretches([t or "" for t in batch.column("text").to_pylist()]):
-                flow, begin = grams(parts, contexts, ends)
-                distinct, which = np.unique(flow, return_inverse=True)
-                value = logp[np.searchsorted(keys, distinct)].astype(np.float64)  # the table holds every n-gram of every text
+            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for rows, contexts, parts, ends in stretches([t_ or "" for t_ in batch.column("text").to_pylist()]):
+                hi, lo, which, begin = grams(parts, contexts, ends)
+                value = np.full(len(hi), base if shard == 0 else 0, np.int64)
+                for k in range(1, ORDER + 1):
+                    h, l_ = hi & ((1 << BITS * max(0, k - 3)) - 1), lo & ((1 << BITS * min(k, 3)) - 1)
+                    ch, cl = _shortened(h, l_)
+                    here = np.arange(len(hi)) if shards == 1 else np.flatnonzero(_shard(k, ch, cl, shards) == shard)
+                    found, own = t.find(k, h[here], l_[here])
+                    rest = here[~found]
+                    value[here] += own
+                    value[rest] += t.find(k + 8, ch[rest], cl[rest])[1]
                 np.add.at(total, rows, np.add.reduceat(value[which], begin[:-1]))
                 np.add.at(n, rows, np.diff(begin))
-            rest = [batch.column(c) for c in ("doc_id", "lang", "role")]
-            yield pa.record_batch([*rest, pa.array(n), pa.array(total)], names=["doc_id", "lang", "role", "n", "total"])
+            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
+            yield pa.record_batch([*rest, pa.array(n), pa.array(total)], names=[*(c for c in batch.schema.names if c != "text"), "n", "total"])
 
     return run
 
 
-def _text_grams(batches):
-    for batch in blocks(batches, limit=1 << 20):
-        for rows, contexts, parts, ends in stretches([t or "" for t in batch.column("text").to_pylist()]):
-            flow, begin = grams(parts, contexts, ends)
-            doc = np.repeat(np.array(rows), np.diff(begin))
-            order = np.lexsort((flow, doc))
-            flow, doc = flow[order], doc[order]
-            first = np.flatnonzero(np.concatenate(([True], (flow[1:] != flow[:-1]) | (doc[1:] != doc[:-1]))))
-            times = np.diff(np.append(first, len(flow)))
-            yield pa.record_batch([batch.column("key").take(pa.array(doc[first])), pa.array(flow[first]), pa.array(times)], names=["key", "g", "times"])
-
-
-def perplexities(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, lang, role, n, total) of docs (doc_id, lang, text, role): the number of predicted characters and their summed log probability."""
-    counted = map_arrow(docs, _count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def perplexities(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """(doc_id, lang, role, n, total) of docs (doc_id, lang, text, role): the number of predicted characters and their summed log probability in millionths, under the model of those that train."""
+    spark = docs.sparkSession
+    counted = map_arrow(docs.filter(F.col("role") == TRAINS).select("text"), _count, "hi long, lo long, c long").groupBy("hi", "lo").agg(F.sum("c").alias("c"))
     counts = put(counted, "grams")
-    table = log_probabilities(counts)
+    table = entries(counts)
     drop(counts)
-    kinds = "doc_id long, lang string, role int, n long, total double"
-    if table.count() <= max_broadcast:
-        rows = table.select("g", F.col("logp").cast("float")).toArrow()
-        keys, logp = rows["g"].to_numpy(), rows["logp"].to_numpy()
-        order = np.argsort(keys)
-        return map_arrow(docs, _scored_here(docs.sparkSession.sparkContext.broadcast((keys[order], logp[order]))), kinds)
+    shards = max(1, -(-table.count() // max_entries))
+
+    def broadcast(rows: DataFrame):
+        found = rows.select("kind", "hi", "lo", "value").toArrow()
+        return spark.sparkContext.broadcast(tuple(found[c].to_numpy().astype(np.int64) for c in ("kind", "hi", "lo", "value")))
+
+    if shards == 1:
+        return map_arrow(docs.select("doc_id", "lang", "role", "text"), _scored(broadcast(table), 0, 1), "doc_id long, lang string, role int, n long, total long")
+    split = put(map_arrow(table, _sharded(shards), "kind int, hi long, lo long, value long, shard long"), "shards")
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("key", F.sha2(text, 256))
-    texts = keyed.groupBy("key").agg(F.any_value(text).alias("text"))
-    sums = (
-        map_arrow(texts, _text_grams, "key string, g long, times long").join(table, "g").groupBy("key")
-        .agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.col("logp")).alias("total"))
-    )
+    keyed = docs.select("doc_id", "lang", "role", F.sha2(text, 256).alias("key"), text.alias("text"))
+    sums = None
+    for i in range(shards):  # a pass each; what comes back is two numbers a text
+        held = broadcast(split.filter(F.col("shard") == i))
+        part = put(map_arrow(keyed.select("key", "text"), _scored(held, i, shards), "key string, n long, total long").dropDuplicates(["key"]), "partial")
+        held.unpersist()
+        sums = part if sums is None else sums.unionAll(part)
+    sums = sums.groupBy("key").agg(F.max("n").alias("n"), F.sum("total").alias("total"))
     return keyed.select("doc_id", "lang", "role", "key").join(sums, "key").select("doc_id", "lang", "role", "n", "total")
 
 
@@ -212,44 +285,53 @@ def _quantile(bins: dict[int, int], share: float) -> float:
     left = share * sum(bins.values())
     for b in sorted(bins):
         left -= bins[b]
-        if left <= 0:
+        if left <= 1e-9:
             return (b + 1) * BIN
     return (max(bins) + 1) * BIN
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, lang, n_predicted, perplexity, bound, keep; a row for each row of `docs`.
+def bounds_of(counts: list[tuple[str | None, int, int]], quantile: float, least_held_out: int) -> tuple[float | None, dict[str | None, float]]:
+    """(bound of all, bounds by language) from (lang, bin, documents)."""
+    by: dict[str | None, dict[int, int]] = {}
+    every: dict[int, int] = {}
+    for lang, b, n in counts:
+        for bins in (by.setdefault(lang, {}), every):
+            bins[b] = bins.get(b, 0) + n
+    return (_quantile(every, quantile) if every else None), {lang: _quantile(bins, quantile) for lang, bins in by.items() if sum(bins.values()) >= least_held_out}
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_entries: int = MAX_ENTRIES, least_held_out: int = LEAST_HELD_OUT, prior: int = PRIOR) -> DataFrame:
+    """doc_id, lang, n_predicted, perplexity, judged, bound, keep; a row for each row of `docs`.
 
-    Trusted are documents with a label of quality 1. A text is kept if its
-    log-perplexity is at most its language's bound. Null and empty texts predict only their end and
+    Trusted are documents with a label of quality 1. A text is kept if `judged`, its
+    perplexity with the `prior` characters, is at most its language's bound. Null and empty texts predict only their end and
     are kept like any text. Null languages are one of their own; null ids are never
     trusted and stay null; repeated rows count each. Without trusted text there is no
-    bound and everything is kept. Other columns are not read.
+    bound and everything is kept; without held-out text the trusted text itself sets the bounds. Other columns are not read.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     flags = rows.select("doc_id").distinct().join(good, F.col("doc_id") == F.col("_id"), "left_semi")
-    marked = _marked(rows, flags)
-    scored = put(perplexities(marked, max_broadcast).withColumn("x", -F.col("total") / F.col("n")), "perplexity")
-    bin_ = F.floor(F.col("x") / BIN).cast("int")
-    counts = scored.filter(F.col("role") != OTHER).groupBy("lang", "role", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    used = HELD_OUT if any(r["role"] == HELD_OUT for r in counts) else TRAINS
-    by: dict = {}
-    for r in counts:
-        if r["role"] == used:
-            for lang in ((r["lang"],), "all"):
-                bins = by.setdefault(lang, {})
-                bins[r["bin"]] = bins.get(r["bin"], 0) + r["n"]
-    bounds = {}
-    for lang, bins in by.items():
-        at = lambda share, bins=bins: _quantile(bins, share)
-        bounds[lang] = max(at(quantile), at(0.75) + 3 * (at(0.75) - at(0.25)))
-    bound = F.lit(bounds.get("all")).cast("double")
-    for lang, value in bounds.items():
-        if lang != "all":
-            bound = F.when(F.col("lang").eqNullSafe(F.lit(lang[0])), F.lit(value)).otherwise(bound)
-    out = scored.withColumn("b", bound)
-    return out.select("doc_id", "lang", F.col("n").alias("n_predicted"), F.exp("x").alias("perplexity"), F.exp("b").alias("bound"), F.coalesce(F.col("x") <= F.col("b"), F.lit(True)).alias("keep"))
+    scored = put(perplexities(_marked(rows, flags), max_entries), "perplexity")
+    sums = scored.filter(F.col("role") != OTHER).groupBy("lang", "role").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.sum("total").alias("total")).collect()
+    used = HELD_OUT if any(r["role"] == HELD_OUT for r in sums) else TRAINS
+    sums = [r for r in sums if r["role"] == used]
+    own = {r["lang"]: -r["total"] * UNIT / r["n"] for r in sums if r["docs"] >= least_held_out}
+    mean = _by_language(own, -sum(r["total"] for r in sums) * UNIT / sum(r["n"] for r in sums) if sums else None)
+    scored = scored.withColumns({"x": -F.col("total") * F.lit(UNIT) / F.col("n"), "y": (mean * F.lit(prior) - F.col("total") * F.lit(UNIT)) / (F.col("n") + F.lit(prior))})
+    counts = scored.filter(F.col("role") == used).groupBy("lang", F.floor(F.col("y") / BIN).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    every, bounds = bounds_of([(r["lang"], r["bin"], r["n"]) for r in counts], quantile, least_held_out)
+    out = scored.withColumn("b", _by_language(bounds, every))
+    return out.select(
+        "doc_id", "lang", F.col("n").alias("n_predicted"), F.exp("x").alias("perplexity"), F.exp("y").alias("judged"), F.exp("b").alias("bound"), F.coalesce(F.col("y") <= F.col("b"), F.lit(True)).alias("keep")
+    )
+
+
+def _by_language(values: dict[str | None, float], others: float | None):
+    out = F.lit(others).cast("double")
+    for lang, value in values.items():
+        out = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.lit(value)).otherwise(out)
+    return out
 
 
 def _marked(rows: DataFrame, good: DataFrame) -> DataFrame:
