@@ -143,23 +143,70 @@ def test_base_spans_and_digest(spark):
         assert [x for x in rows[i]["spans"].split(",") if x and not x.startswith("context")] == [x for x in listed.split(",") if x]
 
 
-def test_guess_cost_is_the_least_over_all_segmentations():
-    def least(value):
-        each, spans = S.character_bits(value), S.segments(value)
-        known = defaultdict(list)
-        for a, b, bits, _ in spans:
-            known[a].append((b, bits + 1))
-
-        def go(i):
-            return 0.0 if i == len(value) else min([each + go(i + 1), *(bits + go(b) for b, bits in known[i])])
+def plain_spans(v):
+    """(start, end, bits) of every span, from the definitions: each substring is looked at by itself."""
+    low, letters = v.lower(), lambda x: all(c.isascii() and c.isalpha() for c in x)
+
+    def case(x):
+        up = "".join("A" if c.isupper() else "a" if c.isalpha() else "-" for c in x)
+        return 0 if "A" not in up else 1 if re.fullmatch("A[a-]*|[A]+", up) or up.replace("-", "") == "A" * len(up.replace("-", "")) and up[0] == "A" else len(x)
+
+    def forms(x):
+        yield from ((x, 0), (x.translate(str.maketrans("@4310$5!7", "aaeiossit")), 2))
+
+    out = []
+    for i in range(len(v)):
+        for j in range(i + 1, len(v) + 1):
+            x, y = v[i:j], low[i:j]
+            for form, extra in forms(y):
+                if form in S.COMMON and len(x) >= 3:
+                    out.append((i, j, math.log2(S.COMMON.index(form) + 2) + 1 + case(x) + extra))
+                    break
+            if re.fullmatch(r"(19|20)[0-9]{2}", x):
+                out.append((i, j, math.log2(200)))
+            elif re.fullmatch(r"(19|20)[0-9]{2}[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12][0-9]|3[01])|(0[1-9]|[12][0-9]|3[01])[-/._]?(0[1-9]|1[0-2])[-/._]?(19|20)[0-9]{2}", x):
+                out.append((i, j, math.log2(365 * 200) + (0 if x.isdigit() else 2)))
+            steps = [y[k : k + 2] for k in range(len(y) - 1)]
+            if len(x) >= 3 and all(any(p in row or p[::-1] in row for row in S.ROWS) for p in steps):
+                out.append((i, j, math.log2(47) + math.log2(len(x)) + any(a != b[::-1] for a, b in zip(steps, steps[1:]))))  # noqa: B905
+            if len(x) >= 4 and letters(y) and all(p[1] in S.FOLLOW[p[0]] for p in steps):
+                out.append((i, j, math.log2(26) + sum(math.log2(S.FOLLOW[a].index(b) + 2) + 1 for a, b in steps) + case(x)))
+            for unit in range(1, 9):
+                if len(x) % unit == 0 and len(x) // unit >= (3 if unit == 1 else 2) and x == x[:unit] * (len(x) // unit):
+                    out.append((i, j, plain_guess(x[:unit], False) + math.log2(len(x) // unit)))
+    return out
+
+
+def plain_guess(v, memo=True):
+    each, spans = S.character_bits(v), defaultdict(list)
+    for a, b, bits in plain_spans(v):
+        spans[a].append((b, bits + 1))
+    cost = {len(v): 0.0}
+    for i in range(len(v) - 1, -1, -1):
+        cost[i] = min([each + cost[i + 1], *(bits + cost[b] for b, bits in spans[i])])
+    return cost[0]
 
-        return go(0)
 
-    for value in ("password1", "Passw0rd!", "qwerty123", "abcabcabc", "19990214x", "dragon2001", "aaaaaaaa", "zxcvbnm,.", "Tr0ub4dor", "x7#Lq9", "admin"):
-        assert S.guess_bits(value) == pytest.approx(least(value))
+def test_guess_cost_is_the_least_over_all_segmentations():
+    rng = random.Random(7)
+    bits = ["abcdef", "freedom", "Password", "p@ssw0rd", "qwert", "1999", "2001-02-28", "12", "aa", "xyx", "Sun", "SHINE", "k9", "#", "er", "th", "é", "1qaz", "zaq1", "abab"]
+    values = ["abcdefreedom", "password1", "Passw0rd!", "qwerty123", "abcabcabc", "19990214x", "dragon2001", "aaaaaaaa", "zxcvbnm,.", "Tr0ub4dor", "x7#Lq9", "admin", "passwordpassword", ""]
+    for value in values + ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 5)))[:18] for _ in range(250)]:
+        assert S.guess_bits(value) == pytest.approx(plain_guess(value)), value
+    assert S.guess_bits("abcdefreedom") < 20 and S.guess_bits("passwordpassword") < 8
     assert S.guess_bits("password") < 5 and S.guess_bits("qwertyuiop") < 15 and S.guess_bits("k9#Vq2!xZ7pL") > 60 and S.guess_bits("abcabcabcabc") < 30
 
 
+def test_scan_and_redact_of_odd_tables(spark):
+    schema = "doc_id long, text string, kind string, n_chars string"
+    rows = [(None, "password=hunter2hunter2", "x", "y"), (None, "password=hunter2hunter2", "x", "y"), (None, None, None, None), (5, "", "x", None)]
+    df = spark.createDataFrame(rows, schema).drop("n_chars").withColumn("secrets", F.lit("old"))
+    got = sorted(((r["doc_id"], r["n_assign"], r["spans"]) for r in S.digest(S.scan(df)).collect()), key=repr)
+    assert got == sorted([(None, 1, "assign:0:23")] * 2 + [(None, 0, ""), (5, 0, "")], key=repr)
+    assert sorted(((r["doc_id"], r["text"], r["secrets"]) for r in S.redact(df).collect()), key=repr) == sorted([(None, "[SECRET]", "old")] * 2 + [(None, None, "old"), (5, "", "old")], key=repr)
+    assert S.scan(df.limit(0)).count() == 0 and S.redact(df.limit(0)).count() == 0 and S.digest(S.scan(df.limit(0))).count() == 0
+
+
 def test_context_spans():
     found = lambda t: [(k, t[a:b]) for a, k, b, _ in S.find(t) if k == "context"]
     assert found("pwd: k9#Vq2!xZ7pL.") == [("context", "k9#Vq2!xZ7pL")]

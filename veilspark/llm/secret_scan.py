@@ -2,7 +2,8 @@
 
 A value that follows a credential word is judged by the cheapest way to guess it:
 dynamic programming over its characters finds the segmentation of least cost into
-common words, letters as in words, dates, repeats, keyboard walks and brute-force spans, in bits. Values
+common words, letters as in words, dates, repeats, keyboard walks and brute-force spans, in bits. Every part of
+a walk, of a run of letters and of a repeat may be a span, not only the longest ones. Values
 from `least_bits` on are reported as `context` spans beside the fixed patterns.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,6 +40,7 @@ CONTEXT = re.compile(
 # One of these is in every text with a context.
 STEMS = ("passw", "passp", "passc", "passe", "pwd", "secret", "token", "key", "credential", "bearer", "basic", "auth", "kennwort", "contrase", "mdp")
 LEAST_BITS = 40.0
+_WALK = math.log2(47)
 
 # Common password words, most common first.
 COMMON = (
@@ -61,8 +64,13 @@ FOLLOW = dict(
 )
 SPOKEN = {a + b: math.log2(rank + 2) + 1 for a, row in FOLLOW.items() for rank, b in enumerate(row)}
 LEET = str.maketrans("@4310$5!7", "aaeiossit")
-DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+DATES = tuple(
+    re.compile(form, re.A)
+    for form in (r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d", r"(?:19|20)\d\d")
+)
 DATE_BITS = {8: math.log2(365 * 200), 4: math.log2(200)}
+LONGEST_RUN = 64  # characters of a walk or of letters as in words
+MOST_TIMES, LONGEST_UNIT = 16, 8  # of a repeat; one that cannot be longer to its left may have more
 
 
 def character_bits(value: str) -> float:
@@ -71,64 +79,82 @@ def character_bits(value: str) -> float:
     return math.log2(max(2, size + 33 * any(not c.isalnum() for c in value)))
 
 
-def segments(value: str) -> list[tuple[int, int, float, str]]:
-    """(start, end, bits, kind) of every span that is cheaper than brute force may be."""
+def _case_bits(value: str, first_upper: bool, others_upper: int, letters: int) -> float:
+    """Bits of the case of a span: none, one for a capital or capitals only, else one a character."""
+    if not first_upper and not others_upper:
+        return 0.0
+    if not others_upper or (first_upper and others_upper == letters - 1):
+        return 1.0
+    return float(len(value))
+
+
+def _cased(span: str) -> float:
+    upper = [c.isupper() for c in span]
+    return _case_bits(span, upper[0], sum(upper[1:]), sum(c.isalpha() for c in span))
+
+
+def guess_bits(value: str) -> float:
+    """The least cost of a segmentation: the sum of its spans' bits and one bit for each span but brute-force characters.
+
+    Spans, by their end: words of the list, as they are or with 2 bits for digits and
+    marks that stand for letters; dates; walks of 3 to 64 keys; 4 to 64 letters that follow each other
+    as in words; units of 1 to 8 characters three times or more (two from 2 characters on), at most 16 times or as
+    often as the text before allows, where the unit costs what it costs by itself.
+    """
     low = value.lower()
-    plain, out, n = low.translate(LEET), [], len(value)
+    if len(low) != len(value):  # characters whose lower case is longer stay as they are
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain, n = low.translate(LEET), len(value)
+    each = character_bits(value)
+    dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        if low[i].isdigit():
+            for form in DATES:
+                if m := form.match(value, i):
+                    digits = sum(c.isdigit() for c in m[0])
+                    dates.setdefault(m.end(), []).append((i, DATE_BITS[digits] + 2 * (m.end() - i > digits)))
+    cost = [0.0] * (n + 1)
+    walk = spoken = 1  # characters of the longest walk and run of letters that end here
+    same = [0] * (LONGEST_UNIT + 1)  # characters that equal those a unit before
+    for j in range(1, n + 1):
+        best = cost[j - 1] + each
+        for i, bits in dates.get(j, ()):
+            best = min(best, cost[i] + bits + 1)
+        for i in range(max(0, j - LONGEST), j - 2):
             for form, extra in ((low, 0.0), (plain, 2.0)):
                 if rank := RANK.get(form[i:j]):
-                    case = 0.0 if value[i:j].islower() or low[i:j] == value[i:j] else 1.0 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else float(j - i)
-                    out.append((i, j, math.log2(rank + 1) + 1 + case + extra, "word"))
+                    best = min(best, cost[i] + math.log2(rank + 1) + 2 + _cased(value[i:j]) + extra)
                     break
-        if m := DATE.match(value, i):
-            digits = sum(c.isdigit() for c in m[0])
-            out.append((i, m.end(), DATE_BITS[digits] + 2 * (m.end() - i > digits), "date"))
-    i = 0
-    while i < n - 1:  # maximal walks, forwards or backwards
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in NEXT:
-            j += 1
-        if j - i >= 3:
-            turns = sum(low[k : k + 2] != low[k + 1 : k + 3][::-1] for k in range(i, j - 2)) and 1
-            out.append((i, j, math.log2(47) + math.log2(j - i) + turns, "walk"))
-        i = max(j - 1, i + 1)
-    i = 0
-    while i < n:  # maximal runs of letters that follow each other in words
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in SPOKEN:
-            j += 1
-        if j - i >= 4:
-            case = 0.0 if value[i:j].islower() else 1.0 if value[i + 1 : j] == low[i + 1 : j] or value[i:j].isupper() else float(j - i)
-            out.append((i, j, math.log2(26) + sum(SPOKEN[low[k - 1 : k + 1]] for k in range(i + 1, j)) + case, "spoken"))
-        i = j
-    bits = character_bits(value)
-    for unit in range(1, 9):  # maximal repeats of a unit
-        i = 0
-        while i + 2 * unit <= n:
-            j = i + unit
-            while j < n and value[j] == value[j - unit]:
-                j += 1
-            times = (j - i) // unit
-            if times >= (3 if unit == 1 else 2):
-                out.append((i, i + times * unit, unit * bits + math.log2(times), "repeat"))
-                i = max(i + 1, j - unit + 1)
-            else:
-                i += 1
-    return out
+        pair = low[j - 2 : j] if j > 1 else ""
+        walk = min(walk + 1, LONGEST_RUN) if pair in NEXT else 1
+        turned = False
+        for size in range(3, walk + 1):
+            i = j - size
+            turned = turned or low[i : i + 2] != low[i + 1 : i + 3][::-1]
+            best = min(best, cost[i] + _WALK + math.log2(size) + turned + 1)
+        spoken = min(spoken + 1, LONGEST_RUN) if pair in SPOKEN else 1
+        if spoken >= 4:
+            bits, upper = math.log2(26), [value[j - 1].isupper()]
+            for size in range(2, spoken + 1):
+                i = j - size
+                bits += SPOKEN[low[i : i + 2]]
+                first = value[i].isupper()
+                if size >= 4:
+                    best = min(best, cost[i] + bits + _case_bits(value[i:j], first, sum(upper), size) + 1)
+                upper.append(first)
+        for unit in range(1, min(LONGEST_UNIT, j - 1) + 1):
+            same[unit] = same[unit] + 1 if value[j - 1] == value[j - 1 - unit] else 0
+            most = same[unit] // unit + 1
+            least = 3 if unit == 1 else 2
+            if most >= least:
+                bits = _unit_bits(value[j - unit : j]) + 1
+                for times in (*range(least, min(most, MOST_TIMES) + 1), most):
+                    best = min(best, cost[j - times * unit] + bits + math.log2(times))
+        cost[j] = best
+    return cost[-1]
 
 
-def guess_bits(value: str) -> float:
-    """The least cost of a segmentation: the sum of its spans' bits and one bit for each span but brute-force characters."""
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for a, b, bits, _ in segments(value):
-        by_end.setdefault(b, []).append((a, bits + 1))
-    each = character_bits(value)
-    cost = [0.0] * (len(value) + 1)
-    for j in range(1, len(value) + 1):
-        cost[j] = min([cost[j - 1] + each, *(cost[a] + bits for a, bits in by_end.get(j, ()))])
-    return cost[-1]
+_unit_bits = lru_cache(maxsize=8192)(guess_bits)
 
 
 def worded(value: str) -> bool:
@@ -209,7 +235,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", least_bits: float = LEAST_BI
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and the least guess cost from `scan`'s result."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and the greatest guess cost of a value from `scan`'s result."""
     listed = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(
