@@ -33,8 +33,14 @@ def _fold(pairs: Column, base: Column) -> Column:
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
 
+def in_blocks(items: Column) -> Column:
+    """An array in parts of `_BLOCK` elements, or as many as there are parts if those are more; it must not be empty."""
+    size = F.greatest(F.lit(_BLOCK), F.ceil(F.sqrt(F.size(items))).cast("int"))
+    return let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / n).cast("int")), lambda b: F.slice(items, b * n + 1, n)))
+
+
 def _by_blocks(pairs: Column) -> Column:
-    cut = F.transform(F.sequence(F.lit(0), ((F.size(pairs) - 1) / _BLOCK).cast("int")), lambda b: F.slice(pairs, b * _BLOCK + 1, F.lit(_BLOCK)))
+    cut = in_blocks(pairs)
     zero = F.struct(F.lit(0).cast("long").alias("at"), _empty("array<bigint>").alias("bases"))
     length = lambda block: F.aggregate(block, F.lit(0).cast("long"), lambda n, m: n + m["gap"] + F.length(m["value"]))
     step = lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
@@ -72,3 +78,48 @@ def match_context(text: Column, pattern: str, width: int, guard: Column | None =
 def explode_once(df: DataFrame, array: Column | str, name: str, *keep: Column | str) -> DataFrame:
     """A row for each element. Unlike a plain explode this gives the optimizer no reason to filter by the array's size first, which would make a computed array several times."""
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def disjoint(items: Column, kind: str) -> Column:
+    """Of a sorted array of structs of type `kind` with `start` and `end`, those that begin at or after the end of the last one kept. Folds run over a block at a time, so n elements cost about n."""
+    nothing = lambda of: F.expr(f"cast(array() as {of})")
+
+    def step(acc: Column, m: Column) -> Column:
+        fits = m["start"] >= acc["last"]
+        return F.struct(F.when(fits, m["end"]).otherwise(acc["last"]).alias("last"), F.when(fits, F.concat(acc["kept"], F.array(m))).otherwise(acc["kept"]).alias("kept"))
+
+    def inner(block: Column, last: Column) -> Column:
+        return F.aggregate(block, F.struct(last.alias("last"), nothing(f"array<{kind}>").alias("kept")), step)
+
+    def outer(acc: Column, block: Column) -> Column:
+        joined = lambda x: F.struct(x["last"].alias("last"), F.concat(acc["kept"], F.array(x["kept"])).alias("kept"))
+        return let(inner(block, acc["last"]), joined)
+
+    first = F.lit(-1).cast("long")
+    long = F.flatten(F.aggregate(in_blocks(items), F.struct(first.alias("last"), nothing(f"array<array<{kind}>>").alias("kept")), outer, lambda acc: acc["kept"]))
+    return F.when(F.size(items) <= 1, items).when(F.size(items) <= _BLOCK, inner(items, first)["kept"]).otherwise(long)
+
+
+def splice(text: Column, items: Column) -> Column:
+    """`text` with each (start, end, replacement) of a sorted, disjoint array put in. The text is cut once a block of replacements and then only within the block's part, so n of them cost about n."""
+    zero = lambda at: F.struct(at.alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
+
+    def part(own: Column, base: Column, block: Column) -> Column:
+        """`own`, the text from `base` to the end of the block's last item, with the block's items."""
+
+        def step(acc: Column, r: Column) -> Column:
+            gap = F.substring(own, (acc["at"] - base + 1).cast("int"), (r["start"] - acc["at"]).cast("int"))
+            return F.struct(r["end"].alias("at"), F.concat(acc["parts"], F.array(gap, r["replacement"])).alias("parts"))
+
+        return F.aggregate(block, zero(base), step, lambda acc: F.array_join(acc["parts"], ""))
+
+    def outer(acc: Column, block: Column) -> Column:
+        end = F.element_at(block, -1)["end"]
+        own = F.substring(text, (acc["at"] + 1).cast("int"), (end - acc["at"]).cast("int"))
+        return F.struct(end.alias("at"), F.concat(acc["parts"], F.array(let(own, lambda o: part(o, acc["at"], block)))).alias("parts"))
+
+    tail = lambda at: F.substring(text, (at + 1).cast("int"), F.length(text))
+    start = F.lit(0).cast("long")
+    whole = F.aggregate(in_blocks(items), zero(start), outer, lambda acc: F.concat(F.array_join(acc["parts"], ""), tail(acc["at"])))
+    short = F.concat(part(text, start, items), tail(F.element_at(items, -1)["end"]))
+    return F.when(F.size(items) == 0, text).when(F.size(items) <= _BLOCK, short).otherwise(whole)

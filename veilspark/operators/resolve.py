@@ -5,29 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import let
+from veilspark.functions.spans import disjoint, let, splice
 
 from .detect import MATCH
 
 
 def resolve_overlaps(matches: Column) -> Column:
     """Sorted, disjoint matches: the earliest start first, then the longest, then the detector registered first; one is kept if it starts at or after the last kept end."""
-    zero = F.struct(F.lit(-1).cast("long").alias("last"), F.expr(f"cast(array() as array<{MATCH}>)").alias("kept"))
-
-    def step(acc: Column, m: Column) -> Column:
-        fits = m["start"] >= acc["last"]
-        return F.struct(F.when(fits, m["end"]).otherwise(acc["last"]).alias("last"), F.when(fits, F.concat(acc["kept"], F.array(m))).otherwise(acc["kept"]).alias("kept"))
-
-    return let(matches, lambda found: F.when(F.size(found) <= 1, found).otherwise(F.aggregate(F.array_sort(found), zero, step, lambda acc: acc["kept"])))
+    return let(F.array_sort(matches), lambda found: disjoint(found, MATCH))
 
 
 def apply(text: Column, replacements: Column) -> Column:
     """`text` with each (start, end, replacement) of a sorted, disjoint array put in."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
-
-    def step(acc: Column, r: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (r["start"] - acc["at"]).cast("int"))
-        return F.struct(r["end"].alias("at"), F.concat(acc["parts"], F.array(gap, r["replacement"])).alias("parts"))
-
-    tail = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return let(replacements, lambda new: F.when(F.size(new) == 0, text).otherwise(F.aggregate(new, zero, step, tail)))
+    return let(replacements, lambda new: splice(text, new))
