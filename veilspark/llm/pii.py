@@ -1,17 +1,15 @@
 """Personal data by candidate boosting, in native expressions.
 
 Fixed patterns with checks give the base spans. Beside them, generators of high
-recall propose overlapping spans (loose addresses, any longer run of digits). Each
+recall propose overlapping spans: loose, bracketed and spelt-out addresses, and any longer run of digits. Each
 candidate becomes a vector of format and context bits; gradient-boosted trees of
-depth two score it; candidates from a
-generator's calibrated threshold on become `boost` spans unless base spans cover them. Bit vectors that
-the documents of the fit do not hold have no evidence and are never selected.
-
-Every document counts. What reaches the driver is one row of counts for each distinct bit
-vector, so its size is bounded by the number of bits. Labels are weak: a candidate is positive that a checked
-base span covers, or that has evidence of its own which the base patterns do not look for
-(see `evidence`). Half of the documents fits the trees, the other half calibrates; a threshold
-must hold for all candidates and for those that no base span touches, which are what it adds.
+depth two score it; candidates from a generator's calibrated threshold on become `boost` spans
+unless a base span touches them.
+
+The labels are independent of the base patterns and of the features: the trees are fitted on
+planted examples, texts drawn from forms of which it is known whether they are personal data (`POSITIVE`, `NEGATIVE`),
+in contexts that help, mislead or say nothing. `draws` bounds how many; one half fits the trees, the other calibrates the
+thresholds. No count over the corpus enters, so the model is the same for a corpus of any size.
 """
 
 from __future__ import annotations
@@ -19,10 +17,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import match_context, match_spans
+from veilspark.functions.spans import disjoint, let, match_context, match_spans, splice
 
 # The base patterns, written so that no text makes them backtrack far.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -31,22 +30,47 @@ CARD = r"[0-9](?:[ -]?[0-9]){15,}+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone")
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-# Generators of candidates: loose addresses and runs of digits.
+# Generators of candidates: loose addresses, spelt-out ones, and runs of digits.
+AT, DOT = r"\s?[\[({](?:at|AT)[\])}]\s?", r"\s?[\[({](?:dot|DOT)[\])}]\s?"
 LOOSE = {
-    "address": r"(?:\G|(?<![^\s<>()\[\],;:\"']))[^\s@<>()\[\],;:\"']++(?:@|\s?[\[(](?:at|AT)[\])]\s?)(?:[^\s@<>()\[\],;:\"'.!?]|[.!?](?=[^\s@<>()\[\],;:\"'.!?])|\s?[\[(](?:dot|DOT)[\])]\s?)++",
-    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:[ ()./-]{0,3}[0-9]){6,}+",
+    "address": rf"(?:\G|(?<![^\s<>()\[\]{{}},;:\"']))[^\s@<>()\[\]{{}},;:\"']++(?:@|{AT})(?:[^\s@<>()\[\]{{}},;:\"'.!?]|[.!?](?=[^\s@<>()\[\]{{}},;:\"'.!?])|{DOT})++",
+    "spelt": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ (?:at|AT) [A-Za-z0-9-]++(?:(?:\.| (?:dot|DOT) )[A-Za-z0-9-]++)++",
+    "number": r"(?<![0-9A-Za-z])[+(]?[0-9](?:(?:[ ()./-]{0,3}|\[\.\])[0-9]){6,}+",
 }
+GUARDS = {"address": r"@|[\[({](?:at|AT)[\])}]", "spelt": r" (?:at|AT) [A-Za-z0-9-]++(?:\.| (?:dot|DOT) )[A-Za-z0-9-]", "number": r"[0-9](?:(?:[ ()./-]{0,3}|\[\.\])[0-9]){6}"}
 CONTEXT = 24
-# Words before a candidate, in the languages of the corpus; marks that hide an address; forms of numbers.
-FILL = r"(?:[^\p{L}]+(?:number|no|nr|is|are|me|us|at|on|under))*[^\p{L}]{0,8}$"
+# Words before a candidate, in the languages of the corpus; forms of numbers.
+FILL = r"(?:[^\p{L}]+(?:number|nummer|no|nr|is|are|me|us|at|on|under))*[^\p{L}]{0,8}$"
 PHONE_WORDS = r"(?<!\p{L})(?:(?:tele)?phone|tel|call|mobile|cell|fax|telefon|rufnummer|handy|mobil|t[eé]l[eé]phone|t[eé]l|tel[eé]fono|m[oó]vil)" + FILL
-OTHER_WORDS = r"(?<!\p{L})(?:e-?mail|mail|contact|write to|reach|card|visa|mastercard|account|address|host|server|ip)" + FILL
-AT, DOT = r"\s?[\[(](?:at|AT)[\])]\s?", r"\s?[\[(](?:dot|DOT)[\])]\s?"
-NATIONAL = r"^(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$"
-NATIONAL_RANGE = r"^\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-][0-9]{4}$"
+MAIL_WORDS = r"(?<!\p{L})(?:e-?mail|mail|contact|write to|reach|correo|courriel|kontakt)" + FILL
+NUMBER_WORDS = r"(?<!\p{L})(?:order|invoice|part|ref|reference|isbn|version|id|item|sku|ticket|build|serial|rechnung|bestellung|commande|pedido)" + FILL
+NATIONAL = r"^\(?[2-9][0-9]{2}\)?[ ./-]?[2-9][0-9]{2}[ .-][0-9]{4}$"
 TRUNK = r"^\(?0[1-9][0-9]{0,4}(?:\) ?|[ ./-])[0-9](?:[ ./-]?[0-9])*$"
 DATE = r"^(?:(?:19|20)[0-9]{2}[ ./-][01]?[0-9][ ./-][0-3]?[0-9]|[0-3]?[0-9][ ./-][0-3]?[0-9][ ./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[ /-]{1,3}(?:19|20)[0-9]{2})(?![0-9])"
 
+# Forms of the planted examples by contexts. In a form # is a digit, N one from 2 on, L the check digit of a card, X a wrong one, w a word, h a host.
+BEFORE = {
+    "plain": ("the rest of it ", "we saw ", "it was ", "", "und dann ", "avec ", "para "), "phone": ("call ", "tel ", "Telefon: ", "phone number is ", "mobile: ", "móvil ", "téléphone "),
+    "mail": ("mail ", "write to ", "contact: ", "reach me at ", "correo "), "number": ("order ", "invoice no ", "part ", "ref ", "ISBN ", "version ", "id ", "build "),
+}
+AFTER = (", as said", ".", " and so on", "", "; then")
+POSITIVE = (
+    ("(N##) N##-####", "plain phone"), ("N##-N##-####", "plain phone"), ("N##.N##.####", "plain phone"), ("N## N## ####", "phone"), ("0N## ######", "plain phone"), ("0N#/#######", "plain phone"), ("0N ## ## ## ##", "plain phone"),
+    ("(0N#) ### ####", "plain phone"), ("00N# ### #######", "plain phone"), ("N######", "phone"), ("N## ####", "phone"), ("N##-####", "phone"), ("N # # # # # # # # #", "phone"), ("+N## (N##) N##-####", "plain phone"),
+    ("4###.####.####.###L", "plain"), ("4###/####/####/###L", "plain"), ("5### - #### - #### - ###L", "plain"), ("4### #### #### ###L", "plain"), ("1##[.]1##[.]1##[.]1##", "plain"), ("1##.1##.1##.##", "plain"),
+    ("w.w## [at] h.com", "plain mail"), ("w##(at)h.org", "plain mail"), ("w_w {at} h.net", "plain mail"), ("w## [at] h [dot] net", "plain mail"), ("w.w(at)h(dot)com", "plain mail"), ("w.w at h dot com", "plain mail"),
+    ("w## AT h DOT org", "plain mail"), ("w## at h.com", "mail"), ("w.w@h.com", "plain mail"), ("w##@h", "mail"),
+)
+NEGATIVE = (
+    ("20##-0N-1N", "plain number"), ("1#.0N.20##", "plain"), ("0N/1#/199#", "plain"), ("19N#-20##", "plain"), ("########", "plain number"), ("N######", "plain number"), ("978-N-##-######-#", "plain number"), ("N.###.###.###", "plain"),
+    ("################", "plain number"), ("4##############X", "plain"), ("4###.####.####.###X", "plain number"), ("20##0N1N1#####", "plain number"), ("5N.######", "plain"), ("N.##.###.##", "number"), ("##-####-###", "plain number"),
+    ("300.4##.5##.9##", "plain"), ("N## ### ###", "plain"), ("#### #### ####", "plain"), ("N##-N##-####-##", "number"), ("N## N## ####", "number"), ("0N## ######", "number"), ("# # # # # # # #", "plain"), ("N## ####", "plain"),
+    ("w [at] h", "plain"), ("w@h", "plain"), ("w (at) h", "plain"), ("w at h.com", "plain"), ("w at h.5#", "plain"), ("w@@h", "plain"), ("w at h dot", "plain"),
+)
+NAMES = "ann bob carla dieter eva frank ines jose karin louis marta nils olga pablo rosa sven tina ursula victor yves".split()
+HOSTS = "example mailbox kontor atelier empresa werkstatt bureau correo postfach lists inbox office".split()
+DRAWS = 200  # of each form
+
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
@@ -74,71 +98,77 @@ def base_spans(text: Column) -> dict[str, Column]:
 def _bits(x: Column) -> list[Column]:
     """Format and context features of a candidate (value, before, after)."""
     value, before, after = x["value"], F.lower(x["before"]), x["after"]
-    n = F.length(_digits(value))
+    digits = _digits(value)
+    n = F.length(digits)
     plain = _plain(value)
+    luhn = F.coalesce((n >= 2) & F.call_function("luhn_check", F.when(n >= 2, digits).otherwise("1")), F.lit(False))
     return [
         value.startswith("+"), value.contains("("), value.rlike(r"[0-9][ -][0-9]"), value.rlike(r"[0-9]\.[0-9]"), n >= 8, n >= 11, n.between(16, 19),
-        F.length(F.regexp_replace(value, r"[^.]", "")) == 3, value.rlike(rf"^(?:{PART}\.){{3}}{PART}$"), F.coalesce((n >= 2) & F.call_function("luhn_check", F.when(n >= 2, _digits(value)).otherwise("1")), F.lit(False)),
-        plain.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), value.contains("@"),
-        before.rlike(PHONE_WORDS), after.rlike("^[A-Za-z0-9_]"),
-        value.rlike(NATIONAL), value.rlike(DATE), value.rlike(TRUNK), before.rlike(OTHER_WORDS), value.rlike(AT),
+        F.length(F.regexp_replace(plain, r"[^.]", "")) == 3, plain.rlike(rf"^(?:{PART}\.){{3}}{PART}$"), luhn,
+        plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"), value.contains("@"),
+        before.rlike(PHONE_WORDS), after.rlike("^[A-Za-z0-9_]"), value.rlike(NATIONAL), value.rlike(DATE), value.rlike(TRUNK), before.rlike(MAIL_WORDS), value.rlike(AT),
+        before.rlike(NUMBER_WORDS), digits.rlike("^[3-6]"), value.rlike(r"^[0-9]{4}([^0-9]+)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"), value.rlike(r"^[0-9](?: [0-9])+$"), value.rlike(r"^[0-9]+$"),
+        value.startswith("00"), value.contains("["), value.rlike(r" (?:dot|DOT) |[\[({](?:dot|DOT)[\])}]"), value.rlike(r"^[A-Za-z]*[0-9._%+-]+[A-Za-z0-9._%+-]*(?:@|\s| [\[({])"), n.between(9, 12),
     ]
 
 
-N_BITS = 19
+N_BITS = 29
 
 
 def _plain(value: Column) -> Column:
-    """An address with hidden marks undone."""
-    return F.regexp_replace(F.regexp_replace(value, AT, "@"), DOT, ".")
+    """An address or a number with hidden marks undone."""
+    at = F.regexp_replace(F.regexp_replace(value, AT, "@"), DOT, ".")
+    return F.replace(F.regexp_replace(F.regexp_replace(at, " (?:at|AT) ", "@"), " (?:dot|DOT) ", "."), F.lit("[.]"), F.lit("."))
 
 
-def evidence(name: str, x: Column) -> Column:
-    """Whether a candidate (value, before, after) is personal data by evidence that the base patterns do not look for.
+def planted(spark: SparkSession, draws: int = DRAWS, without: tuple[str, ...] = ()) -> DataFrame:
+    """The planted examples: form, good, draw, text, and the first and end code point of the planted value. Forms in `without` are left out."""
+    rows = [(f, good, c) for good, forms in ((True, POSITIVE), (False, NEGATIVE)) for f, c in forms if f not in without]
+    forms = F.array(*(F.struct(F.lit(f).alias("form"), F.lit(good).alias("good"), F.array(*(F.lit(b) for k in c.split() for b in BEFORE[k])).alias("befores")) for f, good, c in rows))
+    drawn = spark.range(draws).withColumnRenamed("id", "draw").select("draw", F.explode(forms).alias("f")).select("draw", "f.*")
 
-    Addresses: a whole address once hidden marks are undone, or one without a top domain
-    after a word for mail. Numbers, but dates and beginnings of words: a national format
-    within its ranges, a checked card in any separators, 7 to 15 digits after a word for phones.
-    """
-    value, before = x["value"], F.lower(x["before"])
-    if name == "address":
-        plain = _plain(value)
-        return plain.rlike(r"^[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$") | (plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+$") & before.rlike(OTHER_WORDS))
-    digits = _digits(value)
-    n = F.length(digits)
-    card = _card(value) & digits.rlike("^[3-6]")
-    phone = value.rlike(NATIONAL_RANGE) | (value.rlike(TRUNK) & n.between(9, 12)) | (before.rlike(PHONE_WORDS) & n.between(7, 15))
-    return (card | phone) & ~value.rlike(DATE) & ~x["after"].rlike("^[A-Za-z0-9_]")
+    def number(slot: Column | int, below: Column | int) -> Column:
+        return F.pmod(F.xxhash64("draw", "form", "good", F.lit(slot) if isinstance(slot, int) else slot), F.lit(below) if isinstance(below, int) else below).cast("int")
+
+    def pick(words, slot) -> Column:
+        return F.get(F.array(*map(F.lit, words)), number(slot, len(words)))
+
+    def filled(c: Column, i: Column) -> Column:
+        return F.when(c == "#", number(i, 10).cast("string")).when(c == "N", (number(i, 8) + 2).cast("string")).when(c == "w", pick(NAMES, i)).when(c == "h", pick(HOSTS, i)).otherwise(c)
 
+    value = F.array_join(F.transform(F.split("form", ""), filled), "")
+    right = F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: F.call_function("luhn_check", F.concat(_digits(F.col("value")), d.cast("string")))), F.lit(0))
+    checked = F.when(F.col("form").endswith("L"), F.replace("value", F.lit("L"), right.cast("string"))).when(F.col("form").endswith("X"), F.replace("value", F.lit("X"), ((right + 3) % 10).cast("string"))).otherwise(F.col("value"))
+    before = F.get(F.col("befores"), number(101, F.size("befores")))
+    made = drawn.withColumn("value", value).withColumn("value", checked).withColumns({"before": before, "after": pick(AFTER, 102)})
+    return made.select("form", "good", "draw", F.concat("before", "value", "after").alias("text"), F.length("before").alias("first"), F.length(F.concat("before", "value")).alias("last"))
 
-def candidates(text: Column) -> dict[str, Column]:
-    """By generator: array<struct<start, end, bits, likely>>; likely is `evidence`."""
-    out = {}
-    for name, pattern in LOOSE.items():
-        guard = text.rlike(r"@|[\[(](?:at|AT)[\])]") if name == "address" else text.rlike(r"[0-9](?:[ ()./-]{0,3}[0-9]){6}")
-        both = F.zip_with(
-            match_spans(text, pattern, guard), match_context(text, pattern, CONTEXT, guard),
-            lambda s, c: F.struct(s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), c["before"].alias("before"), c["after"].alias("after")),
-        )
 
-        def coded(x: Column) -> Column:
-            bits = F.lit(0)
-            for k, b in enumerate(_bits(x)):
-                bits = bits + F.when(b, F.lit(1 << k)).otherwise(0)
-            return F.struct(x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), evidence(name, x).alias("likely"))  # noqa: B023
+def candidates(text: Column) -> Column:
+    """array<struct<generator, start, end, bits>> of all generators."""
 
-        out[name] = F.transform(both, coded)
-    return out
+    def proposed(name: str) -> Column:
+        guard, pattern = text.rlike(GUARDS[name]), LOOSE[name]
+        both = lambda s, c: F.struct(F.lit(name).alias("generator"), s["value"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), c["before"].alias("before"), c["after"].alias("after"))
+        return F.zip_with(match_spans(text, pattern, guard), match_context(text, pattern, CONTEXT, guard), both)
+
+    def coded(x: Column) -> Column:
+        bits = F.lit(0)
+        for k, b in enumerate(_bits(x)):
+            bits = bits + F.when(b, F.lit(1 << k)).otherwise(0)
+        return F.struct(x["generator"].alias("generator"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"))
+
+    return let(F.concat(*map(proposed, LOOSE)), lambda every: F.transform(every, coded))
 
 
 @dataclass
 class Model:
-    """trees: (bit, bit if unset, bit if set, four leaf values); thresholds by generator, null where no score is good enough; seen: the bit vectors of the documents, beyond which no score counts."""
+    """trees: (bit, bit if unset, bit if set, four leaf values); thresholds by generator, null where no score is good enough; held: (generator, positives kept, negatives kept, positives) of the calibrating half."""
 
     bias: float = 0.0
     trees: list[tuple[int, int, int, tuple[float, float, float, float]]] = field(default_factory=list)
     thresholds: dict[str, float | None] = field(default_factory=lambda: dict.fromkeys(LOOSE))
-    seen: set[int] = field(default_factory=set)
+    held: list[tuple[str, int, int, int]] = field(default_factory=list)
 
     def score(self, bits: int) -> float:
         total = self.bias
@@ -148,76 +178,61 @@ class Model:
         return total
 
     def expression(self, bits: Column) -> Column:
-        has = lambda k: F.shiftright(bits, k).bitwiseAND(1) == 1
-        total = F.lit(self.bias)
-        for root, left, right, (a, b, c, d) in self.trees:
-            total = total + F.when(has(root), F.when(has(right), d).otherwise(c)).otherwise(F.when(has(left), b).otherwise(a))
-        return total
+        """The score, as a fold over the trees, which are one constant."""
+        told = ", ".join(f"named_struct('root', {r}, 'low', {a}, 'high', {b}, 'leaves', array({', '.join(f'{float(v)!r}D' for v in leaves)}))" for r, a, b, leaves in self.trees)
+        if not told:
+            return F.lit(self.bias)
+        bit = lambda k: F.call_function("shiftright", bits, k).bitwiseAND(F.lit(1))
+        leaf = lambda t: F.get(t["leaves"], bit(t["root"]) * 2 + F.when(bit(t["root"]) == 1, bit(t["high"])).otherwise(bit(t["low"])))
+        return F.aggregate(F.expr(f"array({told})"), F.lit(self.bias), lambda total, t: total + leaf(t))
 
 
 def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def boost(rows: list[tuple[int, int, int]], rounds: int = 24, rate: float = 0.4, ridge: float = 1.0, n_bits: int = N_BITS) -> Model:
+def boost(rows: list[tuple[int, int, int]], rounds: int = 40, rate: float = 0.4, ridge: float = 1.0, n_bits: int = N_BITS) -> Model:
     """Fits trees of depth two by Newton boosting of the log loss on (bits, positives, negatives)."""
     good, bad = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not good or not bad:
         return Model(bias=20.0 if good else -20.0)
     model = Model(bias=_logit(good / (good + bad)))
-    scores = [model.bias] * len(rows)
-
-    def split(part: list[int], g: list[float], h: list[float]) -> tuple[float, int, float, float]:
-        """(gain, bit, value if unset, value if set) of the best split."""
-        best = (-1.0, 0, 0.0, 0.0)
-        for k in range(n_bits):
-            sums = [[0.0, 0.0], [0.0, 0.0]]
-            for i in part:
-                side = sums[rows[i][0] >> k & 1]
-                side[0] += g[i]
-                side[1] += h[i]
-            (g0, h0), (g1, h1) = sums
-            gain = g0 * g0 / (h0 + ridge) + g1 * g1 / (h1 + ridge)
-            if gain > best[0]:
-                best = (gain, k, -g0 / (h0 + ridge), -g1 / (h1 + ridge))
-        return best
-
+    has = np.array([[r[0] >> k & 1 for k in range(n_bits)] for r in rows], float)
+    yes, n = np.array([r[1] for r in rows], float), np.array([r[1] + r[2] for r in rows], float)
+    scores = np.full(len(rows), model.bias)
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-s)) for s in scores]
-        g = [(a + b) * q - a for (_, a, b), q in zip(rows, p, strict=True)]
-        h = [(a + b) * q * (1 - q) for (_, a, b), q in zip(rows, p, strict=True)]
-        root, found = 0, None
-        for k in range(n_bits):
-            halves = [[i for i in range(len(rows)) if rows[i][0] >> k & 1 == side] for side in (0, 1)]
-            both = [split(part, g, h) for part in halves]
-            if found is None or both[0][0] + both[1][0] > found[0]:
-                root, found = k, (both[0][0] + both[1][0], both)
-        low, high = found[1]
-        tree = (root, low[1], high[1], tuple(rate * max(-4.0, min(4.0, v)) for v in (low[2], low[3], high[2], high[3])))
+        p = 1 / (1 + np.exp(-scores))
+        sums = []
+        for x in (n * p - yes, n * p * (1 - p)):
+            both = has.T @ (x[:, None] * has)  # [root, bit] with both set
+            one, all_ = x @ has, x.sum()
+            sums.append(np.array([[all_ - one[:, None] - one[None, :] + both, one[None, :] - both], [one[:, None] - both, both]]))  # by root side, then bit side
+        g, h = sums
+        gains = (g * g / (h + ridge)).sum(axis=1)  # [root side, root, bit]
+        best = gains.argmax(axis=2)
+        root = int(gains.max(axis=2).sum(axis=0).argmax())
+        low, high = int(best[0, root]), int(best[1, root])
+        leaves = [-g[a, b, root, c] / (h[a, b, root, c] + ridge) for a, c in ((0, low), (1, high)) for b in (0, 1)]
+        tree = (root, low, high, tuple(rate * float(np.clip(v, -4, 4)) for v in leaves))
         model.trees.append(tree)
-        one = Model(0.0, [tree])
-        scores = [max(-30.0, min(30.0, s + one.score(r[0]))) for s, r in zip(scores, rows, strict=True)]
+        up = has[:, root] > 0
+        scores = np.clip(scores + np.where(up, np.where(has[:, high] > 0, tree[3][3], tree[3][2]), np.where(has[:, low] > 0, tree[3][1], tree[3][0])), -30, 30)
     return model
 
 
-def fit(docs: DataFrame, precision: float = 0.98) -> Model:
-    """A model from all documents; an empty table gives a model that proposes nothing."""
-    text = F.coalesce("text", F.lit(""))
-    # texts that hold neither a digit nor an address have no candidates
-    texts = docs.select(text.alias("text"), F.xxhash64("doc_id", "text").alias("h")).filter(F.col("text").rlike("[0-9@]|[(\\[](?:at|AT)"))
-    spans, proposed = base_spans(F.col("text")), candidates(F.col("text"))
-    # a separate projection, so that the lists are made once
-    listed = texts.select("h", F.concat(*spans.values()).alias("base"), *(c.alias(n) for n, c in proposed.items()))
-    def labelled(name: str) -> Column:
-        covers = lambda x: F.exists("base", lambda b: (b["start"] <= x["start"] + 1) & (b["end"] >= x["end"] - 1))
-        touches = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
-        return F.transform(name, lambda x: F.struct(F.lit(name).alias("generator"), x["bits"].alias("bits"), (covers(x) | x["likely"]).alias("good"), (~touches(x)).alias("new")))
-
-    half = (F.pmod(F.shiftright("h", 20), F.lit(2)) == 0).alias("fitting")
-    good, new = F.col("x.good"), F.col("x.new")
+def fit(spark: SparkSession, draws: int = DRAWS, precision: float = 0.98, without: tuple[str, ...] = ()) -> Model:
+    """A model from `draws` planted examples of each form but those in `without`; what comes to the driver is a row of counts for each distinct bit vector.
+
+    A candidate of a personal form is positive if it is the planted value, give or take a
+    character at either end; one of another form is negative; others are left out.
+    """
+    text = F.col("text")
+    rows = planted(spark, draws, without).withColumn("proposed", candidates(text))
+    half = (F.pmod(F.xxhash64("draw"), F.lit(2)) == 0).alias("fitting")
+    near = (F.abs(F.col("x.start") - F.col("first")) <= 1) & (F.abs(F.col("x.end") - F.col("last")) <= 1)
     counts = (
-        listed.select(half, F.explode(F.concat(*map(labelled, LOOSE))).alias("x")).groupBy("fitting", "x.generator", "x.bits")
-        .agg(*(F.sum(c.cast("int")).alias(n) for n, c in (("good", good), ("bad", ~good), ("new_good", good & new), ("new_bad", ~good & new)))).collect()
+        rows.select(half, "good", "first", "last", F.explode_outer("proposed").alias("x")).filter(F.col("x").isNotNull() & (~F.col("good") | near))
+        .groupBy("fitting", "x.generator", "x.bits").agg(F.count_if(F.col("good")).alias("good"), F.count_if(~F.col("good")).alias("bad")).collect()
     )
     by_bits: dict[int, list[int]] = {}
     for r in sorted(counts):
@@ -226,16 +241,16 @@ def fit(docs: DataFrame, precision: float = 0.98) -> Model:
             pair[0] += r["good"]
             pair[1] += r["bad"]
     model = boost([(b, *v) for b, v in sorted(by_bits.items())])
-    model.seen = {r["bits"] for r in counts}
     for name in LOOSE:
-        held = sorted(((model.score(r["bits"]), r["good"], r["bad"], r["new_good"], r["new_bad"]) for r in counts if not r["fitting"] and r["generator"] == name), reverse=True)
-        all_good = all_bad = new_good = new_bad = 0
-        for i, (score, a, b, c, d) in enumerate(held):
-            all_good, all_bad, new_good, new_bad = all_good + a, all_bad + b, new_good + c, new_bad + d
+        held = sorted(((model.score(r["bits"]), r["good"], r["bad"]) for r in counts if not r["fitting"] and r["generator"] == name), reverse=True)
+        good = bad = 0
+        told = (name, 0, 0, sum(h[1] for h in held))
+        for i, (score, a, b) in enumerate(held):
+            good, bad = good + a, bad + b
             last = i + 1 == len(held) or held[i + 1][0] < score
-            precise = all_good >= precision * (all_good + all_bad) and new_good >= precision * (new_good + new_bad)
-            if last and score >= 0 and all_good + all_bad >= 20 and precise:
-                model.thresholds[name] = score
+            if last and score >= 0 and good + bad >= 20 and good >= precision * (good + bad):
+                model.thresholds[name], told = score, (name, good, bad, told[3])
+        model.held.append(told)
     return model
 
 
@@ -244,7 +259,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 
     Offsets are code points, end exclusive. A row for each row of `docs`, repeated ones
     too; null ids stay null. Null and empty texts hold nothing. Texts are read whole. Other
-    columns are not read. `boost` spans are those that no base span covers.
+    columns are not read. `boost` spans are those that no base span touches, by start and then end; they may overlap each other.
     """
     base = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     return _with_spans(base, model).select("doc_id", *KINDS, "boost")
@@ -253,14 +268,13 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
 def _with_spans(base: DataFrame, model: Model) -> DataFrame:
     """`base` (doc_id, text) with the span columns."""
     text = F.col("text")
-    spans, proposed = base_spans(text), candidates(text)
     active = [n for n in LOOSE if model.thresholds.get(n) is not None]
-    listed = base.select("doc_id", "text", *(c.alias(n) for n, c in spans.items()), *(proposed[n].alias(f"c_{n}") for n in active))
-    likely = lambda name: F.filter(f"c_{name}", lambda x: x["bits"].isin(sorted(model.seen)) & (model.expression(x["bits"]) >= model.thresholds[name]))
+    listed = base.select("doc_id", "text", *(c.alias(n) for n, c in base_spans(text).items()), *([candidates(text).alias("proposed")] if active else []))
     covered = lambda x: F.exists(F.concat(*KINDS), lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
     boosted = F.expr("cast(array() as array<struct<value:string,start:bigint,end:bigint>>)")
     if active:
-        left = F.filter(F.concat(*map(likely, active)), lambda x: ~covered(x))
+        least = lambda x: F.coalesce(*(F.when(x["generator"] == n, F.lit(model.thresholds[n])) for n in active), F.lit(math.inf))
+        left = F.filter("proposed", lambda x: ~covered(x) & (model.expression(x["bits"]) >= least(x)))
         order = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise((a["end"] - b["end"]).cast("int"))
         boosted = F.array_sort(F.transform(left, lambda x: F.struct(F.lit(None).cast("string").alias("value"), x["start"].alias("start"), x["end"].alias("end"))), order)
     return listed.select("doc_id", "text", *KINDS, boosted.alias("boost"))
@@ -275,15 +289,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and text with every span of `find` replaced by its kind in brackets; of overlapping spans the earliest, then longest, counts and the others are covered by it."""
-    placed = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), F.lit(kind).alias("kind")))
+    kind_of = "struct<start:bigint,last:bigint,end:bigint,replacement:string>"
+    placed = lambda kind: F.transform(kind, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("last"), x["end"].alias("end"), F.lit(f"[{kind.upper()}]").alias("replacement")))
     every = F.array_sort(F.concat(*map(placed, (*KINDS, "boost"))))
     both = _with_spans(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), model)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = -x["last"]
-        put = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit("["), F.upper(x["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(x["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    return both.select("doc_id", F.aggregate(every, zero, step, tail).alias("text"))
+    return both.select("doc_id", let(every, lambda x: let(disjoint(x, kind_of), lambda kept: splice(F.col("text"), kept))).alias("text"))

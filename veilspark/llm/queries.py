@@ -41,7 +41,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return pii.digest(pii.find(docs, pii.fit(docs)))
+    return pii.digest(pii.find(docs, pii.fit(spark)))
 
 
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
