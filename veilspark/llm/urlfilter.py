@@ -4,11 +4,12 @@ Urls that rules accept and reject train one smoothed variable-order Markov model
 each: Witten-Bell interpolation of the orders 0 to `order`, so a context that a class
 has never seen falls back on shorter ones. A url's score is the mean, over its
 characters, of log P(accepted model) - log P(rejected model); scores under a
-threshold are blocked. The threshold is the score that splits the training urls
-with the least sum of both error rates.
+threshold are blocked. One in five of the ruled urls, by hash, trains nothing; the threshold is the
+score that splits these held-out urls with the least sum of both error rates, in the middle of the gap between theirs.
 
 Counts are aggregated by character n-gram before they move; scores are computed
-once for each distinct host and path.
+once for each distinct host and path. The table of log ratios, a row for each n-gram, is broadcast while it has at most
+`MAX_RATIOS` rows, and joined by a shuffle beyond; a url's characters meet again in their own task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ from .store import drop, put
 # The rules as (host and path, verdict).
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 PAD = "\u0001"
+HELD_OUT_SHARE = 5  # one in so many
+MAX_RATIOS = 500_000  # some 30 MB
+STEP, MOST = 0.01, 2000  # of the threshold's histogram
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -80,15 +84,16 @@ def judge(pages: DataFrame, rules=RULES, order: int = 3) -> DataFrame:
     rule, verdict = _rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     text = F.concat("host", "path")
-    places = put(
-        rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.first("ruled").alias("ruled")).withColumn("text", F.lower(text)), "places"
-    )
-    each = places.select("host", "path", "ruled", "n", F.explode(_grams(F.col("text"), order)).alias("gram"))
-    grams = put(each.groupBy("gram").agg(*(F.sum(F.when(F.col("ruled") == says, F.col("n")).otherwise(0)).alias(s) for s, says in (("accepted", "allow"), ("rejected", "block")))), "grams")
+    held = (F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int") % HELD_OUT_SHARE == 0).alias("held")
+    places = put(rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.first("ruled").alias("ruled")).select("*", F.lower(text).alias("text"), held), "places")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = places.repartition(parts).select("host", "path", "ruled", "held", "n", F.explode(_grams(F.col("text"), order)).alias("gram"))
+    trains = lambda says: F.sum(F.when((F.col("ruled") == says) & ~F.col("held"), F.col("n")).otherwise(0))
+    grams = put(each.groupBy("gram").agg(trains("allow").alias("accepted"), trains("block").alias("rejected")), "grams")
     ratios = put(log_ratios(grams, order), "ratios")
-    scored = put(
-        each.join(ratios, "gram").groupBy("host", "path").agg(F.round(F.sum("ratio") / F.count(F.lit(1)), 9).alias("score"), F.first("ruled").alias("ruled"), F.first("n").alias("n")), "scores"
-    )
+    small = F.broadcast(ratios) if ratios.count() <= MAX_RATIOS else ratios
+    mean = F.round(F.sum("ratio") / F.count(F.lit(1)), 6) + F.lit(0.0)
+    scored = put(each.join(small, "gram").groupBy("host", "path").agg(mean.alias("score"), *(F.first(c).alias(c) for c in ("ruled", "held", "n"))), "scores")
     drop(places, grams, ratios)
     bound = threshold(scored)
     found = F.when(F.lit(bound is not None) & (F.col("score") < F.lit(bound if bound is not None else 0.0)), "block").otherwise("allow")
@@ -99,18 +104,58 @@ def judge(pages: DataFrame, rules=RULES, order: int = 3) -> DataFrame:
     )
 
 
-def threshold(scored: DataFrame, step: float = 0.01) -> float | None:
-    """The multiple of `step` with the least sum of error rates on the training urls; null without urls of both kinds. Bins bound what comes to the driver."""
-    bin_ = F.greatest(F.least(F.floor(F.col("score") / step), F.lit(2000)), F.lit(-2000)).cast("int")
-    bins = scored.filter("ruled is not null").groupBy(bin_.alias("bin")).agg(*(F.sum(F.when(F.col("ruled") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block"))).collect()
-    rows = sorted((r["bin"], r["allow"], r["block"]) for r in bins)
+def threshold(scored: DataFrame) -> float | None:
+    """The multiple of `STEP` with the least sum of error rates on the held-out ruled urls, or on all ruled ones where the held-out are of one kind; null without urls of both kinds. Bins bound what comes to the driver."""
+    bin_ = F.greatest(F.least(F.floor(F.col("score") / STEP), F.lit(MOST)), F.lit(-MOST)).cast("int")
+    every = scored.filter("ruled is not null").groupBy("held", bin_.alias("bin")).agg(*(F.sum(F.when(F.col("ruled") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block"))).collect()
+    bins = [r for r in every if r["held"]]
+    if not sum(r["allow"] for r in bins) or not sum(r["block"] for r in bins):
+        bins = every
+    by: dict[int, list[int]] = {}
+    for r in bins:
+        pair = by.setdefault(r["bin"], [0, 0])
+        pair[0] += r["allow"]
+        pair[1] += r["block"]
+    rows = sorted((b, *v) for b, v in by.items())
     allow, block = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not allow or not block:
         return None
-    best, wrong = None, (0, block)
+    best, wrong, before = None, (0, block), None
     for at, a, b in rows:
         loss = wrong[0] / allow + wrong[1] / block
         if best is None or loss < best[0]:
-            best = (loss, at * step)
-        wrong = (wrong[0] + a, wrong[1] - b)
+            best = (loss, (at if before is None else (before + 1 + at) // 2) * STEP)
+        wrong, before = (wrong[0] + a, wrong[1] - b), at
     return best[1]
+
+
+def _oracle(order: int = 3) -> str:
+    """`judge` in DuckDB SQL, over the table `pages`."""
+    ruled = sorted(RULES, key=lambda r: (-len(r[0]), r[0]))
+    fits = lambda text: "((host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '/{1}'))".format(*text.split("/", 1))
+    case = lambda k: "CASE " + " ".join(f"WHEN {fits(r[0])} THEN '{r[k]}'" for r in ruled) + " END"
+    levels = []
+    for k in range(order + 1):
+        below, q = (f"JOIN p{k - 1} l ON right(c.g, {k}) = l.g", ("l.pa", "l.pr")) if k else ("", ("1.0/256", "1.0/256"))
+        prob = lambda s, q: f"CASE WHEN s{s} = 0 THEN {q} ELSE (c.{s} + k{s} * {q}) / (s{s} + k{s}) END AS p{s}"
+        levels.append(f"""c{k} AS (SELECT right(gram, {k + 1}) AS g, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM grams GROUP BY 1),
+        h{k} AS (SELECT left(g, {k}) AS h, sum(a) AS sa, count(*) FILTER (a > 0) AS ka, sum(r) AS sr, count(*) FILTER (r > 0) AS kr FROM c{k} GROUP BY 1),
+        p{k} AS (SELECT c.g, {prob("a", q[0])}, {prob("r", q[1])} FROM c{k} c JOIN h{k} h ON left(c.g, {k}) = h.h {below})""")
+    return f"""WITH cut AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+    named AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+    split AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM named),
+    told AS (SELECT *, {case(0)} AS rule, {case(1)} AS ruled FROM split),
+    places AS (SELECT host, path, any_value(ruled) AS ruled, count(*) AS n, lower(host || path) AS text, ('0x' || substr(md5(host || path), 1, 6))::INT % {HELD_OUT_SHARE} = 0 AS held FROM told GROUP BY host, path),
+    each AS (SELECT host, path, ruled, held, n, substr(repeat(chr(1), {order}) || text || chr(1), i::INT, {order + 1}) AS gram FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM places)),
+    grams AS (SELECT gram, sum(CASE WHEN ruled = 'allow' AND NOT held THEN n ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' AND NOT held THEN n ELSE 0 END) AS r FROM each GROUP BY gram),
+    {", ".join(levels)},
+    scored AS (SELECT host, path, any_value(ruled) AS ruled, any_value(held) AS held, any_value(n) AS n, round(sum(ln(pa) - ln(pr)) / count(*), 6) + 0.0::DOUBLE AS score FROM each JOIN p{order} ON gram = g GROUP BY host, path),
+    known AS (SELECT * FROM scored WHERE ruled IS NOT NULL AND (held OR (SELECT count(DISTINCT ruled) FROM scored WHERE held AND ruled IS NOT NULL) < 2)),
+    bins AS (SELECT greatest(least(floor(score / {STEP}), {MOST}), -{MOST}) AS bin, sum(CASE WHEN ruled = 'allow' THEN n ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END)::DOUBLE AS r FROM known GROUP BY 1),
+    losses AS (SELECT bin, coalesce(floor((lag(bin) OVER w2 + 1 + bin) / 2), bin) AS cut, coalesce(sum(a) OVER w, 0) / (SELECT sum(a) FROM bins) + ((SELECT sum(r) FROM bins) - coalesce(sum(r) OVER w, 0)) / (SELECT sum(r) FROM bins) AS loss FROM bins WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), w2 AS (ORDER BY bin)),
+    bound AS (SELECT cut * {STEP} AS least FROM losses WHERE (SELECT count(DISTINCT ruled) FROM known) = 2 ORDER BY loss, bin LIMIT 1)
+    SELECT page_id, t.host, t.path, t.rule, coalesce(t.ruled, CASE WHEN s.score < (SELECT least FROM bound) THEN 'block' ELSE 'allow' END) AS verdict, CASE WHEN t.ruled IS NULL THEN s.score END AS score
+    FROM told t JOIN scored s ON t.host = s.host AND t.path = s.path"""
+
+
+ORACLE = _oracle()
