@@ -5,7 +5,10 @@ Features are the distinct words of a text. Labels say toxic or not; grades above
 holds (1, 2 and 3 from one, two and four on). One weight vector serves all ordered
 thresholds: P(grade <= k) = sigmoid(threshold_k - weights . words).
 
-The model is fitted on at most `max_labelled` labelled documents, those with the
+Grades are so a reading of the words, not of labels: what the labels teach is the step from 0 to 1, and
+which words count; that more such words are worse is an assumption.
+
+The model is fitted on at most `max_labelled` labelled rows, those with the
 smallest hashed ids; that bound is a parameter. Scoring is one pass over all
 texts with a weight table of at most `max_features` words.
 """
@@ -79,41 +82,62 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+class Problem:
+    """The mean negative log likelihood of grades, with its gradient. rows: (toxic, features); typical: which features are typical of toxic documents."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray]], typical: np.ndarray, l2: float):
+        self.n, self.k, self.size, self.l2 = len(rows), GRADES - 1, len(typical), l2
+        self.doc = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
+        self.feature = np.concatenate([f for _, f in rows]) if rows else np.zeros(0, np.int64)
+        toxic = np.array([t for t, _ in rows])
+        found = np.bincount(self.doc, typical[self.feature], len(rows))
+        self.y = np.where(toxic == 1, np.maximum(1, np.searchsorted(FIRST_COUNT, found, "right")), 0)
+
+    def thresholds(self, params: np.ndarray) -> np.ndarray:
+        """Ordered by their form: the first one, and the logs of the gaps."""
+        return params[self.size] + np.concatenate(([0], np.cumsum(np.exp(params[self.size + 1 :]))))
+
+    def loss(self, params: np.ndarray) -> tuple[float, np.ndarray]:
+        n, k, y, rows = self.n, self.k, self.y, np.arange(self.n)
+        w, gaps = params[: self.size], params[self.size + 1 :]
+        s = np.bincount(self.doc, w[self.feature], n)
+        cdf = np.column_stack([np.zeros(n), _sigmoid(self.thresholds(params) - s[:, None]), np.ones(n)])
+        slope = cdf * (1 - cdf)
+        p = np.maximum(cdf[rows, y + 1] - cdf[rows, y], 1e-12)
+        up, low = slope[rows, y + 1] / p, slope[rows, y] / p
+        ds = up - low  # of the loss -log p by s
+        dtheta = np.array([-(up[y == j].sum()) + low[y == j + 1].sum() for j in range(k)])
+        grad = np.concatenate([np.bincount(self.feature, ds[self.doc], self.size) + self.l2 * w * n / 1000, [dtheta.sum()], [dtheta[j:].sum() * np.exp(gaps[j - 1]) for j in range(1, k)]]) / n
+        return float(-np.log(p).mean() + self.l2 * (w @ w) / 2000), grad
+
+
 def train(rows: list[tuple[int, np.ndarray]], typical: np.ndarray, l2: float = 0.01, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by full-batch Adam. rows: (toxic, features); typical: which features are typical of toxic documents."""
-    doc = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    feature = np.concatenate([f for _, f in rows]) if rows else np.zeros(0, np.int64)
-    toxic = np.array([t for t, _ in rows])
-    found = np.bincount(doc, typical[feature], len(rows))
-    y = np.where(toxic == 1, np.maximum(1, np.searchsorted(FIRST_COUNT, found, "right")), 0)
-    n, k = len(rows), GRADES - 1
-    params = np.zeros(len(typical) + k)  # weights, first threshold, log gaps
+    """(weights, thresholds) by full-batch Adam."""
+    problem = Problem(rows, typical, l2)
+    params = np.zeros(len(typical) + GRADES - 1)  # weights, first threshold, log gaps
     params[len(typical)] = 2.0
     m, v = np.zeros_like(params), np.zeros_like(params)
     for step in range(1, steps + 1):
-        w, first, gaps = params[: len(typical)], params[len(typical)], params[len(typical) + 1 :]
-        theta = first + np.concatenate(([0], np.cumsum(np.exp(gaps))))
-        s = np.bincount(doc, w[feature], n)
-        cdf = np.column_stack([np.zeros(n), _sigmoid(theta - s[:, None]), np.ones(n)])
-        slope = cdf * (1 - cdf)
-        p = np.maximum(cdf[np.arange(n), y + 1] - cdf[np.arange(n), y], 1e-12)
-        up, low = slope[np.arange(n), y + 1] / p, slope[np.arange(n), y] / p
-        ds = up - low  # of the loss -log p by s
-        dtheta = np.array([-(up[y == j].sum()) + low[y == j + 1].sum() for j in range(k)])
-        grad = np.concatenate([np.bincount(feature, ds[doc], len(typical)) + l2 * w * n / 1000, [dtheta.sum()], [dtheta[j:].sum() * np.exp(gaps[j - 1]) for j in range(1, k)]]) / n
+        grad = problem.loss(params)[1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         params -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    gaps = params[len(typical) + 1 :]
-    return params[: len(typical)], params[len(typical)] + np.concatenate(([0], np.cumsum(np.exp(gaps))))
+    return params[: len(typical)], problem.thresholds(params)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 4096, least_docs: int = 4, least_z: float = 4.0) -> Model:
-    """Fits a model on labelled documents. Rows without id, text or label teach nothing; an id with several labels is toxic if any says so."""
+def labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """(toxic, text) of at most `max_labelled` rows of `docs`: those of the smallest hashed ids, and of a repeated id the smallest hashed texts."""
+    order = lambda *c: [F.xxhash64(*c), *c]
     sample = (
         labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("_id"), "_id").limit(max_labelled)
+        .orderBy(*order("_id")).limit(max_labelled)
     )
-    known = put(docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("toxic", "text"), "labelled")
+    known = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_id", "toxic", "text", F.xxhash64("_id", F.sha2("text", 256)).alias("h"))
+    return known.orderBy(F.xxhash64("_id"), "h").limit(max_labelled).select("toxic", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 4096, least_docs: int = 4, least_z: float = 4.0) -> Model:
+    """Fits a model on labelled documents. Rows without id, text or label teach nothing; an id with several labels is toxic if any says so."""
+    known = put(labelled(docs, labels, max_labelled), "labelled")
     total, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     empty = Model(np.zeros(0, U64), np.zeros(0), np.zeros(0))
     if not bad or bad == total:
