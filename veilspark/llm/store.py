@@ -7,6 +7,7 @@ and never a recomputation of earlier stages.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,12 +19,17 @@ from veilspark.functions.ship import ship
 _written: dict[str, SparkSession] = {}
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset, as in tests on one machine."""
+    """The folder named in spark.checkpoint.dir. Where that is unset a temporary one of this process, on a local master only: other machines would not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _own.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="veilspark-")
+        _own[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
