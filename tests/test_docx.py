@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspark.operators import providers
@@ -99,6 +100,31 @@ def test_source_sink_and_stream(spark, tmp_path):
     assert streamed == {p.name: p.read_bytes() for p in out.iterdir()}
 
 
+def test_sink_keeps_folders_and_refuses_clashes(spark, tmp_path):
+    rows = spark.createDataFrame([("file:/d/a/x.docx", b"1"), ("file:/d/b/x.docx", b"2"), ("file:/d/b/y.docx", b"3")], "path string, content binary")
+    docx.write(rows, str(tmp_path))
+    assert {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*.docx")} == {"a/x.docx": b"1", "b/x.docx": b"2", "b/y.docx": b"3"}
+    with pytest.raises(ValueError):
+        docx.write(rows, str(tmp_path), F.element_at(F.split("path", "/"), -1))
+
+
+def test_other_encodings_stay_and_are_told(spark):
+    text = f'<?xml version="1.0" encoding="UTF-16"?><w:document xmlns:w="{W}"><w:t>SECRET</w:t></w:document>'
+    made = docx.package([], {"word/document.xml": text.encode("utf-16"), "word/header1.xml": f'<w:hdr xmlns:w="{W}"><w:t>SECRET</w:t></w:hdr>'.encode()})
+    row = run(spark, made)["p0"]
+    new = entries(bytes(row["content"]))
+    assert new["word/document.xml"][0] == text.encode("utf-16") and b"REDACTED" in new["word/header1.xml"][0] and "utf-16" in row["error"] and row["redactions"] == 1
+
+
+def test_repeated_paths_and_many_changes(spark, monkeypatch):
+    made = docx.package(["SECRET"] * 30)
+    for most in (docx.MAX_CHANGES, 0):  # broadcast and shuffled changes
+        monkeypatch.setattr(docx, "MAX_CHANGES", most)
+        twice = spark.createDataFrame([("p", made), ("p", made), ("q", made)], "path string, content binary")
+        rows = docx.redact_packages(twice, secret).collect()
+        assert [r["redactions"] for r in rows] == [30] * 3 and len({bytes(r["content"]) for r in rows}) == 1
+
+
 def test_text_stream_with_windows(spark, tmp_path):
     rows = [("2024-01-01 00:10:00", "a@example.com"), ("2024-01-01 00:20:00", "b@example.com 523-45-6789"), ("2024-01-01 05:00:00", "clean")]
     source = tmp_path / "rows"

@@ -54,19 +54,25 @@ def dedup_by_text(rows: DataFrame, column: str, work: Callable[[DataFrame], Data
 
 
 def entities(rows: DataFrame, column: str, provider: TextProvider) -> DataFrame:
-    """Adds `entities` and `provider_error`. An error of the provider leaves that text without entities, and says so."""
+    """Adds `entities` and `provider_error`. The provider gets a batch of distinct texts at a time, without empty ones; where that fails, each by itself, and an error leaves that text without entities and says so."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         names = ("type", "start", "end", "text", "confidence")
+        told = lambda es: [dict(zip(names, e, strict=True)) for e in es]
         for pdf in batches:
-            found, errors = [], []
-            for text in pdf[column]:
-                try:
-                    found.append([dict(zip(names, e, strict=True)) for e in provider.analyze([text])[0]] if text else [])
-                    errors.append(None)
-                except Exception as error:  # noqa: BLE001 - any failure of foreign code counts as no entities
-                    found.append([])
-                    errors.append(f"{type(error).__name__}: {error}")
+            texts = list(pdf[column])
+            at = [i for i, text in enumerate(texts) if text]
+            found, errors = [[] for _ in texts], [None] * len(texts)
+            try:
+                every = [told(es) for es in provider.analyze([texts[i] for i in at])] if at else []
+                for i, es in zip(at, every, strict=True):
+                    found[i] = es
+            except Exception:  # noqa: BLE001 - one text at a time tells which fails; any failure of foreign code counts as no entities
+                for i in at:
+                    try:
+                        found[i] = told(provider.analyze([texts[i]])[0])
+                    except Exception as error:  # noqa: BLE001
+                        found[i], errors[i] = [], f"{type(error).__name__}: {error}"
             yield pdf.assign(entities=found, provider_error=errors)
 
     def work(distinct: DataFrame) -> DataFrame:

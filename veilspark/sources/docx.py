@@ -1,8 +1,9 @@
 """Word packages as tables: read, splice redacted text in byte by byte, rebuild.
 
 Packages are rows (path, content). A package is rewritten in one task, by
-`mapInArrow`, since its parts lie in one binary value; nothing is shuffled but the texts of
-its spans, which are redacted as an ordinary column.
+`mapInArrow`, since its parts lie in one binary value. The texts of its spans are redacted as an
+ordinary column. The changes are gathered by path and broadcast to the packages while they are at most
+`MAX_CHANGES` bytes, so that no package moves; more are joined by a shuffle, which moves packages too.
 
 Only the text between the tags of `t` elements of the word-processing namespace
 changes, whatever its prefix; every other byte of a part stays, and so do the names, the
@@ -12,12 +13,15 @@ order and the compression of all entries.
 from __future__ import annotations
 
 import io
+import os
+import re
 import zipfile
 from collections.abc import Callable
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ from veilspark.functions.ship import ship
 NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 MEDIA = "word/media/"
 CONTENT_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+MAX_CHANGES = 32 << 20
 _ESCAPES = {'"': "&#34;", "'": "&#39;", "\t": "&#x9;", "\n": "&#xA;", "\r": "&#xD;"}
 
 
@@ -41,6 +46,15 @@ def is_text_part(name: str) -> bool:
     return name.startswith("word/") and "/" not in base and (base == "document.xml" or (base.startswith(("header", "footer")) and base.endswith(".xml")))
 
 
+def encoding_of(part: bytes) -> str:
+    """The declared encoding, lower-cased; by its first bytes where a part has a byte order mark."""
+    for mark, name in ((b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8")):
+        if part.startswith(mark):
+            return name
+    told = re.match(rb"""<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)""", part)
+    return told[1].decode().lower() if told else "utf-8"
+
+
 def find_spans(part: bytes) -> list[tuple[int, int, str]]:
     """(first byte, end byte, decoded text) of the content of each text element; a self-closing one is empty and has no width."""
     spans: list[tuple[int, int, str]] = []
@@ -140,12 +154,16 @@ def text_spans(packages: DataFrame) -> DataFrame:
     return ship(packages).select("path", "content").mapInArrow(run, "path string, part string, span_id int, start long, stop long, text string")
 
 
+#: Encodings whose text can be replaced by UTF-8 bytes; parts in others stay and are reported.
+_ENCODINGS = ("utf-8", "utf8", "us-ascii", "ascii")
+
+
 def _text_parts(content: bytes | None):
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
             for entry in z.infolist():
-                if is_text_part(entry.filename):
-                    yield entry.filename, find_spans(z.read(entry))
+                if is_text_part(entry.filename) and encoding_of(part := z.read(entry)) in _ENCODINGS:
+                    yield entry.filename, find_spans(part)
     except (zipfile.BadZipFile, expat.ExpatError):
         return
 
@@ -156,7 +174,9 @@ def redact_packages(packages: DataFrame, redact: Callable[[DataFrame], DataFrame
     `redact` gets the spans (path, part, span_id, text) and adds `n` and `redacted`; a null
     `redacted` leaves the span as it was. `images` (path, name, redacted, regions) replaces entries too. The
     changes of a package are gathered in one row beside it. A package that cannot be
-    read keeps its bytes and says so in `error`; one without changes keeps its bytes.
+    read keeps its bytes and says so in `error`; one without changes keeps its bytes. A text part that is
+    not in UTF-8 stays and is named in `error`. Paths tell packages apart: rows that repeat
+    a path must be the same package, and each gets its changes once.
     """
     spans = redact(text_spans(packages).filter("text <> ''")).filter("n > 0 AND redacted IS NOT NULL")
     change = F.struct("part", "span_id", "redacted", F.lit(None).cast("binary").alias("data"), F.col("n").cast("long").alias("n"), F.lit(0).cast("long").alias("regions"))
@@ -167,14 +187,17 @@ def redact_packages(packages: DataFrame, redact: Callable[[DataFrame], DataFrame
             F.lit(0).cast("long").alias("n"), F.col("regions").cast("long").alias("regions"),
         )
         changes = changes.unionAll(images.filter("regions > 0").select("path", image.alias("c")))
-    gathered = changes.groupBy("path").agg(F.collect_list("c").alias("changes"))
+    once = changes.select("path", "c.part", "c.span_id", "c").dropDuplicates(["path", "part", "span_id"])
+    gathered = once.groupBy("path").agg(F.collect_list("c").alias("changes")).persist(StorageLevel.DISK_ONLY)
+    size = gathered.select(F.sum(F.length("path") + F.aggregate("changes", F.lit(0).cast("long"), lambda n, c: n + 64 + F.coalesce(F.octet_length(c["redacted"]), F.lit(0)) + F.coalesce(F.octet_length(c["data"]), F.lit(0))))).first()[0] or 0
+    gathered = F.broadcast(gathered) if size <= MAX_CHANGES else gathered
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, content, changed in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "changes")), strict=True):
                 try:
-                    rows.append((path, *_changed(content, changed or []), None))
+                    rows.append((path, *_changed(content, changed or []), _left_out(content)))
                 except (zipfile.BadZipFile, expat.ExpatError, TypeError) as error:
                     rows.append((path, content, 0, 0, f"{type(error).__name__}: {error}"))
             yield _batch(rows, [("path", pa.string()), ("content", pa.binary()), ("redactions", pa.int64()), ("regions", pa.int64()), ("error", pa.string())])
@@ -182,6 +205,12 @@ def redact_packages(packages: DataFrame, redact: Callable[[DataFrame], DataFrame
     return ship(packages).select("path", "content").join(gathered, "path", "left").mapInArrow(run, "path string, content binary, redactions long, regions long, error string")
 
 
+def _left_out(content: bytes) -> str | None:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        found = [(e.filename, encoding_of(z.read(e))) for e in z.infolist() if is_text_part(e.filename)]
+    return "; ".join(f"{name}: not redacted, encoding {encoding}" for name, encoding in found if encoding not in _ENCODINGS) or None
+
+
 def _changed(content: bytes, changes: list[dict]) -> tuple[bytes, int, int]:
     new: dict[str, bytes] = {}
     texts: dict[str, dict[int, str]] = {}
@@ -235,16 +264,29 @@ def build(rows: DataFrame) -> DataFrame:
 
 
 def write(packages: DataFrame, folder: str, name=None) -> None:
-    """Writes each content to `folder` under its path's last part, or the name column given. The folder must be one that every executor sees."""
-    named = packages.select((name if name is not None else F.element_at(F.split("path", "/"), -1)).alias("name"), "content")
+    """Writes each content to `folder`, a path or URI that every executor reaches, under its path below the folder that all paths share, or under the name column given.
+
+    Two packages of one name are an error, before anything is written. Each file appears
+    whole or not at all.
+    """
+    if name is None:
+        first, last = packages.agg(F.min("path"), F.max("path")).first()
+        shared = os.path.commonprefix([first or "", last or ""])  # of the least and the greatest, so of all
+        name = F.substring(F.col("path"), shared.rfind("/") + 2, 1 << 30)
+    named = packages.select(name.alias("name"), "content")
+    twice = named.groupBy("name").count().filter("count > 1").head(1)
+    if twice:
+        raise ValueError(f"{twice[0]['count']} packages have the name {twice[0]['name']}")
 
     def save(rows) -> None:
-        import os
+        from pyarrow import fs
 
+        store, root = fs.FileSystem.from_uri(folder)
         for row in rows:
-            target = f"{folder}/{row['name']}"
-            with open(f"{target}.part", "wb") as f:
+            target = f"{root}/{row['name']}"
+            store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(f"{target}.part") as f:
                 f.write(row["content"])
-            os.replace(f"{target}.part", target)
+            store.move(f"{target}.part", target)
 
-    named.foreachPartition(save)
+    ship(named).foreachPartition(save)
