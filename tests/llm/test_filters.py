@@ -111,6 +111,17 @@ def test_bit_parallel_distance():
         assert D.distance(p, t) == plain_distance(p, t)
 
 
+def test_window_keys():
+    """Equal windows have equal keys wherever they stand, others differ; a text below the size has none."""
+    text = "abcab\U0001f600cabé abcab"
+    for size in (1, 3, 5, len(text)):
+        keys = D.window_keys(text, size)
+        told = [text[i : i + size] for i in range(len(text) - size + 1)]
+        assert len(keys) == len(told) and len(set(zip(told, keys, strict=True))) == len(set(told)) == len(set(keys))
+        assert all(D.window_keys(w, size)[0] == k for w, k in zip(told, keys, strict=True))
+    assert len(D.window_keys("ab", 3)) == 0 == len(D.window_keys("", 1))
+
+
 def edit(rng, text, n):
     for _ in range(n):
         at = rng.randrange(len(text))
@@ -140,6 +151,12 @@ def test_every_match_within_the_budget(spark):
     for size in (D.BLOCK_CHARS, 300):
         got = [(r["doc_id"], r["item_id"], r["edits"]) for r in D.matches(df, bench, block_chars=size).collect()]
         assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    extra = df.withColumn("node", F.lit(7)).withColumn("digest", F.lit("x"))
+    joined = D.drop_contaminated(extra, bench, block_chars=300)
+    assert joined.columns == extra.columns and sorted(map(repr, joined.drop("node", "digest").collect())) == sorted(map(repr, D.drop_contaminated(df, bench).collect()))
+    assert D.matches(df.limit(0), bench, block_chars=0).count() == 0 and D.matches(df, bench.filter("trim(text) = ''"), block_chars=0).count() == 0
+    places = [sorted(map(repr, D.matches(df, bench, block_chars=size).collect())) for size in (D.BLOCK_CHARS, 0)]
+    assert places[0] == places[1]
     kept = D.drop_contaminated(df, bench)
     assert kept.columns == df.columns and sorted(map(repr, (r["doc_id"] for r in kept.collect()))) == sorted(repr(d) for d, _ in docs if d not in {w[0] for w in wanted})
     assert D.matches(df, bench.limit(0)).count() == 0 and D.matches(df.limit(0), bench).count() == 0 and D.drop_contaminated(df, bench.limit(0)).count() == len(docs)
