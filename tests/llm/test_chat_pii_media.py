@@ -236,6 +236,27 @@ def test_damage_is_told(spark):
     assert all(got[n]["error"] and got[n]["packets"] is None for n in ("cut", "text", "empty", "none")) and got["null"]["packets"] is None
 
 
+def test_seek_reads_from_the_cue_on(spark):
+    """Packets from any time on are those of the whole parse; clusters before the cue are not read, so damage in them does not matter."""
+    stored = M.write(bytes(random.Random(5).randrange(256) for _ in range(120_000)))
+    whole = M.parse(stored)
+    assert len(whole.cues) == len(whole.clusters) > 3 and [c[2] for c in whole.cues] == [c[0] for c in whole.clusters]
+    for when in (0, 1, whole.cues[1][0], whole.cues[2][0] - 1, whole.packets[-1].timestamp_ns, 10**15):
+        found = M.seek(stored, 1, when)
+        assert found.packets == [p for p in whole.packets if p.timestamp_ns >= when]
+        assert len(found.clusters) == sum(c[0] + 1 > when for c in whole.cues) + (when not in [c[0] for c in whole.cues])
+    assert M.seek(stored, 2, 0).packets == []
+    place, a, b = whole.clusters[0]
+    broken = stored[:a] + bytes(b - a) + stored[b:]
+    with pytest.raises(M.Damaged):
+        M.parse(broken)
+    assert M.seek(broken, 1, whole.cues[1][0]).packets == [p for p in whole.packets if p.timestamp_ns >= whole.cues[1][0]]
+    files = spark.createDataFrame([(1, stored), (2, broken), (3, None), (4, b"no")], "id long, content binary")
+    got = {r["id"]: r for r in M.packets_from(files, 1, whole.cues[1][0]).collect()}
+    assert got[1]["packets"] == got[2]["packets"] and len(got[1]["packets"]) == len(M.seek(stored, 1, whole.cues[1][0]).packets)
+    assert [tuple(c) for c in got[1]["cues"]] == whole.cues and got[3]["packets"] is None and got[3]["error"] is None and got[4]["error"]
+
+
 def test_media_query(spark):
     texts = [None, "", "a", "é" * 40, "x" * 64, "word " * 30_000, "same", "same"]
     rows = M.store_and_read(spark.createDataFrame([(i if i < 7 else None, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, feature int")).collect()

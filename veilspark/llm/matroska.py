@@ -2,8 +2,9 @@
 
 `parse` walks variable-length elements (unknown sizes too), and resolves clusters,
 simple blocks and block groups with every kind of lacing into packets with track,
-timestamp, byte range and key flag; cues become seek points. Byte ranges point into
-the stored file, so packets are read without copying it.
+timestamp, byte range and key flag; cues become seek points, a table beside the packets'.
+`seek` reads from a cue's cluster on and steps over the ones before by their sizes. Byte
+ranges point into the stored file, so packets are read without copying it.
 """
 
 from __future__ import annotations
@@ -54,7 +55,8 @@ class Media:
     packets: list[Packet] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time in ns, track, place of the cluster
     scale: int = 1_000_000
-    duration: float = 0.0
+    duration: float = 0.0  # in ticks of the scale
+    clusters: list[tuple[int, int, int]] = field(default_factory=list)  # place of the element, start and end of its content
 
 
 def _vint(data, at: int, end: int, keep_marker: bool) -> tuple[int | None, int]:
@@ -156,55 +158,105 @@ def _block(data, a: int, b: int, cluster_time: int, media: Media, key: bool | No
         at += size
 
 
-def parse(data) -> Media:
-    """Tracks, packets and cues of a file; Damaged if it cannot be read to its end."""
+def _info(view, a: int, b: int, media: Media) -> None:
+    for kind, c, d in elements(view, a, b):
+        if kind == TIMESTAMP_SCALE:
+            media.scale = _uint(view, c, d)
+        elif kind == DURATION:
+            media.duration = _float(view, c, d)
+
+
+def _tracks(view, a: int, b: int, media: Media) -> None:
+    for kind, c, d in elements(view, a, b):
+        if kind != TRACK:
+            continue
+        track = {x: (y, z) for x, y, z in elements(view, c, d)}
+        number = _uint(view, *track[TRACK_NUMBER]) if TRACK_NUMBER in track else 0
+        told = {"codec": bytes(view[slice(*track[CODEC])]).decode("ascii", "replace") if CODEC in track else "", "frame_ns": _uint(view, *track[DEFAULT_DURATION]) if DEFAULT_DURATION in track else 0}
+        if AUDIO in track:
+            audio = {x: (y, z) for x, y, z in elements(view, *track[AUDIO])}
+            told |= {"rate": _float(view, *audio[RATE]) if RATE in audio else 8000.0, "bits": _uint(view, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0}
+        media.tracks[number] = told
+
+
+def _cluster(view, a: int, b: int, media: Media) -> None:
+    time = 0
+    for kind, c, d in elements(view, a, b):
+        if kind == CLUSTER_TIME:
+            time = _uint(view, c, d)
+        elif kind == SIMPLE_BLOCK:
+            _block(view, c, d, time, media, None)
+        elif kind == BLOCK_GROUP:
+            parts = list(elements(view, c, d))
+            for x, y, z in parts:
+                if x == BLOCK:
+                    _block(view, y, z, time, media, all(p[0] != REFERENCE for p in parts))
+
+
+def _cues(view, a: int, b: int, origin: int, media: Media) -> None:
+    for kind, c, d in elements(view, a, b):
+        if kind != CUE_POINT:
+            continue
+        point = list(elements(view, c, d))
+        when = next((_uint(view, y, z) for x, y, z in point if x == CUE_TIME), 0) * media.scale
+        for x, y, z in point:
+            if x == CUE_POSITIONS:
+                where = {p: _uint(view, q, r) for p, q, r in elements(view, y, z)}
+                cue = (when, where.get(CUE_TRACK, 0), origin + where.get(CUE_CLUSTER, 0))
+                if max(n.bit_length() for n in cue) > 63:
+                    raise Damaged(f"cue {cue} is out of range")
+                media.cues.append(cue)
+
+
+def outline(data) -> Media:
+    """Tracks, cues and the places of clusters, whose content is not read; Damaged if the elements cannot be read to their end."""
     media = Media()
     view = memoryview(data)
-    kinds = []
+    kinds, cues = [], []
     for kind, a, b in elements(view, 0, len(view)):
         kinds.append(kind)
         if kind != SEGMENT:
             continue
+        place = a
         for top, c, d in elements(view, a, b):
             if top == INFO:
-                for k, e, f in elements(view, c, d):
-                    if k == TIMESTAMP_SCALE:
-                        media.scale = _uint(view, e, f)
-                    elif k == DURATION:
-                        media.duration = _float(view, e, f)
+                _info(view, c, d, media)
             elif top == TRACKS:
-                for k, e, f in elements(view, c, d):
-                    if k == TRACK:
-                        track = {x: (y, z) for x, y, z in elements(view, e, f)}
-                        number = _uint(view, *track[TRACK_NUMBER]) if TRACK_NUMBER in track else 0
-                        told = {"codec": bytes(view[slice(*track[CODEC])]).decode("ascii", "replace") if CODEC in track else "", "frame_ns": _uint(view, *track[DEFAULT_DURATION]) if DEFAULT_DURATION in track else 0}
-                        if AUDIO in track:
-                            audio = {x: (y, z) for x, y, z in elements(view, *track[AUDIO])}
-                            told |= {"rate": _float(view, *audio[RATE]) if RATE in audio else 8000.0, "bits": _uint(view, *audio[BIT_DEPTH]) if BIT_DEPTH in audio else 0}
-                        media.tracks[number] = told
+                _tracks(view, c, d, media)
             elif top == CLUSTER:
-                time = 0
-                for k, e, f in elements(view, c, d):
-                    if k == CLUSTER_TIME:
-                        time = _uint(view, e, f)
-                    elif k == SIMPLE_BLOCK:
-                        _block(view, e, f, time, media, None)
-                    elif k == BLOCK_GROUP:
-                        parts = list(elements(view, e, f))
-                        for x, y, z in parts:
-                            if x == BLOCK:
-                                _block(view, y, z, time, media, all(p[0] != REFERENCE for p in parts))
+                media.clusters.append((place, c, d))
             elif top == CUES:
-                for k, e, f in elements(view, c, d):
-                    if k == CUE_POINT:
-                        point = list(elements(view, e, f))
-                        when = next((_uint(view, y, z) for x, y, z in point if x == CUE_TIME), 0)
-                        for x, y, z in point:
-                            if x == CUE_POSITIONS:
-                                where = {p: _uint(view, q, r) for p, q, r in elements(view, y, z)}
-                                media.cues.append((when * media.scale, where.get(CUE_TRACK, 0), a + where.get(CUE_CLUSTER, 0)))
+                cues.append((c, d, a))
+            place = d
     if kinds[:1] != [EBML]:
         raise Damaged("no EBML header")
+    for c, d, origin in cues:  # after the scale, which may stand behind them
+        _cues(view, c, d, origin, media)
+    return media
+
+
+def parse(data) -> Media:
+    """Tracks, packets, cues and clusters of a file; Damaged if it cannot be read to its end."""
+    media = outline(data)
+    view = memoryview(data)
+    for _, a, b in media.clusters:
+        _cluster(view, a, b, media)
+    return media
+
+
+def seek(data, track: int, from_ns: int) -> Media:
+    """The file with the packets of `track` from `from_ns` on, in file order; of its clusters only those from the last cue at or before that time are read.
+
+    Without such a cue, or where no cluster stands at its place, all clusters are read.
+    """
+    media = outline(data)
+    view = memoryview(data)
+    best = max(((when, place) for when, of, place in media.cues if of == track and when <= from_ns), default=None)
+    places = [place for place, _, _ in media.clusters]
+    media.clusters = media.clusters[places.index(best[1]) if best and best[1] in places else 0 :]
+    for _, a, b in media.clusters:
+        _cluster(view, a, b, media)
+    media.packets = [p for p in media.packets if p.track == track and p.timestamp_ns >= from_ns]
     return media
 
 
@@ -264,36 +316,51 @@ def write(payload: bytes) -> bytes:
     return header + _element(SEGMENT, b"".join(body))
 
 
-PACKETS = "track bigint, timestamp_ns bigint, start bigint, size bigint, key boolean"
+PACKETS = "array<struct<track:bigint,timestamp_ns:bigint,start:bigint,size:bigint,key:boolean>>"
+CUE_ENTRIES = "array<struct<timestamp_ns:bigint,track:bigint,cluster:bigint>>"
+ADDED = {"packets": PACKETS, "cues": CUE_ENTRIES, "n_cues": "bigint", "error": "string"}
 
 
-def packet_table(files: DataFrame, content: str = "content") -> DataFrame:
-    """`files` without `content`, and packets array<struct<track, timestamp_ns, start, size, key>>, n_cues and error.
-
-    Start is the packet's place in the stored bytes. Null bytes have null packets; bytes
-    that are damaged have null packets and say so in `error`. Explode `packets` for a row each. Columns of `files`
-    with the added names are replaced.
-    """
-    keep = [c for c in files.columns if c not in (content, "packets", "n_cues", "error")]
-    out = files.select(*keep, F.lit(None).cast(f"array<struct<{PACKETS.replace(' ', ':').replace(',:', ',')}>>").alias("packets"), F.lit(None).cast("long").alias("n_cues"), F.lit(None).cast("string").alias("error"))
+def _tables(files: DataFrame, content: str, read) -> DataFrame:
+    keep = [c for c in files.columns if c != content and c not in ADDED]
+    out = files.select(*keep, *(F.lit(None).cast(kind).alias(name) for name, kind in ADDED.items()))
 
     def run(batches):
+        numbers = lambda *names: [(n, pa.int64()) for n in names]
+        kinds = (
+            pa.list_(pa.struct([*numbers("track", "timestamp_ns", "start", "size"), ("key", pa.bool_())])),
+            pa.list_(pa.struct(numbers("timestamp_ns", "track", "cluster"))), pa.int64(), pa.string(),
+        )
         for batch in batches:
-            packets, cues, errors = [], [], []
+            rows = []
             for data in batch.column(content).to_pylist():
                 try:
-                    media = parse(data) if data is not None else None
-                    packets.append(media and [vars(p) for p in media.packets])
-                    cues.append(media and len(media.cues))
-                    errors.append(None)
+                    media = read(data) if data is not None else None
+                    cues = media and [dict(zip(("timestamp_ns", "track", "cluster"), c, strict=True)) for c in media.cues]
+                    rows.append((media and [vars(p) for p in media.packets], cues, media and len(cues), None))
                 except Damaged as error:
-                    packets.append(None), cues.append(None), errors.append(str(error))
-            kind = pa.list_(pa.struct([("track", pa.int64()), ("timestamp_ns", pa.int64()), ("start", pa.int64()), ("size", pa.int64()), ("key", pa.bool_())]))
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(packets, kind), pa.array(cues, pa.int64()), pa.array(errors, pa.string())], names=[*keep, "packets", "n_cues", "error"])
+                    rows.append((None, None, None, str(error)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.record_batch([*(batch.column(c) for c in keep), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*keep, *ADDED])
 
     return map_arrow(files.select(*keep, content), run, out.schema)
 
 
+def packet_table(files: DataFrame, content: str = "content") -> DataFrame:
+    """`files` without `content`, and packets array<struct<track, timestamp_ns, start, size, key>>, cues array<struct<timestamp_ns, track, cluster>>, n_cues and error.
+
+    Start is the packet's place in the stored bytes, cluster that of the cluster element. Null bytes have null packets
+    and cues; bytes that are damaged too, and say so in `error`. Explode `packets` or `cues` for a row each. Columns of
+    `files` with the added names are replaced.
+    """
+    return _tables(files, content, parse)
+
+
+def packets_from(files: DataFrame, track: int, from_ns: int, content: str = "content") -> DataFrame:
+    """As `packet_table`, with the packets of `track` from `from_ns` on alone, read from the cue before on."""
+    return _tables(files, content, lambda data: seek(data, track, from_ns))
+
+
 def padded(text: str | None) -> bytes:
     """The UTF-8 bytes of a text and zero bytes up to a positive multiple of 64."""
     raw = (text or "").encode()
@@ -301,12 +368,12 @@ def padded(text: str | None) -> bytes:
 
 
 def features(samples: np.ndarray, media: Media) -> str:
-    """Packets, clusters, duration, level and zero crossings of the samples around the middle value."""
+    """Counts of packets, clusters, cues and samples, duration in seconds, and mean, level, zero crossings and peak of the samples around the middle value."""
     centred = samples.astype(np.int64) - 128
     crossings = int(((centred[1:] < 0) != (centred[:-1] < 0)).sum())
     mean = int(centred.sum()) / len(centred)
     level = (int((centred * centred).sum()) / len(centred)) ** 0.5
-    return f"packets={len(media.packets)};cues={len(media.cues)};samples={len(samples)};mean={mean:.6f};rms={level:.6f};crossings={crossings};peak={int(np.abs(centred).max())}"
+    return f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};samples={len(samples)};seconds={media.duration * media.scale / 1e9:.6f};mean={mean:.6f};rms={level:.6f};crossings={crossings};peak={int(np.abs(centred).max())}"
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
