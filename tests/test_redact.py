@@ -134,6 +134,20 @@ def test_ocr_boxes(spark):
     assert (box["left"], box["top"], box["right"], box["bottom"], box["type"]) == (10, 5, 80, 30, "CREDIT_CARD")
 
 
+def test_boxes_in_one_pass_equal_the_joined_ones(spark):
+    """Several entities a line, words that two entities share, repeated words, an empty table; a null key is kept."""
+    texts = ["a@b.co,c@d.co", "123-45-6789", "x", "10.0.0.1", "10.0.0.1", "4111", "1111", "1111", "1111", "y"]
+    rows = spark.createDataFrame([(img, i, t, "90", 10 * i + img, i % 3, 7, 9 + i, 1, 1, 1 + i // 7) for img in (1, 2) for i, t in enumerate(texts)], WORD)
+    kept = ocr.confident_words(rows)
+    joined = ocr.boxes(ocr.overlapping(ocr.word_spans(kept, ["img_id"]), ocr.entities(ocr.lines(kept, ["img_id"]), ["img_id"]), ["img_id"]), ["img_id"])
+    mine = ocr.redaction_boxes(rows, ["img_id"])
+    assert mine.columns == joined.columns and mine.dtypes == joined.dtypes
+    assert sorted(map(repr, mine.collect())) == sorted(map(repr, joined.collect())) and mine.count() >= 8
+    assert ocr.redaction_boxes(rows.limit(0), ["img_id"]).count() == 0
+    lost = rows.filter("img_id = 1").withColumn("img_id", F.lit(None).cast("int"))
+    assert ocr.redaction_boxes(lost, ["img_id"]).count() == mine.filter("img_id = 1").count()
+
+
 def test_evaluation_without_cases(spark):
     row = report.evaluate(spark.createDataFrame([], "truth boolean, found boolean"), "truth", "found").first()
     assert (row["tp"], row["accuracy"], row["precision"]) == (0, None, None)

@@ -1,16 +1,16 @@
 """Redaction boxes from tables of OCR words.
 
 Words have (i, text, conf, left, top, width, height, block_num, par_num, line_num) and the
-columns that tell images apart. All steps are relational; an image's line is the unit
-that is gathered.
+columns that tell images apart. An image's line is the unit that is gathered, once: its
+entities and their boxes come from its row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.spans import explode_once
+from veilspark.functions.spans import explode_once, let
 
 from .detect import Options, detect_all
 from .resolve import resolve_overlaps
@@ -30,7 +30,7 @@ def confident_words(words: DataFrame, least: float = MIN_CONFIDENCE) -> DataFram
 
 def word_spans(words: DataFrame, image: list[str]) -> DataFrame:
     """Adds `start` and `end` of each word in its line's text, where words are joined by a space."""
-    before = Window.partitionBy(*image, *LINE).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*image, *LINE).orderBy("i", "text").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long")
     return words.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
 
@@ -61,9 +61,20 @@ def boxes(pairs: DataFrame, image: list[str]) -> DataFrame:
 
 
 def redaction_boxes(words: DataFrame, image: list[str], detectors: tuple[str, ...] = OCR_DETECTORS, options: Options = Options()) -> DataFrame:
-    """From raw words to the boxes to paint."""
-    kept = confident_words(words)
-    return boxes(overlapping(word_spans(kept, image), entities(lines(kept, image), image, detectors, options), image), image)
+    """From raw words to the boxes to paint, as `boxes` of `overlapping` would give them, with one shuffle and no join. Lines with a null among their keys count as any other."""
+    keys = [*image, *LINE]
+    edges = {"left": F.col("left"), "top": F.col("top"), "right": F.col("left") + F.col("width"), "bottom": F.col("top") + F.col("height")}
+    word = F.struct("i", "text", "start", "end", *(e.cast("long").alias(n) for n, e in edges.items()))
+    gathered = F.array_sort(F.collect_list(word))
+    rows = word_spans(confident_words(words), image).groupBy(*keys).agg(gathered.alias("_words"), F.array_join(F.transform(gathered, lambda w: w["text"]), " ").alias("line_text"))
+    found = rows.withColumn("matches", resolve_overlaps(detect_all(F.col("line_text"), detectors, options)))
+
+    def box(m: Column) -> Column:
+        hit = F.filter("_words", lambda w: (w["start"] < m["end"]) & (w["end"] > m["start"]))
+        edge = lambda hit, n: (F.array_min if n in ("left", "top") else F.array_max)(F.transform(hit, lambda w: w[n])).alias(n)
+        return let(hit, lambda hit: F.struct(m["type"].alias("type"), m["start"].alias("entity_start"), m["end"].alias("entity_end"), *(edge(hit, n) for n in edges)))
+
+    return explode_once(found, F.transform("matches", box), "b", *keys).select(*keys, "b.*")
 
 
 def box_count(found: DataFrame, image: list[str]) -> DataFrame:
