@@ -43,8 +43,10 @@ def no_matches() -> Column:
 
 
 def as_match(kind: str, span: Column) -> Column:
+    """A kind that is not among `TYPES` comes after all of them."""
+    priority = TYPES.index(kind) if kind in TYPES else len(TYPES)
     return F.struct(
-        span["start"].alias("start"), (span["start"] - span["end"]).alias("neg_length"), F.lit(TYPES.index(kind)).alias("priority"),
+        span["start"].alias("start"), (span["start"] - span["end"]).alias("neg_length"), F.lit(priority).alias("priority"),
         F.lit(kind).alias("type"), span["end"].alias("end"), span["value"].alias("value"),
     )
 

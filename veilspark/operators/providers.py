@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.ship import ship
 
+from .detect import MATCH, TYPES
+
 ENTITIES = "array<struct<type:string,start:bigint,end:bigint,text:string,confidence:double>>"
 
 
@@ -82,6 +84,31 @@ def entities(rows: DataFrame, column: str, provider: TextProvider) -> DataFrame:
     return dedup_by_text(rows, column, work)
 
 
+def detector(kind: str, find: Callable[[str], Iterable[tuple[int, int]]]) -> Callable[[Column], Column]:
+    """A detector written in Python: from a text column to (matches, error).
+
+    `find` tells the (start, end) of its matches in a text, in code points. Where it fails that
+    text has no match of this kind and says why in `error`; other detectors go on. Null text has no
+    matches. Put the result in a column, and give its `matches` to `redact` as `extra`.
+    """
+    priority = TYPES.index(kind) if kind in TYPES else len(TYPES)
+    names = ("start", "neg_length", "priority", "type", "end", "value")
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            try:
+                spans = [(int(a), int(b)) for a, b in find(text)] if text is not None else []
+                if any(not 0 <= a < b <= len(text) for a, b in spans):
+                    raise ValueError("a span lies outside the text")
+                out.append(([dict(zip(names, (a, a - b, priority, kind, b, text[a:b]), strict=True)) for a, b in spans], None))
+            except Exception as error:  # noqa: BLE001 - any failure of foreign code counts as no match, and is reported
+                out.append(([], f"{type(error).__name__}: {error}"))
+        return pd.DataFrame(out, columns=["matches", "error"])
+
+    return F.pandas_udf(run, f"matches array<{MATCH}>, error string")
+
+
 def redact_images(media: DataFrame, provider: ImageProvider) -> DataFrame:
     """media (…, format, data) with `redacted`, `regions` and `image_error`; equal images of a format are looked at once. A failure keeps the image."""
 

@@ -140,16 +140,24 @@ def with_source(name: str, body: str) -> str:
     return f"WITH src AS {source(name)} {body}"
 
 
-def redacted(name: str) -> str:
-    """(id, n, redacted) of a text source."""
-    return with_source(
-        name,
-        f""", found AS ({all_matches('src')}), kept AS ({resolved('found')}),
+def redacted_from(relation: str) -> str:
+    """(id, n, redacted) of a relation (id, text)."""
+    return f"""WITH src AS ({relation}), found AS ({all_matches('src')}), kept AS ({resolved('found')}),
         placed AS (SELECT *, coalesce(lag(match_end) OVER (PARTITION BY id ORDER BY match_start), 0) AS before, {fake_case()} AS replacement FROM kept),
         spliced AS (SELECT id, count(*) AS n, string_agg(substr(text, before + 1, match_start - before) || replacement, '' ORDER BY match_start) AS head, max(match_end) AS last
           FROM placed JOIN src USING (id) GROUP BY id)
-        SELECT src.id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN text ELSE head || substr(text, last + 1) END AS redacted FROM src LEFT JOIN spliced ON src.id = spliced.id""",
-    )
+        SELECT src.id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN text ELSE head || substr(text, last + 1) END AS redacted FROM src LEFT JOIN spliced ON src.id = spliced.id"""
+
+
+def redacted(name: str) -> str:
+    return redacted_from(duck_sql(SOURCES[name]))
+
+
+#: The paragraphs of documents, each a run of a package; characters that the format cannot hold are left out.
+PARAGRAPHS = r"""
+SELECT {'path': path, 'span': span} AS id, regexp_replace(paragraph, '[^\x{9}\x{A}\x{D}\x{20}-\x{FFFD}\x{10000}-\x{10FFFF}]', '', 'g') AS text FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS path, unnest(p) AS paragraph, unnest(range(0, len(p))) AS span FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))
+"""
 
 
 OCR_WORDS = """

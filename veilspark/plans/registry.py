@@ -264,7 +264,7 @@ def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return report.evaluate(rows.select(truth.alias("truth"), (F.size(DETECTORS["ssn"](F.col("text"), OPTIONS)) > 0).alias("found")), "truth", "found")
 
 
-@query("docx_round_trip")
+@query("docx_round_trip", f"SELECT id.path AS path, 'word/document.xml' AS part, CAST(id.span AS INT) AS span_id, redacted AS text FROM ({O.redacted_from(O.PARAGRAPHS)})")
 def docx_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as packages: built, redacted, written and read back; rows of the text spans after redaction."""
     packages = docx.build(load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("paragraphs")))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import io
 import os
 import re
+import uuid
 import zipfile
 from collections.abc import Callable
 from xml.parsers import expat
@@ -22,7 +23,7 @@ from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions.ship import ship
@@ -32,6 +33,7 @@ NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 MEDIA = "word/media/"
 CONTENT_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 MAX_CHANGES = 32 << 20
+_RETURN = {"\r": "&#xD;"}  # a bare one would be read as a line feed
 _ESCAPES = {'"': "&#34;", "'": "&#39;", "\t": "&#x9;", "\n": "&#xA;", "\r": "&#xD;"}
 
 
@@ -228,7 +230,7 @@ def _changed(content: bytes, changes: list[dict]) -> tuple[bytes, int, int]:
 
 def package(paragraphs: list[str], extra: dict[str, bytes] | None = None) -> bytes:
     """A small package whose body has a run for each paragraph; `extra` adds or replaces entries."""
-    runs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(_legal(p))}</w:t></w:r></w:p>' for p in paragraphs)
+    runs = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(_legal(p), _RETURN)}</w:t></w:r></w:p>' for p in paragraphs)
     entries = {
         "[Content_Types].xml": (
             '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
@@ -263,30 +265,66 @@ def build(rows: DataFrame) -> DataFrame:
     return ship(rows).select("path", "paragraphs").mapInArrow(run, "path string, content binary")
 
 
-def write(packages: DataFrame, folder: str, name=None) -> None:
-    """Writes each content to `folder`, a path or URI that every executor reaches, under its path below the folder that all paths share, or under the name column given.
+def names_below(paths: DataFrame) -> Column:
+    """A name for each path: what lies below the folder that all paths share."""
+    first, last = paths.agg(F.min("path"), F.max("path")).first()
+    shared = os.path.commonprefix([first or "", last or ""])  # of the least and the greatest, so of all
+    return F.substring(F.col("path"), shared.rfind("/") + 2, 1 << 30)
 
-    Two packages of one name are an error, before anything is written. Each file appears
-    whole or not at all.
-    """
-    if name is None:
-        first, last = packages.agg(F.min("path"), F.max("path")).first()
-        shared = os.path.commonprefix([first or "", last or ""])  # of the least and the greatest, so of all
-        name = F.substring(F.col("path"), shared.rfind("/") + 2, 1 << 30)
-    named = packages.select(name.alias("name"), "content")
-    twice = named.groupBy("name").count().filter("count > 1").head(1)
+
+def refuse_clashes(paths: DataFrame, name: Column) -> None:
+    """A ValueError if two paths have one name."""
+    twice = paths.groupBy(name.alias("name")).count().filter("count > 1").head(1)
     if twice:
         raise ValueError(f"{twice[0]['count']} packages have the name {twice[0]['name']}")
 
-    def save(rows) -> None:
+
+def saved(packages: DataFrame, folder: str, name: Column) -> DataFrame:
+    """Writes each content to `folder` as its row is computed; the other columns, and `name`, are the result.
+
+    Each file appears whole or not at all, and a task that is run again writes the same file.
+    """
+    rows = packages.withColumn("name", name)
+    kept = [c for c in rows.columns if c != "content"]
+
+    def run(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        for row in rows:
-            target = f"{root}/{row['name']}"
-            store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(f"{target}.part") as f:
-                f.write(row["content"])
-            store.move(f"{target}.part", target)
-
-    ship(named).foreachPartition(save)
+        for batch in batches:
+            for target, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                target = f"{root}/{target}"
+                store.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                own = f"{target}.{uuid.uuid4().hex}.part"  # two attempts of a task don't share it
+                with store.open_output_stream(own) as f:
+                    f.write(content)
+                store.move(own, target)
+            yield batch.select(kept)
+
+    return ship(rows).mapInArrow(run, rows.select(*kept).schema)
+
+
+def write(packages: DataFrame, folder: str, name: Column | None = None) -> None:
+    """Writes each content to `folder`, a path or URI that every executor reaches, under its path below the folder that all paths share, or under the name column given.
+
+    Two packages of one name are an error, before anything is written.
+    """
+    name = names_below(packages) if name is None else name
+    refuse_clashes(packages, name)
+    saved(packages.select("path", "content"), folder, name).write.format("noop").mode("overwrite").save()
+
+
+def redact_folder(spark: SparkSession, source: str, target: str, redact: Callable[[DataFrame], DataFrame], images: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Redacts every package below `source` into `target`: one row a package with path, redactions, regions, error and name.
+
+    `redact` is as in `redact_packages`; `images` gets the media (path, name, format, data) and adds `redacted`
+    and `regions`. Names are checked on the listing alone, before any package is opened. The report is a table in
+    `target`/_report, written in the pass that writes the packages, and read back from there.
+    """
+    packages = read(spark, source)
+    name = names_below(packages)
+    refuse_clashes(packages, name)
+    done = redact_packages(packages, redact, images(media(packages)) if images else None)
+    report = f"{target.rstrip('/')}/_report"
+    saved(done, target, name).write.mode("overwrite").parquet(report)
+    return spark.read.parquet(report)
