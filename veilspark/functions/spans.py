@@ -47,21 +47,31 @@ def _by_blocks(pairs: Column) -> Column:
     return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, F.aggregate(blocks, zero, step, lambda acc: acc["bases"]), _fold)))
 
 
+def match_pairs(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    """array<struct<value:string,gap:bigint>>: the matches of `match_spans`, each with the characters between it and the one before."""
+    kind = "array<struct<value:string,gap:bigint>>"
+
+    def paired(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        return F.when(F.size(found) == 0, _empty(kind)).otherwise(pairs)
+
+    pairs = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), paired)
+    return F.when(text.isNotNull() if guard is None else guard, pairs).otherwise(_empty(kind))
+
+
+def placed(pairs: Column) -> Column:
+    """array<struct<value:string,start:bigint,end:bigint>> from `match_pairs`; `pairs` is used several times, so it should be a column or a lambda's variable."""
+    return F.when(F.size(pairs) == 0, _empty(_SPANS)).when(F.size(pairs) <= _BLOCK, _fold(pairs, F.lit(0).cast("long"))).otherwise(_by_blocks(pairs))
+
+
 def match_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """array<struct<value:string,start:bigint,end:bigint>> of the leftmost non-overlapping matches of a Java pattern.
 
     Offsets are code points, end exclusive. Null text gives an empty array. The pattern must
     not match the empty string. `guard` is a cheap condition that every text with a match meets.
     """
-
-    def placed(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-        pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        whole = lambda p: F.when(F.size(p) <= _BLOCK, _fold(p, F.lit(0).cast("long"))).otherwise(_by_blocks(p))
-        return F.when(F.size(found) == 0, _empty(_SPANS)).otherwise(let(pairs, whole))
-
-    spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
-    return F.when(text.isNotNull() if guard is None else guard, spans).otherwise(_empty(_SPANS))
+    return let(match_pairs(text, pattern, guard), placed)
 
 
 def match_context(text: Column, pattern: str, width: int, guard: Column | None = None) -> Column:

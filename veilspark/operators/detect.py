@@ -15,7 +15,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import patterns as P
-from veilspark.functions.spans import let, match_spans
+from veilspark.functions.spans import let, match_pairs, placed
 from veilspark.functions.text import digits, luhn, plain_date, strip_separators, year_bounds
 
 MATCH = "struct<start:bigint,neg_length:bigint,priority:int,type:string,end:bigint,value:string>"
@@ -42,15 +42,22 @@ def no_matches() -> Column:
     return F.expr(f"cast(array() as array<{MATCH}>)")
 
 
-def as_match(kind: str, span: Column) -> Column:
+def priority_of(kind: str) -> int:
     """A kind that is not among `TYPES` comes after all of them."""
-    priority = TYPES.index(kind) if kind in TYPES else len(TYPES)
+    return TYPES.index(kind) if kind in TYPES else len(TYPES)
+
+
+def _match(kind: Column, priority: Column, span: Column) -> Column:
     return F.struct(
-        span["start"].alias("start"), (span["start"] - span["end"]).alias("neg_length"), F.lit(priority).alias("priority"),
-        F.lit(kind).alias("type"), span["end"].alias("end"), span["value"].alias("value"),
+        span["start"].alias("start"), (span["start"] - span["end"]).alias("neg_length"), priority.alias("priority"), kind.alias("type"),
+        span["end"].alias("end"), span["value"].alias("value"),
     )
 
 
+def as_match(kind: str, span: Column) -> Column:
+    return _match(F.lit(kind), F.lit(priority_of(kind)), span)
+
+
 def valid_card(value: Column) -> Column:
     plain = strip_separators(value)
     return F.length(plain).between(13, 19) & luhn(plain)
@@ -126,12 +133,15 @@ class Detector:
     def needs_digit(self) -> bool:
         return self.pattern in (P.PHONE, P.SSN, P.CARD, P.IPV4, P.DATE, P.MDY, P.DMY, P.ADDRESS_US, P.ADDRESS_IN_PIN)
 
-    def __call__(self, text: Column, options: Options = Options(), has_digit: Column | None = None) -> Column:
-        """`has_digit` spares texts without digits the guards of detectors that need one."""
+    def pairs(self, text: Column, has_digit: Column | None = None) -> Column:
+        """The candidates, as `match_pairs` gives them. `has_digit` spares texts without digits the guards of detectors that need one."""
         guard = self.guard(text) if self.guard else text.isNotNull()
         if has_digit is not None and self.needs_digit:
             guard = has_digit & guard
-        spans = match_spans(text, P.java(self.pattern, self.unicode), guard)
+        return match_pairs(text, P.java(self.pattern, self.unicode), guard)
+
+    def __call__(self, text: Column, options: Options = Options()) -> Column:
+        spans = let(self.pairs(text), placed)
         if self.valid:
             spans = F.filter(spans, lambda s: self.valid(s["value"], options))
         return F.transform(spans, lambda s: as_match(self.type, s))
@@ -180,6 +190,28 @@ def confidences() -> Column:
 
 
 def detect_all(text: Column, names: tuple[str, ...] | None = None, options: Options = Options(), extra: tuple[Column, ...] = ()) -> Column:
-    """The matches of all detectors (or those named), duplicates kept, and those of `extra` match arrays."""
+    """The matches of all detectors (or those named), duplicates kept, and those of `extra` match arrays.
+
+    Candidates are listed by each detector, then placed and checked by one expression over the
+    list, so the expression is built and analysed once, not once a detector.
+    """
     chosen = [DETECTORS[n] for n in names or DETECTORS]
-    return let(F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False)), lambda digit: F.concat(*(d(text, options, digit) for d in chosen), *extra))
+    if not chosen:
+        return F.concat(no_matches(), *extra)
+
+    def valid(place: Column, value: Column) -> Column:
+        out = F.lit(True)
+        for k, d in enumerate(chosen):
+            out = F.when(place == k, d.valid(value, options)).otherwise(out) if d.valid else out
+        return out
+
+    def listed(digit: Column) -> Column:
+        row = lambda k, d: F.struct(F.lit(k).alias("k"), F.lit(d.type).alias("type"), F.lit(priority_of(d.type)).alias("priority"), d.pairs(text, digit).alias("pairs"))
+        return F.array(*(row(k, d) for k, d in enumerate(chosen)))
+
+    def matches(x: Column) -> Column:
+        kept = F.filter(placed(x["pairs"]), lambda s: valid(x["k"], s["value"]))
+        return F.transform(kept, lambda s: _match(x["type"], x["priority"], s))
+
+    found = let(F.coalesce(text.rlike(r"\p{Nd}"), F.lit(False)), lambda digit: F.flatten(F.transform(F.filter(listed(digit), lambda x: F.size(x["pairs"]) > 0), matches)))
+    return F.concat(found, *extra) if extra else found

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions.ship import ship
 
-from .detect import MATCH, TYPES
+from .detect import MATCH, priority_of
 
 ENTITIES = "array<struct<type:string,start:bigint,end:bigint,text:string,confidence:double>>"
 
@@ -91,7 +91,7 @@ def detector(kind: str, find: Callable[[str], Iterable[tuple[int, int]]]) -> Cal
     text has no match of this kind and says why in `error`; other detectors go on. Null text has no
     matches. Put the result in a column, and give its `matches` to `redact` as `extra`.
     """
-    priority = TYPES.index(kind) if kind in TYPES else len(TYPES)
+    priority = priority_of(kind)
     names = ("start", "neg_length", "priority", "type", "end", "value")
 
     def run(texts: pd.Series) -> pd.DataFrame:
