@@ -5,9 +5,10 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions import patterns
 from veilspark.functions.spans import match_spans
 from veilspark.functions.text import luhn
-from veilspark.operators.detect import DETECTORS, Options, confidences, detect_all, from_entities, full_names
+from veilspark.operators.detect import DETECTORS, Options, confidences, detect_all, from_entities, full_names, valid_phone
 
 CASES = [
     ("email", "Contact nora.fields@example.com or support+billing@example.co.uk for help.", ["nora.fields@example.com", "support+billing@example.co.uk"]),
@@ -113,3 +114,18 @@ def test_options_from_the_session(spark):
 def test_scores(spark):
     row = spark.range(1).select(confidences().alias("c")).first()["c"]
     assert row["email"] == 1.0 and row["org_suffix"] == 0.85 and row["address_in_house"] == 0.6
+
+
+@pytest.mark.parametrize(
+    ("region", "good", "bad"),
+    [("AU", "02 9374 4000", "02 9374"), ("JP", "03-1234-5678", "03-1234-56789-01"), ("ES", "912 345 678", "912 345 678 901"), ("IT", "06 6982 1234", "16 6982 1234"), ("RU", "8 495 123-45-67", "2 495 123-45-67"), ("PR", "787-234-5678", "087-234-5678"), ("IN", "098765 43210", "055555 55555"), ("HU", "06 1 234 5678", "06 0 234 5678")],
+)
+def test_national_forms_by_region(spark, region, good, bad):
+    rows = spark.createDataFrame([(good,), (bad,)], "v string").select(valid_phone(F.col("v"), region).alias("ok"))
+    assert [r["ok"] for r in rows.collect()] == [True, False]
+
+
+def test_every_calling_code_has_a_region_and_others_are_refused(spark):
+    assert sorted(patterns.REGIONS.values()) == sorted(patterns.CALLING) and set(patterns.NATIONAL) <= set(patterns.REGIONS)
+    with pytest.raises(ValueError):
+        valid_phone(F.lit("1"), "XX")

@@ -58,8 +58,29 @@ CALLING = {
     "212": (9, 9), "234": (8, 10), "254": (9, 9), "351": (9, 9), "353": (7, 9), "358": (6, 10), "380": (9, 9), "420": (9, 9), "852": (8, 8), "886": (8, 9),
     "966": (8, 9), "971": (8, 9), "972": (8, 9),
 }
-# By region, the national form without a calling code.
-NATIONAL = {"US": "1?", "CA": "1?", "IN": "^0?[6-9][0-9]{9}$", "GB": "^0[1-9][0-9]{8,9}$", "DE": "^0[1-9][0-9]{5,10}$", "FR": "^0[1-9][0-9]{8}$"}
+# Regions that share the North American plan.
+AMERICAN = ("US", "CA", "PR", "DO", "JM", "BS", "BB", "TT")
+# Region: calling code.
+REGIONS = {
+    "RU": "7", "EG": "20", "ZA": "27", "GR": "30", "NL": "31", "BE": "32", "FR": "33", "ES": "34", "HU": "36", "IT": "39",
+    "RO": "40", "CH": "41", "AT": "43", "GB": "44", "DK": "45", "SE": "46", "NO": "47", "PL": "48", "DE": "49", "PE": "51",
+    "MX": "52", "AR": "54", "BR": "55", "CL": "56", "CO": "57", "MY": "60", "AU": "61", "ID": "62", "PH": "63", "NZ": "64",
+    "SG": "65", "TH": "66", "JP": "81", "KR": "82", "VN": "84", "CN": "86", "TR": "90", "IN": "91", "PK": "92", "LK": "94",
+    "MA": "212", "NG": "234", "KE": "254", "PT": "351", "IE": "353", "FI": "358", "UA": "380", "CZ": "420", "HK": "852", "TW": "886",
+    "SA": "966", "AE": "971", "IL": "972",
+}
+# By region, the national form without a calling code where more is known of it than its length.
+NATIONAL = {"IN": "^0?[6-9][0-9]{9}$", "GB": "^0[1-9][0-9]{8,9}$", "DE": "^0[1-9][0-9]{5,10}$", "FR": "^0[1-9][0-9]{8}$", "IT": "^[03][0-9]{8,10}$", "RU": "^8?[3-9][0-9]{9}$", "HU": "^(?:06)?[1-9][0-9]{7,8}$"}
+
+
+def national(region: str) -> str | None:
+    """Digits of a number in its region's national form: as listed, else a trunk 0 or none and as many digits as its calling code allows. None for the North American plan; a ValueError for a region not listed."""
+    if region in AMERICAN:
+        return None
+    if region not in REGIONS:
+        raise ValueError(f"no numbering rule for region {region}")
+    low, high = CALLING[REGIONS[region]]
+    return NATIONAL.get(region, f"^0?[1-9][0-9]{{{low - 1},{high - 1}}}$")
 
 
 def java(pattern: str, unicode: bool = False) -> str:

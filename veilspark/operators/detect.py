@@ -25,6 +25,7 @@ TYPES = ("EMAIL", "PHONE", "SSN", "CREDIT_CARD", "IP_ADDRESS", "DATE_OF_BIRTH",
 
 @dataclass(frozen=True)
 class Options:
+    #: Whose national form a phone number without a calling code has; one that `patterns` doesn't list is an error.
     region: str = "US"
     as_of_year: int = 2026
     #: North American area codes in use; without them the numbering rule alone decides.
@@ -80,7 +81,8 @@ def valid_phone(value: Column, region: str, area_codes: tuple[str, ...] = ()) ->
     if area_codes:
         american = american & F.substring(F.right(d, F.lit(10)), 1, 3).isin(*area_codes)
     abroad = d.rlike(P.international())
-    national = american if P.NATIONAL.get(region, "1?") == "1?" else d.rlike(P.NATIONAL[region])
+    form = P.national(region)
+    national = american if form is None else d.rlike(form)
     return (F.length(d) >= 7) & F.when(value.startswith("+"), F.when(d.startswith("1"), american & (F.length(d) == 11)).otherwise(abroad)).otherwise(national)
 
 
