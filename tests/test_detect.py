@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import patterns
 from veilspark.functions.spans import match_spans
 from veilspark.functions.text import luhn
-from veilspark.operators.detect import DETECTORS, Options, confidences, detect_all, from_entities, full_names, valid_phone
+from veilspark.operators.detect import DETECTORS, Options, confidences, detect_all, from_entities, full_names, valid_named_date, valid_numeric_date, valid_phone
 
 CASES = [
     ("email", "Contact nora.fields@example.com or support+billing@example.co.uk for help.", ["nora.fields@example.com", "support+billing@example.co.uk"]),
@@ -129,3 +129,24 @@ def test_every_calling_code_has_a_region_and_others_are_refused(spark):
     assert sorted(patterns.REGIONS.values()) == sorted(patterns.CALLING) and set(patterns.NATIONAL) <= set(patterns.REGIONS)
     with pytest.raises(ValueError):
         valid_phone(F.lit("1"), "XX")
+
+
+def test_days_of_the_calendar_are_those_of_the_standard_library(spark):
+    """Every day number of 1 to 31 in every month of leap and common years, and the bounds of years."""
+    from datetime import date
+
+    def real(y, m, d):
+        try:
+            return 1900 <= date(y, m, d).year <= 2026
+        except ValueError:
+            return False
+
+    names = "January February March April May June July August September October November December".split()
+    days = [(y, m, d) for y in (1899, 1900, 1904, 2000, 2023, 2024, 2026, 2027, 9999, 0) for m in range(0, 14) for d in range(0, 33)]
+    rows = [(f"{m}/{d}/{y:04d}", f"{y:04d}-{m:02d}-{d:02d}", f"{names[m - 1]} {d}, {y:04d}" if 1 <= m <= 12 else f"Smarch {d} {y:04d}", f"{d} {names[m - 1][:3]}. {y:04d}" if 1 <= m <= 12 else "1 May", real(y, m, d)) for y, m, d in days]
+    found = spark.createDataFrame(rows, "us string, iso string, mdy string, dmy string, truth boolean").select(
+        valid_numeric_date(F.col("us"), 2026).alias("us"), valid_numeric_date(F.col("iso"), 2026).alias("iso"), valid_named_date(F.col("mdy"), 2026, False).alias("mdy"), valid_named_date(F.col("dmy"), 2026, True).alias("dmy"), "truth"
+    )
+    assert found.filter("us <> truth OR iso <> truth OR mdy <> truth OR dmy <> truth OR us IS NULL OR iso IS NULL OR mdy IS NULL OR dmy IS NULL").count() == 0
+    other = spark.createDataFrame([("1/2-2003",), ("2003/1-2",), ("1/2/203",), ("20031/1/2",), ("",), (None,)], "v string")
+    assert not any(r["x"] for r in other.select(valid_numeric_date(F.col("v"), 2026).alias("x")).collect())

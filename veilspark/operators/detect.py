@@ -86,39 +86,40 @@ def valid_phone(value: Column, region: str, area_codes: tuple[str, ...] = ()) ->
     return (F.length(d) >= 7) & F.when(value.startswith("+"), F.when(d.startswith("1"), american & (F.length(d) == 11)).otherwise(abroad)).otherwise(national)
 
 
-_MONTHS = [m for m in P.MONTHS.split("|") if m != "Sept"]
+_NUMBER = {m: i % 12 + 1 for i, m in enumerate("January February March April May June July August September October November December".split())}
+_NUMBER |= {m[:3]: n for m, n in list(_NUMBER.items())}
 
 
 def _month_number(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for i, m in enumerate(_MONTHS) for x in (m.lower(), str(_NUMBER[m]))])
+    table = F.create_map(*[F.lit(x) for m, n in _NUMBER.items() for x in (m.lower(), n)])
     return F.try_element_at(table, F.lower(name))
 
 
-_NUMBER = {m: i % 12 + 1 for i, m in enumerate("January February March April May June July August September October November December".split())}
-_NUMBER |= {m[:3]: n for m, n in list(_NUMBER.items())}
+def _day(year: Column, month: Column, day: Column, as_of_year: int) -> Column:
+    """The numbers are a day of the calendar between 1900 and the year given. By arithmetic: a parser's failures cost far more than its successes."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when(leap, 29).otherwise(28)
+    return F.coalesce(year_bounds(year, as_of_year) & month.between(1, 12) & day.between(F.lit(1), days), F.lit(False))
 
 
-def _dated(text: Column, as_of_year: int) -> Column:
-    """`yyyy-M-d` is a day of the calendar between 1900 and the year given."""
-    day = F.try_to_timestamp(text, F.lit("yyyy-M-d"))
-    return F.coalesce(year_bounds(F.year(day), as_of_year), F.lit(False))
+def _int(parts: Column, i: int) -> Column:
+    return F.get(parts, F.lit(i)).try_cast("int")
 
 
 def valid_numeric_date(value: Column, as_of_year: int) -> Column:
     """M/D/YYYY, M-D-YYYY, YYYY-M-D or YYYY/M/D."""
-    us = r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})$"
-    iso = r"^([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})$"
-    part = lambda p, i: F.regexp_extract(value, p, i)
-    text = F.when(value.rlike(us), F.concat_ws("-", part(us, 4), part(us, 1), part(us, 3))).when(value.rlike(iso), F.concat_ws("-", part(iso, 1), part(iso, 3), part(iso, 4)))
-    return _dated(text, as_of_year)
+    us, iso = r"^[0-9]{1,2}([/-])[0-9]{1,2}\1[0-9]{4}$", r"^[0-9]{4}([/-])[0-9]{1,2}\1[0-9]{1,2}$"
+    order = lambda p, y, m, d: _day(_int(p, y), _int(p, m), _int(p, d), as_of_year)
+    return let(F.split(value, "[/-]"), lambda p: F.when(value.rlike(us), order(p, 2, 0, 1)).when(value.rlike(iso), order(p, 0, 1, 2)).otherwise(False))
 
 
 def valid_named_date(value: Column, as_of_year: int, day_first: bool) -> Column:
     """`January 2 2006` or `Jan 2 2006`, and the forms with the day first; no other abbreviations."""
-    parts = F.split(plain_date(value), " ")
     day, month = (0, 1) if day_first else (1, 0)
-    number = _month_number(F.get(parts, F.lit(month)))
-    return F.coalesce((F.size(parts) == 3) & number.isNotNull() & _dated(F.concat_ws("-", F.get(parts, F.lit(2)), number, F.get(parts, F.lit(day))), as_of_year), F.lit(False))
+    return let(
+        F.split(plain_date(value), " "),
+        lambda p: F.when(F.size(p) == 3, _day(_int(p, 2), _month_number(F.get(p, F.lit(month))), _int(p, day), as_of_year)).otherwise(False),
+    )
 
 
 @dataclass(frozen=True)
