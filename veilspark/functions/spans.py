@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Matches that one fold adds up; more are added up block by block, so the cost of n matches stays near n.
 _BLOCK = 64
+#: Stands for a match in a copy of the text; a noncharacter, and a text that has it is cut in another way.
+_MARK = "\ufdd0"
 _SPANS = "array<struct<value:string,start:bigint,end:bigint>>"
 
 
@@ -47,12 +49,22 @@ def _by_blocks(pairs: Column) -> Column:
     return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, F.aggregate(blocks, zero, step, lambda acc: acc["bases"]), _fold)))
 
 
+def between(text: Column, pattern: str) -> Column:
+    """The parts of a text before, between and after the matches of a pattern that does not match the empty string.
+
+    Spark compiles a pattern to split by anew for every row, and one to replace by once. So matches give
+    way to a mark of one character, by which splitting needs no pattern.
+    """
+    marked = F.split(F.regexp_replace(text, pattern, _MARK), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, pattern, -1)).otherwise(marked)
+
+
 def match_pairs(text: Column, pattern: str, guard: Column | None = None) -> Column:
     """array<struct<value:string,gap:bigint>>: the matches of `match_spans`, each with the characters between it and the one before."""
     kind = "array<struct<value:string,gap:bigint>>"
 
     def paired(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+        gaps = F.transform(between(text, pattern), lambda g: F.length(g).cast("long"))
         pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
         return F.when(F.size(found) == 0, _empty(kind)).otherwise(pairs)
 
@@ -82,7 +94,7 @@ def match_context(text: Column, pattern: str, width: int, guard: Column | None =
         side = lambda i: F.struct(F.right(F.get(gaps, i - 1), F.lit(width)).alias("before"), F.left(F.get(gaps, i), F.lit(width)).alias("after"))
         return F.when(F.size(gaps) < 2, _empty(kind)).otherwise(F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), side))
 
-    return F.when(text.isNotNull() if guard is None else guard, let(F.split(text, pattern, -1), sides)).otherwise(_empty(kind))
+    return F.when(text.isNotNull() if guard is None else guard, let(between(text, pattern), sides)).otherwise(_empty(kind))
 
 
 def explode_once(df: DataFrame, array: Column | str, name: str, *keep: Column | str) -> DataFrame:

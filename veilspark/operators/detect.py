@@ -110,7 +110,7 @@ def valid_numeric_date(value: Column, as_of_year: int) -> Column:
     """M/D/YYYY, M-D-YYYY, YYYY-M-D or YYYY/M/D."""
     us, iso = r"^[0-9]{1,2}([/-])[0-9]{1,2}\1[0-9]{4}$", r"^[0-9]{4}([/-])[0-9]{1,2}\1[0-9]{1,2}$"
     order = lambda p, y, m, d: _day(_int(p, y), _int(p, m), _int(p, d), as_of_year)
-    return let(F.split(value, "[/-]"), lambda p: F.when(value.rlike(us), order(p, 2, 0, 1)).when(value.rlike(iso), order(p, 0, 1, 2)).otherwise(False))
+    return let(F.split(F.translate(value, "/", "-"), "-"), lambda p: F.when(value.rlike(us), order(p, 2, 0, 1)).when(value.rlike(iso), order(p, 0, 1, 2)).otherwise(False))
 
 
 def valid_named_date(value: Column, as_of_year: int, day_first: bool) -> Column:
