@@ -19,7 +19,7 @@ from veilspark.operators.resolve import resolve_overlaps
 from veilspark.sources import docx
 
 from . import oracles as O
-from .texts import SOURCES, load, spark_sql
+from .texts import SOURCES, load, spread, spark_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,7 +156,7 @@ def label_filter(spark: SparkSession, sf: str) -> DataFrame:
 # OCR words, derived from the words of documents.
 def ocr_words(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("i")
-    words = load(spark, sf, "documents").select(F.col("doc_id").alias("img_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
+    words = spread(load(spark, sf, "documents")).select(F.col("doc_id").alias("img_id"), F.posexplode(F.split("text", " ")).alias("i", "text"))
     whole = lambda e: F.expr(e).cast("int")
     return words.select(
         "img_id", "i", "text", F.when(i % 17 == 3, "n/a").otherwise((i * 7 % 100).cast("string")).alias("conf"), whole("i % 8 * 60").alias("left"), whole("i div 8 * 14").alias("top"),

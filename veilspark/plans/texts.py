@@ -58,8 +58,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table that may be a single row group, which one task reads.
+ONE_GROUP = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores: a file of one row group is one task, however long the work on a row. Larger tables, which have row groups enough, stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= ONE_GROUP and cores > 1 else df
+
+
 def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql, **{t: load(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql})
+    return spark.sql(sql, **{t: spread(load(spark, sf_dir, t)) for t in TABLES if "{" + t + "}" in sql})
 
 
 def duck_sql(sql: str) -> str:
