@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,13 +150,3 @@ def test_days_of_the_calendar_are_those_of_the_standard_library(spark):
     assert found.filter("us <> truth OR iso <> truth OR mdy <> truth OR dmy <> truth OR us IS NULL OR iso IS NULL OR mdy IS NULL OR dmy IS NULL").count() == 0
     other = spark.createDataFrame([("1/2-2003",), ("2003/1-2",), ("1/2/203",), ("20031/1/2",), ("",), (None,)], "v string")
     assert not any(r["x"] for r in other.select(valid_numeric_date(F.col("v"), 2026).alias("x")).collect())
-
-
-def test_parts_between_matches_where_the_text_has_the_mark(spark):
-    from veilspark.functions.spans import _MARK, between
-
-    texts = ["", "1", "a1b22c", f"a{_MARK}1b{_MARK}{_MARK}22", _MARK, f"1{_MARK}2", "😀1é22", "1\n2$3\\4", None]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", "t", between(F.col("t"), "[0-9]+").alias("parts"), match_spans(F.col("t"), "[0-9]+").alias("m"))
-    for r in rows.collect():
-        assert r["parts"] == (None if r["t"] is None else re.split("[0-9]+", r["t"]))
-        assert [(m["start"], m["end"]) for m in r["m"]] == [m.span() for m in re.finditer("[0-9]+", r["t"] or "")]
