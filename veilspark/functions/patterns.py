@@ -83,8 +83,10 @@ def national(region: str) -> str | None:
     return NATIONAL.get(region, f"^0?[1-9][0-9]{{{low - 1},{high - 1}}}$")
 
 
-def java(pattern: str, unicode: bool = False) -> str:
-    """The pattern for Spark."""
+def java(pattern: str, unicode: bool = False, ascii_classes: bool = False) -> str:
+    """The pattern for Spark. ascii_classes: a pattern with Unicode classes as `re2` has it, where \\b, \\s and \\d are ASCII ones."""
+    if unicode and ascii_classes:
+        return re2(pattern, True).replace(r"\b", f"(?-i:{B})").replace(r"\s", S).replace(r"\d", "[0-9]").replace("(?i:", "(?iu:")
     return "(?U)" + pattern if unicode else pattern.replace(r"\b", B).replace("[0-9().\\-\\s]", "[0-9().\\-\\t\\n\\f\\r ]").replace(r"\s", S)
 
 

@@ -30,6 +30,8 @@ class Options:
     as_of_year: int = 2026
     #: North American area codes in use; without them the numbering rule alone decides.
     area_codes: tuple[str, ...] = ()
+    #: Word bounds, spaces and digits of the pattern recognisers are the ASCII ones, as in SQL with RE2; else Unicode ones.
+    ascii_classes: bool = False
 
     @classmethod
     def from_conf(cls, spark: SparkSession) -> Options:
@@ -136,15 +138,15 @@ class Detector:
     def needs_digit(self) -> bool:
         return self.pattern in (P.PHONE, P.SSN, P.CARD, P.IPV4, P.DATE, P.MDY, P.DMY, P.ADDRESS_US, P.ADDRESS_IN_PIN)
 
-    def pairs(self, text: Column, has_digit: Column | None = None) -> Column:
+    def pairs(self, text: Column, has_digit: Column | None = None, options: Options = Options()) -> Column:
         """The candidates, as `match_pairs` gives them. `has_digit` spares texts without digits the guards of detectors that need one."""
         guard = self.guard(text) if self.guard else text.isNotNull()
         if has_digit is not None and self.needs_digit:
             guard = has_digit & guard
-        return match_pairs(text, P.java(self.pattern, self.unicode), guard)
+        return match_pairs(text, P.java(self.pattern, self.unicode, options.ascii_classes), guard)
 
     def __call__(self, text: Column, options: Options = Options()) -> Column:
-        spans = let(self.pairs(text), placed)
+        spans = let(self.pairs(text, options=options), placed)
         if self.valid:
             spans = F.filter(spans, lambda s: self.valid(s["value"], options))
         return F.transform(spans, lambda s: as_match(self.type, s))
@@ -164,7 +166,7 @@ DETECTORS: dict[str, Detector] = {
     "dob_numeric": Detector("DATE_OF_BIRTH", P.DATE, valid=lambda v, o: valid_numeric_date(v, o.as_of_year), guard=_trace("[0-9][/-][0-9]{1,2}[/-][0-9]")),
     "dob_mdy": Detector("DATE_OF_BIRTH", P.MDY, valid=lambda v, o: valid_named_date(v, o.as_of_year, False), guard=_trace(r"[0-9],?[\t\n\f\r ]+[0-9]{4}")),
     "dob_dmy": Detector("DATE_OF_BIRTH", P.DMY, valid=lambda v, o: valid_named_date(v, o.as_of_year, True), guard=_trace(rf"(?i)[0-9][\t\n\f\r ]+(?:{P.MONTHS})")),
-    "org_suffix": Detector("ORG", P.ORG, unicode=True, guard=_trace(rf"(?U)\s(?:{P.SUFFIX})\b"), score=P.SCORES["org_suffix"]),
+    "org_suffix": Detector("ORG", P.ORG, unicode=True, guard=_trace(rf"(?U)\s(?:{P.SUFFIX})(?:\b|(?![0-9A-Za-z_]))"), score=P.SCORES["org_suffix"]),
     "address_us": Detector("ADDRESS", P.ADDRESS_US, unicode=True, guard=_trace(r"(?U)\d\s+[A-Z]"), score=P.SCORES["address_us"]),
     "address_in_locality": Detector("ADDRESS", P.ADDRESS_IN_LOCALITY, unicode=True, guard=_trace(rf"(?=[A-Z])(?:{P.LOCALITY})"), score=P.SCORES["address_in_locality"]),
     "address_in_house": Detector("ADDRESS", P.ADDRESS_IN_HOUSE, unicode=True, guard=_trace(r"(?U)[tTyYsSſ]\.?\s*[nN][oO]"), score=P.SCORES["address_in_house"]),
@@ -209,7 +211,7 @@ def detect_all(text: Column, names: tuple[str, ...] | None = None, options: Opti
         return out
 
     def listed(digit: Column) -> Column:
-        row = lambda k, d: F.struct(F.lit(k).alias("k"), F.lit(d.type).alias("type"), F.lit(priority_of(d.type)).alias("priority"), d.pairs(text, digit).alias("pairs"))
+        row = lambda k, d: F.struct(F.lit(k).alias("k"), F.lit(d.type).alias("type"), F.lit(priority_of(d.type)).alias("priority"), d.pairs(text, digit, options).alias("pairs"))
         return F.array(*(row(k, d) for k, d in enumerate(chosen)))
 
     def matches(x: Column) -> Column:

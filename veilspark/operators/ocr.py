@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.functions import patterns as P
 from veilspark.functions.spans import explode_once, let
 
 from .detect import Options, detect_all
@@ -21,9 +22,9 @@ MIN_CONFIDENCE = 30.0
 OCR_DETECTORS = ("email", "phone", "ssn", "credit_card", "ipv4", "ipv6", "org_suffix", "address_us", "address_in_locality", "address_in_house", "address_in_pin")
 
 
-def confident_words(words: DataFrame, least: float = MIN_CONFIDENCE) -> DataFrame:
-    """Words with text, stripped, and a confidence of at least `least`; an unreadable confidence is -1."""
-    text = F.regexp_replace(F.col("text"), r"(?U)^\s+|\s+$", "")
+def confident_words(words: DataFrame, least: float = MIN_CONFIDENCE, options: Options = Options()) -> DataFrame:
+    """Words with text, stripped, and a confidence of at least `least`; an unreadable confidence is -1. With `options.ascii_classes` only ASCII spaces are stripped."""
+    text = F.regexp_replace(F.col("text"), rf"^{P.S}+|{P.S}+\z" if options.ascii_classes else r"(?U)^\s+|\s+$", "")
     conf = F.coalesce(F.col("conf").cast("string").try_cast("double"), F.lit(-1.0))
     return words.withColumns({"text": text, "conf": conf}).filter((F.col("text") != "") & (F.col("conf") >= least))
 
@@ -66,7 +67,7 @@ def redaction_boxes(words: DataFrame, image: list[str], detectors: tuple[str, ..
     edges = {"left": F.col("left"), "top": F.col("top"), "right": F.col("left") + F.col("width"), "bottom": F.col("top") + F.col("height")}
     word = F.struct("i", "text", "start", "end", *(e.cast("long").alias(n) for n, e in edges.items()))
     gathered = F.array_sort(F.collect_list(word))
-    rows = word_spans(confident_words(words), image).groupBy(*keys).agg(gathered.alias("_words"), F.array_join(F.transform(gathered, lambda w: w["text"]), " ").alias("line_text"))
+    rows = word_spans(confident_words(words, options=options), image).groupBy(*keys).agg(gathered.alias("_words"), F.array_join(F.transform(gathered, lambda w: w["text"]), " ").alias("line_text"))
     found = rows.withColumn("matches", resolve_overlaps(detect_all(F.col("line_text"), detectors, options)))
 
     def box(m: Column) -> Column:
