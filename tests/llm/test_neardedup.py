@@ -133,3 +133,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001), (1001, 1000)], "a long, b long")
     got = {r["id"]: r["component"] for r in N.components(edges).collect()}
     assert got == {**dict.fromkeys(range(n), 0), 1000: 1000, 1001: 1000}
+
+
+def test_few_shuffles(spark, monkeypatch):
+    """A shuffle is a round of tasks, however few its rows: there are no more of them than the rows need."""
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    pairs = spark.createDataFrame([(2, 1, 7), (3, 1, 7), (5, 4, 8)], "a long, b long, c long")
+    beside = N._beside(pairs, spark.createDataFrame([(i, 10 * i) for i in range(1, 6)], "id long, value long"))
+    assert sorted((r["b"], r["a"], r["value"]) for r in beside.filter("kind = 1").collect()) == [(1, 2, 20), (1, 3, 30), (4, 5, 50)]
+    assert {(r["b"], r["value"]) for r in beside.filter("kind = 0").collect()} == {(1, 10), (4, 40)}
+    made, put = Counter(), N.put
+
+    def counted(df, name):
+        made[name] += shuffles(df)
+        return put(df, name)
+
+    monkeypatch.setattr(N, "put", counted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffles(beside.select("*")) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (2, text + " eleven"), (3, text + " eleven twelve"), (4, "other words that are here alone today")]
+    assert run(spark, rows) == brute(rows)
+    assert made["edges"] == 0 and made["sets"] == 0

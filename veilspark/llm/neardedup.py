@@ -127,10 +127,10 @@ def _beside(pairs: DataFrame, table: DataFrame) -> DataFrame:
     """Rows (b, salt, kind, a, c, value): the value of b (kind 0), then those of its partners a (kind 1), in one task and in this order. pairs: distinct (a, b, c), where c is carried along; table: (id, value)."""
     table = table.toDF("id", "value")
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
-    partners = salted.join(table.withColumnRenamed("id", "a"), "a").select("b", "salt", F.lit(1).alias("kind"), "a", "c", "value")
     none = F.lit(None).cast("long")
-    heads = salted.select("b", "salt").distinct().join(table.withColumnRenamed("id", "b"), "b").select("b", "salt", F.lit(0).alias("kind"), none.alias("a"), none.alias("c"), "value")
-    return heads.unionAll(partners).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
+    heads = salted.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("kind"), none.alias("a"), none.alias("c"), F.col("b").alias("id"))
+    asked = heads.unionAll(salted.select("b", "salt", F.lit(1).alias("kind"), "a", "c", F.col("a").alias("id")))
+    return asked.join(table, "id").select("b", "salt", "kind", "a", "c", "value").repartition("b", "salt").sortWithinPartitions("b", "salt", "kind")
 
 
 def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,20 +192,27 @@ def _compared(keep_others: bool):
 _LINKED = f"{DENOMINATOR} * common >= {NUMERATOR} * (na + nb - common)"
 
 
-def _compare(pairs: DataFrame, docs: DataFrame, keep_others: bool = False) -> DataFrame:
-    """Compares the full sets of distinct pairs (a, b, c)."""
-    ids = put(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = put(map_arrow(join_ids(docs, "id", ids, "left_semi"), _sets, "id long, shingles binary").dropDuplicates(["id"]), "sets")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _compare(pairs: DataFrame, docs: DataFrame, once: bool, keep_others: bool = False) -> DataFrame:
+    """Compares the full sets of distinct pairs (a, b, c). once: no id of `docs` has two rows."""
+    ids = put(_ends(pairs), "ids")
+    sets = map_arrow(join_ids(docs, "id", ids, "left_semi"), _sets, "id long, shingles binary")
+    sets = put(sets if once else sets.dropDuplicates(["id"]), "sets")
     out = put(map_arrow(_beside(pairs, sets), _compared(keep_others), "a long, b long, c long, na long, nb long, common long, others binary"), "compared")
     drop(ids, sets)
     return out
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, once: bool) -> DataFrame:
     """Of distinct candidate pairs (a, b), those linked on their full sets."""
     pairs = put(pairs.select("a", "b", F.lit(None).cast("long").alias("c")), "pairs")
-    likely = put(map_arrow(_beside(pairs, reps.select("id", "sig")), _similar_signatures, "a long, b long, c long"), "likely")
-    compared = _compare(likely, docs)
+    ids = put(_ends(pairs), "ids")
+    likely = put(map_arrow(_beside(pairs, join_ids(reps.select("id", "sig"), "id", ids, "left_semi")), _similar_signatures, "a long, b long, c long"), "likely")
+    drop(ids)
+    compared = _compare(likely, docs, once)
     linked = put(compared.filter(_LINKED).select("a", "b"), "linked")
     drop(pairs, likely, compared)
     return linked
@@ -228,24 +235,29 @@ def _named(busy: DataFrame, found: DataFrame) -> DataFrame:
     return busy.join(found, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("c"))
 
 
-def _more_stars(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """`found` after star rounds with other members of the largest components, as long as much is left to pair and a round links a tenth of it."""
+def _split(busy: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the rows of `busy` with their components, `_tops` of the buckets that hold several)."""
+    named = put(_named(busy, found), "named")
+    return named, put(_tops(named).filter("kinds > 1"), "tops")
+
+
+def _more_stars(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame, once: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`found` after star rounds with other members of the largest components, as long as much is left to pair and a round links a tenth of it; and `_split` by it."""
     before = None
+    named, tops = _split(busy, found)
     for k in range(1, VALUES // ROWS + 1):
-        named = put(_named(busy, found), "named")
-        tops = put(_tops(named).filter("kinds > 1"), "tops")
         strays, work = tops.agg(F.coalesce(F.sum(F.col("size") - F.col("most")), F.lit(0)), F.coalesce(F.sum((F.col("size") - F.col("most")).cast("double") * F.col("size")), F.lit(0.0))).first()
         if work <= MOST_PAIRS * busy.count() or (before is not None and strays > 0.9 * before):
-            drop(named, tops)
-            return found
+            break
         before = strays
         own = named.join(tops.select("bucket", "top"), "bucket")
         centre = own.filter("c = top").groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id")).alias("m")).select("bucket", F.col("m.id").alias("b"))
         pairs = put(own.filter("c <> top").join(centre, "bucket").select(F.col("id").alias("a"), "b").distinct(), "stars")
-        linked = _verified(pairs, reps, docs)
+        linked = _verified(pairs, reps, docs, once)
         old, found = found, components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(linked))
         drop(named, tops, pairs, linked, old)
-    return found
+        named, tops = _split(busy, found)
+    return found, named, tops
 
 
 def _tokens(batches):
@@ -265,17 +277,15 @@ def _tokens(batches):
             yield pa.record_batch([pa.array(mix(part ^ anchor[row]).view(np.int64)), *columns], names=["key", "anchor", "id", "c", "k", "n", "common"])
 
 
-def _crossing(busy: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links to anchors, candidate pairs) between components that share a bucket. busy: (bucket, id, n)."""
-    named = put(_named(busy, found), "named")
-    open_ = _tops(named).filter("kinds > 1").select("bucket")
-    named_open = put(named.join(open_, "bucket"), "open")
+def _crossing(named: DataFrame, tops: DataFrame, reps: DataFrame, docs: DataFrame, once: bool) -> tuple[DataFrame, DataFrame]:
+    """(links to anchors, candidate pairs) between components that share a bucket, from `_split`, which is dropped."""
+    named_open = put(named.join(tops.select("bucket"), "bucket"), "open")
     anchors = named_open.groupBy("bucket").agg(F.min(F.struct("n", "id")).alias("m")).select("bucket", F.col("m.id").alias("b"))
     near = put(named_open.join(anchors, "bucket").filter("id <> b").select(F.col("id").alias("a"), "b", "c").distinct(), "near")
-    told = _compare(near, docs, keep_others=True)
+    told = _compare(near, docs, once, keep_others=True)
     links = put(told.filter(_LINKED).select("a", "b"), "linked")
     tokens = put(map_arrow(told, _tokens, "key long, anchor long, id long, c long, k long, n long, common long"), "tokens")
-    drop(named, named_open, near, told)
+    drop(named, tops, named_open, near, told)
     # a shingle that only one component has cannot be common to two
     shared = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key", "often")
     kept = put(tokens.join(shared, "key"), "shared")
@@ -306,7 +316,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks an id, and its label, to the smallest label among the
     neighbours, then jumps pointers; the number of rounds is logarithmic.
     """
-    both = put(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = put(edges.filter("a <> b").select(F.explode(ways).alias("e")).select("e.a", "e.b"), "edges")
     label = put(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("f")), "label")
     while True:
         to = label.select(F.col("id").alias("f"), F.col("f").alias("g"))
@@ -314,11 +325,7 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = put(jumped, "jumped")
         near = both.join(jumped.select(F.col("id").alias("b"), "g"), "b").groupBy("a").agg(F.min("g").alias("g"))
         hooked = near.join(jumped.select(F.col("id").alias("a"), "f"), "a").select("a", "f", "g")
-        offers = (
-            jumped.select("id", "g")
-            .unionAll(hooked.select(F.col("a").alias("id"), "g"))
-            .unionAll(hooked.groupBy(F.col("f").alias("id")).agg(F.min("g").alias("g")))
-        )
+        offers = jumped.select("id", "g").unionAll(hooked.select(F.explode(F.array("a", "f")).alias("id"), "g"))
         new = offers.groupBy("id").agg(F.min("g").alias("f")).join(label.withColumnRenamed("f", "old"), "id").select("id", "f", "old")
         new = put(new, "label")
         done = new.filter("f <> old").isEmpty()
@@ -374,12 +381,14 @@ def _with_odd_ids(rows: DataFrame, repeated: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame, same: DataFrame | None = None) -> DataFrame:
-    """(id, n, component) for each row of (id, text), where an id has one text. same: (id, node) rows, where the nodes of one id are linked unless their texts are empty."""
+    """(id, n, component) for each row of (id, text), where an id has one text, and one row if `same` is not given. same: (id, node) rows, where the nodes of one id are linked unless their texts are empty."""
+    once = same is None
     key = ["n", "k1", "k2"]
     sketched = put(map_arrow(docs, _sketch, "id long, n long, k1 long, k2 long, b1 long, b2 long, sig binary"), "signatures")
     base = put(sketched.select("id", *key), "keys")
     classes = put(base.filter("n > 0").groupBy(*key).agg(F.min("id").alias("id")), "classes")
-    reps = put(sketched.filter("n > 0").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"]), "representatives")
+    reps = join_ids(sketched.filter("n > 0"), "id", classes.select("id"), "left_semi")
+    reps = put(reps if once else reps.dropDuplicates(["id"]), "representatives")
     drop(sketched)
     banded = put(map_arrow(reps.select("id", "n", "sig"), _bands, "bucket long, id long, n long"), "bands")
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -387,10 +396,10 @@ def _groups(docs: DataFrame, same: DataFrame | None = None) -> DataFrame:
     drop(banded)
     busy = pivoted.select("bucket", "id", "n")
     stars = put(pivoted.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
-    first = _verified(stars, reps, docs)
-    found = _more_stars(busy, reps, components(first), docs)
-    links, pairs = _crossing(busy, reps, found, docs)
-    second = _verified(pairs, reps, docs)
+    first = _verified(stars, reps, docs, once)
+    found, named, tops = _more_stars(busy, reps, components(first), docs, once)
+    links, pairs = _crossing(named, tops, reps, docs, once)
+    second = _verified(pairs, reps, docs, once)
     more = links.unionAll(second)
     if same is not None:  # the links of nodes, between their classes
         rep = base.filter("n > 0").join(classes.withColumnRenamed("id", "b"), key).select(F.col("id").alias("node"), "b").distinct()
