@@ -7,10 +7,13 @@ and never a recomputation of earlier stages.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +40,41 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = 4 << 20
 
 
+@cache
+def _trim():
+    """The C library's malloc_trim; where it has none, a function that does nothing."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def _releasing(function):
+    """`function`, after which its worker, which then idles or runs other tasks, holds no memory that it has freed."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """`df.mapInArrow` with batches bounded in bytes; a session that bounds them itself, and lower, keeps its own bound."""
+    """`df.mapInArrow` with batches bounded in bytes; a session that bounds them itself, and lower, keeps its own bound. Workers give freed memory back after each task."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession.conf.get(key, None)
     digits = (now or "").rstrip("bB")
     if not digits.isdigit() or not 0 < int(digits) <= BATCH_BYTES:
         df.sparkSession.conf.set(key, str(BATCH_BYTES))
-    return ship(df).mapInArrow(function, schema)
+    return ship(df).mapInArrow(_releasing(function), schema)
 
 
 def put(df: DataFrame, name: str) -> DataFrame:
