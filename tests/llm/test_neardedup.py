@@ -158,3 +158,23 @@ def test_few_shuffles(spark, monkeypatch):
     rows = [(1, text), (2, text + " eleven"), (3, text + " eleven twelve"), (4, "other words that are here alone today")]
     assert run(spark, rows) == brute(rows)
     assert made["edges"] == 0 and made["sets"] == 0
+
+
+def test_pairs_that_the_star_round_settled_are_not_compared_again(spark, monkeypatch):
+    """Two classes that share buckets with each other only, and are not linked, take no part in the index round."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(40):
+        words = [rng.choice(WORDS) for _ in range(80)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:66] + [rng.choice(WORDS) for _ in range(14)]))]
+    near, put = [], N.put
+
+    def counted(df, name):
+        out = put(df, name)
+        if name in ("stars", "near"):
+            near.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(N, "put", counted)
+    assert run(spark, rows) == brute(rows)
+    assert dict(near)["stars"] > 20 and dict(near)["near"] == 0

@@ -7,7 +7,8 @@
 2. Signatures are cut into 32 bands of 4 values. A pair at similarity 0.75 misses
    every band with probability (1 - 0.75**4)**32 = 5e-6.
 3. Star round: in each bucket every class is paired with the bucket's smallest id.
-   Linked pairs form components. While the classes outside their bucket's largest component
+   Linked pairs form components, and the smallest id, now compared with its whole bucket, leaves it:
+   a bucket of two is settled. While the classes outside their bucket's largest component
    could still make many pairs, further rounds pair them with another member of that component.
 4. Index round, for buckets that still hold several components. A bucket's anchor A is
    its class of fewest shingles; every class x of the bucket is compared with it in full,
@@ -200,9 +201,9 @@ def _compare(pairs: DataFrame, docs: DataFrame, once: bool, keep_others: bool =
     """Compares the full sets of distinct pairs (a, b, c). once: no id of `docs` has two rows."""
     ids = put(_ends(pairs), "ids")
     sets = map_arrow(join_ids(docs, "id", ids, "left_semi"), _sets, "id long, shingles binary")
-    sets = put(sets if once else sets.dropDuplicates(["id"]), "sets")
+    sets = sets if once else sets.dropDuplicates(["id"])  # read once: not worth a table
     out = put(map_arrow(_beside(pairs, sets), _compared(keep_others), "a long, b long, c long, na long, nb long, common long, others binary"), "compared")
-    drop(ids, sets)
+    drop(ids)
     return out
 
 
@@ -394,7 +395,7 @@ def _groups(docs: DataFrame, same: DataFrame | None = None) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     pivoted = put(banded.join(shared.select("bucket", "pivot"), "bucket"), "busy")
     drop(banded)
-    busy = pivoted.select("bucket", "id", "n")
+    busy = pivoted.filter("id > pivot").select("bucket", "id", "n")  # the star round settles all pairs of the pivot
     stars = put(pivoted.filter("id > pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "stars")
     first = _verified(stars, reps, docs, once)
     found, named, tops = _more_stars(busy, reps, components(first), docs, once)

@@ -11,6 +11,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache
 
 import pyarrow as pa
@@ -77,11 +78,30 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     return ship(df).mapInArrow(_releasing(function), schema)
 
 
+#: Under this setting Spark deletes a query's shuffle files at its end, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """Queries of `spark` that run within leave no shuffle files; afterwards the setting is as it was."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def put(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` as a table of this run and returns it as read back."""
+    """Writes `df` as a table of this run and returns it as read back. Its shuffle files go with the query."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/veilspark/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleaning(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _written[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._veilspark_path = path
